@@ -63,3 +63,15 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ((F.col("_nth") == 1) & winner).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", salts: int = SALTS) -> DataFrame:
+    """One row of each set of equal texts, with all columns; equality and the row that stays as above.
+
+    Rows that repeat an identifier stay or go together.
+    """
+    judged = content_sort_dedup(docs, id_col, text_col, keep, salts)
+    losers = judged.filter("not kept").select(F.col(id_col).alias("_loser")).distinct()
+    winners = judged.filter("kept").select(F.col(id_col).alias("_loser"))
+    gone = losers.join(winners, losers["_loser"].eqNullSafe(winners["_loser"]), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_loser"]), "left_anti")

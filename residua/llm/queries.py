@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import bpe, compression, packing, warc
+from .common import scratch_path, table
+from .cross_entropy import cross_entropy_difference
 from .exact_dedup import content_sort_dedup
 from .quality_rules import quality_rules
 from .sharding import balanced_label_propagation
+from .simhash import simhash_components
+from .url_filters import filter_urls
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +25,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return compression.classify(docs, compression.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_label_propagation(table(spark, sf_dir, "documents"))
 
@@ -23,6 +38,46 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    read = warc.read_archives(spark, path).drop("payload")
+    sizes = read.filter("kind = 'response'").groupBy(F.col("page").alias("_page"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
+    joined = read.join(sizes, (F.col("kind") == "revisit") & (F.col("refers_to") == F.col("_page")) & (F.col("stated") == F.col("_digest")), "left")
+    return joined.select(
+        F.col("page").alias("page_id"),
+        F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"),
+        F.coalesce("payload_digest", "stated").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        "refers_to",
+        "problem",
+    )
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 OP5_SQL = """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents

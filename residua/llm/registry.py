@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from . import queries as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": q.op1_simhash,
     "op2_quality_rules": q.op2_quality_rules,
+    "op3_quality_classifier": q.op3_quality_classifier,
     "op4_sharding": q.op4_sharding,
     "op5_exact_dedup": q.op5_exact_dedup,
+    "op6_bpe": q.op6_bpe,
+    "op7_packing": q.op7_packing,
+    "op8_lm_scoring": q.op8_lm_scoring,
+    "op9_warc": q.op9_warc,
+    "op10_url_filters": q.op10_url_filters,
 }
 
 ORACLES: dict[str, str] = {
