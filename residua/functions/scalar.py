@@ -57,8 +57,9 @@ def cell_id(model: Column, loss: Column) -> Column:
 
 
 def render_na(value: Column, reason: Column, places: int = 4) -> Column:
-    """A formatted number, else `n/a (reason)`."""
-    return F.coalesce(F.format_string(f"%.{places}f", value), F.concat(F.lit("n/a ("), reason, F.lit(")")))
+    """A number rounded by its exact binary value, as `%.4f` is in C, else `n/a (reason)`."""
+    shown = F.call_function("format_number", value, F.lit("0." + "0" * places))
+    return F.when(value.isNotNull(), shown).otherwise(F.concat(F.lit("n/a ("), reason, F.lit(")")))
 
 
 def dotted_get(document: Column, path: str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def healthy_mean(voxels: DataFrame, healthy: Column, position: str = "pos", value: str = "v", places: int = 6) -> DataFrame:
@@ -38,7 +39,7 @@ def apply_reconstructor(slices: DataFrame, make: Callable[[], Callable[[np.ndarr
                 rows["reconstruction"] = list(np.asarray(out, np.float64))
                 yield rows
 
-    schema = slices.select(*keys, "pixels").schema.add("reconstruction", "array<double>")
+    schema = slices.select(*keys, "pixels").schema.add("reconstruction", T.ArrayType(T.DoubleType()))
     return slices.select(*keys, "pixels").mapInPandas(run, schema)
 
 

@@ -79,12 +79,16 @@ def glrlm(voxels: DataFrame, keys: Sequence[str], level: str = "q", directions:
 
 def cooccurrence(slices: DataFrame, keys: Sequence[str], levels: int, width: int, height: int, quantized: str = "q", steps: Sequence[tuple[int, int]] = STEPS) -> DataFrame:
     """Symmetric counts (direction, i, j, c) per slice row; neighbours come from the same array."""
-    parts = []
-    for d, (dy, dx) in enumerate(steps):
-        for sign in (1, -1):
-            ok = lambda p, dy=sign * dy, dx=sign * dx: (F.floor(p / width) + dy).between(0, height - 1) & (F.pmod(p, F.lit(width)) + dx).between(0, width - 1)
-            step = sign * (dy * width + dx)
-            parts.append(F.transform(quantized, lambda v, p, ok=ok, step=step, d=d: F.when(ok(p), F.lit(d * levels * levels) + v * levels + F.get(F.col(quantized), p + step))))
+    def codes_of(d: int, dy: int, dx: int) -> Column:
+        """level * levels + neighbour's level, null where the neighbour lies outside."""
+
+        def code(v: Column, p: Column) -> Column:
+            inside = (F.floor(p / width) + dy).between(0, height - 1) & (F.pmod(p, F.lit(width)) + dx).between(0, width - 1)
+            return F.when(inside, F.lit(d * levels * levels) + v * levels + F.get(F.col(quantized), p + (dy * width + dx)))
+
+        return F.transform(quantized, code)
+
+    parts = [codes_of(d, sign * dy, sign * dx) for d, (dy, dx) in enumerate(steps) for sign in (1, -1)]
     codes = slices.select(*keys, F.explode(F.flatten(F.array(*parts))).alias("_code")).filter("_code is not null")
     counted = codes.groupBy(*keys, "_code").agg(F.count(F.lit(1)).alias("c"))
     within = F.pmod("_code", F.lit(levels * levels))
