@@ -2,7 +2,8 @@
 
 A short word is held as part boundaries, the parts' ids, and the ranks of adjacent pairs. The minimum
 rank is found by a scan, its boundary deleted and the two neighbouring ranks refreshed, until no pair
-can merge. Words repeat, so each Python worker keeps the ids of words it has met (a bounded cache).
+can merge. Words repeat, so each Python worker keeps the ids of words, and of what stands between
+spaces, that it has met (bounded caches).
 Long words, for which scans would be quadratic, keep the ranks in a heap instead, with equal results.
 """
 
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +23,16 @@ from pyspark.sql import functions as F
 
 from .common import limit_batches, whole
 
+#: A rank and the id it merges to share one integer, the rank above.
+ID_BITS = 20
+ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60
 LONG_WORD = 128
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 SLICE_ROWS = 128
 #: Letters that every Unicode version composes, lower-cases and classifies alike; texts with others
 #: go through the tokenizer file's own normaliser and splitter before the merges.
-EXOTIC = regex.compile(r"[^\t\n\r\x20-\x7e¡-įı-ſ‐-‧]")
+EXOTIC = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ſ‐-‧]")
 #: Fixed value: the split of byte-level tokenizer files that name no pattern.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,6 +58,10 @@ class _Cache(dict):
         return value
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class RankArrayBPE:
     """Encoder and decoder made from a tokenizers JSON file; the file's path is a parameter."""
 
@@ -61,71 +71,79 @@ class RankArrayBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        vocab: dict[str, int] = model["vocab"]
+        suffix = model.get("end_of_word_suffix") or ""
+        self.ranks: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault((self.vocab[left], self.vocab[right]), (rank, self.vocab[left + right]))
+            self.ranks.setdefault(vocab[left] << ID_BITS | vocab[right], rank << ID_BITS | vocab[left + right])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.letters = byte_letters()
-        self.bytes_of = {c: b for b, c in enumerate(self.letters)}
+        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        letters = byte_letters()
+        self.bytes_of = {c: b for b, c in enumerate(letters)}
+        # Bytes without a token have none in the output either.
+        self.inner = [vocab.get(c) for c in letters]
+        self.final = [vocab.get(c + suffix) for c in letters]
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         split = next((p["pattern"]["Regex"] for p in parts if p["type"] == "Split"), None)
         self.pattern = regex.compile(split or BYTE_PATTERN)
+        self.keeps_spaces = split is None
         self.lower = spec["normalizer"] is not None
         library = Tokenizer.from_file(path)
         self.normaliser, self.splitter = library.normalizer, library.pre_tokenizer
-        self.raw = _Cache(lambda word: self.word_ids("".join([self.letters[b] for b in word.encode("utf-8", "surrogatepass")])))
-        self.mapped = _Cache(self.word_ids)
-
-    def word_ids(self, word: str) -> bytes:
-        """The ids of a word in byte letters, packed as little-endian unsigned 32-bit integers."""
-        symbols = [*word[:-1], word[-1] + self.suffix]
-        ids = [self.vocab[s] for s in symbols if s in self.vocab]
-        merged = self.merge_long(ids) if len(ids) > LONG_WORD else self.merge(ids)
-        return np.array(merged, "<u4").tobytes()
-
-    def _rank(self, left: int, right: int) -> int:
-        found = self.ranks.get((left, right))
-        return found[0] if found else NO_RANK
+        self.words = _Cache(lambda word: self.word_ids(word.encode("utf-8", "surrogatepass")))
+        self.mapped = _Cache(lambda word: self.word_ids(bytes(map(self.bytes_of.__getitem__, word))))
+        self.chunks = _Cache(lambda chunk: self.word_ids(chunk.encode()) if chunk.isalpha() else self._chunk(chunk))
+        self.spaced = _Cache(lambda chunk: self.word_ids(b" " + chunk.encode()) if chunk.isalpha() else self._chunk(" " + chunk))
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join([self.words[w] for w in self.pattern.findall(chunk)])
+
+    def word_ids(self, word: bytes) -> bytes:
+        """The packed ids of a word."""
+        ids = [self.inner[b] for b in word[:-1]]
+        ids.append(self.final[word[-1]])
+        if None in ids:
+            ids = [i for i in ids if i is not None]
+        return packed(self.merge_long(ids) if len(ids) > LONG_WORD else self.merge(ids))
 
     def merge(self, ids: list[int]) -> list[int]:
         """ids and ranks run side by side: ranks[i] is that of the boundary between parts i and i + 1."""
+        rank = self.ranks.get
         ids = list(ids)
-        ranks = [self._rank(a, b) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        ranks = [rank(a << ID_BITS | b, NO_RANK) for a, b in zip(ids, ids[1:])]  # noqa: B905
         while ranks:
             lowest = min(ranks)
             if lowest == NO_RANK:
                 break
             i = ranks.index(lowest)
-            ids[i] = self.ranks[ids[i], ids[i + 1]][1]
+            ids[i] = new = lowest & ID_MASK
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = self._rank(ids[i - 1], ids[i])
+                ranks[i - 1] = rank(ids[i - 1] << ID_BITS | new, NO_RANK)
             if i < len(ranks):
-                ranks[i] = self._rank(ids[i], ids[i + 1])
+                ranks[i] = rank(new << ID_BITS | ids[i + 1], NO_RANK)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same merges in the same order, with a heap of (rank, place) over linked parts."""
+        rank = self.ranks.get
         ids, n = list(ids), len(ids)
         after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        heap = [(r, i) for i in range(n - 1) if (r := self._rank(ids[i], ids[i + 1])) != NO_RANK]
+        heap = [(r, i) for i in range(n - 1) if (r := rank(ids[i] << ID_BITS | ids[i + 1], NO_RANK)) != NO_RANK]
         heapq.heapify(heap)
         while heap:
-            rank, i = heapq.heappop(heap)
+            lowest, i = heapq.heappop(heap)
             j = after[i] if alive[i] else -1
-            if j < 0 or self._rank(ids[i], ids[j]) != rank:
+            if j < 0 or rank(ids[i] << ID_BITS | ids[j]) != lowest:
                 continue
-            ids[i], alive[j], after[i] = self.ranks[ids[i], ids[j]][1], False, after[j]
+            ids[i], alive[j], after[i] = lowest & ID_MASK, False, after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for left in (before[i], i):
-                if left >= 0 and after[left] >= 0 and (r := self._rank(ids[left], ids[after[left]])) != NO_RANK:
+                if left >= 0 and after[left] >= 0 and (r := rank(ids[left] << ID_BITS | ids[after[left]], NO_RANK)) != NO_RANK:
                     heapq.heappush(heap, (r, left))
         return [x for x, live in zip(ids, alive, strict=True) if live]
 
@@ -133,18 +151,26 @@ class RankArrayBPE:
         if EXOTIC.search(text):
             text = self.normaliser.normalize_str(text) if self.normaliser else text
             return b"".join([self.mapped[w] for w, _ in self.splitter.pre_tokenize_str(text)])
-        return b"".join([self.raw[w] for w in self.pattern.findall(text.lower() if self.lower else text)])
+        if self.lower:
+            text = text.lower()
+        if not self.keeps_spaces:
+            return b"".join(map(self.chunks.__getitem__, text.split()))
+        # A word may hold one space before it, so single spaces part the text; runs of white space need the pattern.
+        if "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or text[:1] == " " or text[-1:] == " ":
+            return self._chunk(text)
+        first, *rest = text.split(" ")
+        return self.chunks[first] + b"".join(map(self.spaced.__getitem__, rest))
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text. Strings of special tokens become their ids, as in the library."""
         if self.special_pattern and "<|" in text:
             parts = self.special_pattern.split(text)
-            return b"".join([np.uint32(self.special[p]).tobytes() if i % 2 else self._segment(p) for i, p in enumerate(parts) if p])
+            return b"".join([packed([self.special[p]]) if i % 2 else self._segment(p) for i, p in enumerate(parts) if p])
         return self._segment(text)
 
-    def decode(self, packed: bytes) -> str:
+    def decode(self, ids: bytes) -> str:
         """The text of packed ids, special tokens included: bytes where the file has a byte decoder, else tokens joined by spaces."""
-        tokens = [self.tokens[i] for i in np.frombuffer(packed, "<u4").tolist()]
+        tokens = [self.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]
         if not self.byte_decoder:
             return " ".join(tokens)
         out, run = [], bytearray()
@@ -154,14 +180,27 @@ class RankArrayBPE:
         return "".join(out)
 
 
-_loaded: dict[str, RankArrayBPE] = {}
+class LibraryBPE(RankArrayBPE):
+    """The same splitting and caches, with the tokenizers library's own merges for each new word."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.letters, self.model = byte_letters(), Tokenizer.from_file(path).model
+
+    def word_ids(self, word: bytes) -> bytes:
+        return packed([t.id for t in self.model.tokenize("".join([self.letters[b] for b in word]))])
+
+
+_loaded: dict[tuple[type, str], RankArrayBPE] = {}
 
 
-def loaded(path: str) -> RankArrayBPE:
+def loaded(path: str, kind: type[RankArrayBPE] = RankArrayBPE) -> RankArrayBPE:
     """One encoder per file and Python worker."""
-    if path not in _loaded:
-        _loaded[path] = RankArrayBPE(path)
-    return _loaded[path]
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
 def _kind(df: DataFrame, name: str) -> str:
@@ -190,10 +229,10 @@ def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, decode: bool)
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(i, SLICE_ROWS)
-                packed = [bpe.encode(t) for t in part.column(1).to_pylist()]
-                columns = [part.column(0), pa.array(packed, pa.binary())]
+                ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
+                columns = [part.column(0), pa.array(ids, pa.binary())]
                 if decode:
-                    columns.append(pa.array([bpe.decode(p) for p in packed], pa.string()))
+                    columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "ids", "decoded"][: len(columns)])
 
     narrow = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SLICE_ROWS, loaded
+from .bpe import SLICE_ROWS, LibraryBPE, loaded
 from .common import limit_batches, whole
 
 WINDOW = 1024
@@ -130,7 +130,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     limit_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(path, LibraryBPE)
         packer = SumOfSquares(window, max_open, TaskContext.get().partitionId() << 40)
         end = END_ID.to_bytes(4, "little")
 
