@@ -21,8 +21,8 @@ MIN_KEPT_SHARE = 0.5
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
 
-#: Line rules. A line ends well if it has this, closing quotes or brackets allowed after it.
-SENTENCE_END = r"[.!?…。！？:;]['\"”’»)\]]*[\x20\x09-\x0D]*$"
+#: Line rules. A sentence ends with this, closing quotes or brackets allowed after it.
+SENTENCE_END = r"[.!?…。！？:;]['\"”’»)\]]*([\x20\x09-\x0D]|$)"
 #: Two of these separators make a line navigation.
 NAVIGATION = r"(\||»|›|•|·|::|>>)[^\n]*(\||»|›|•|·|::|>>)"
 BOILERPLATE = (
@@ -32,7 +32,9 @@ BOILERPLATE = (
 #: Words that carry symbols, and shouting.
 NOISY_WORD = r"([#*$%&<>=~^_]{2,}|!{2,})"
 MAX_NOISY_SHARE = 0.2
-#: A short line may lack an end mark (a heading), a longer one may not.
+#: Words that are followed by themselves.
+MAX_ECHO_SHARE = 0.3
+#: A short line may lack any sentence end (a heading), a longer one may not.
 HEADING_WORDS = 12
 
 
@@ -75,10 +77,16 @@ def repeated_words(hashes: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """True for a line without words too: it holds nothing to keep."""
-    n_words = F.size(F.split(F.trim(line), SPACE_REGEX))
-    unpunctuated = (n_words > HEADING_WORDS) & ~line.rlike(SENTENCE_END)
-    noisy = F.regexp_count(line, F.lit(NOISY_WORD)) > n_words * MAX_NOISY_SHARE
-    return ~line.rlike(r"[^\x20\x09-\x0D]") | unpunctuated | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | noisy
+
+    def judged(words: Column) -> Column:
+        n_words = F.size(words)
+        unpunctuated = (n_words > HEADING_WORDS) & ~line.rlike(SENTENCE_END)
+        noisy = F.regexp_count(line, F.lit(NOISY_WORD)) > n_words * MAX_NOISY_SHARE
+        echoes = F.size(F.filter(words, lambda w, i: F.get(words, i + 1) == w))
+        echoing = (n_words > HEADING_WORDS) & (echoes > n_words * MAX_ECHO_SHARE)
+        return unpunctuated | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | noisy | echoing
+
+    return ~line.rlike(r"[^\x20\x09-\x0D]") | let(F.split(F.trim(line), SPACE_REGEX), judged)
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
