@@ -54,6 +54,7 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     totals = heads.groupBy("text_sha256").agg(
         best("_run_best").alias("keep_id"), F.sum("_run_size").alias("group_size"), F.min("_salt").alias("_first_salt")
     )
+    totals = materialize(totals)  # so that both sides of the join are dealt for it, and a hot text can be split
     joined = narrow.join(totals, "text_sha256")
     winner = F.when(F.col("keep_id").isNull(), F.col("_salt") == F.col("_first_salt")).otherwise(F.col("_id").eqNullSafe(F.col("keep_id")))
     return joined.select(

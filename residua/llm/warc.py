@@ -3,12 +3,13 @@
 Reading reassembles segments: continuation records are grouped by their origin identifier, ordered by
 segment number, checked against the stated total length, and the chunked transfer framing is decoded.
 Archives are written by Spark's text writer (a record is bytes; the writer's line end is the record's
-last byte), so they may lie in any store that Spark reaches, and are cut after a number of records, so
-that a reader never holds more than FILE_RECORDS * SEGMENT_BYTES of one file.
+last byte; files are gzipped), so they may lie in any store that Spark reaches, and are cut after a number
+of records, so that a reader never holds more than FILE_RECORDS * SEGMENT_BYTES of one file.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -111,7 +112,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], ["record"])
 
     records = with_roles(pages, id_col, url_col, html_col).mapInArrow(write, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).mode("overwrite").text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).mode("overwrite").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -131,6 +132,11 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
+def plain(data: bytes) -> bytes:
+    """An archive's bytes; a gzipped archive, of one member or one per record, is opened."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 SEGMENTS = "origin string, number int, total bigint, kind string, page bigint, refers_to bigint, stated string, block binary"
 
 
@@ -143,7 +149,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for f, block in parse(content.as_py()):
+                for f, block in parse(plain(content.as_py())):
                     refers = f.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
                     rows.append((
                         f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 1)), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None,

@@ -1,15 +1,16 @@
 """Tie-exact ROC and precision-recall curves.
 
-Samples are reduced to one row per distinct score before anything is ordered, so the only global
-window runs over score groups.
+Samples are reduced to one row per distinct score before anything is ordered, and the order over
+score groups is cut into buckets, so no task orders all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import DataError
+from .prefix import cumulative
 
 
 def require_two_classes(samples: DataFrame, label: str) -> DataFrame:
@@ -19,33 +20,36 @@ def require_two_classes(samples: DataFrame, label: str) -> DataFrame:
     return samples
 
 
+def _points(samples: DataFrame, label: str, score: str) -> DataFrame:
+    """Per distinct score: counts of its group and of all groups from the highest score down to it."""
+    groups = samples.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
+    whole = groups.agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n"))
+    return cumulative(groups, "threshold", ["_p", "_n"], descending=True).crossJoin(F.broadcast(whole)).withColumnsRenamed({"_p_upto": "tp", "_n_upto": "fp"})
+
+
+def _rate(part: Column, whole: str) -> Column:
+    return F.coalesce(F.try_divide(part, F.col(whole)), F.lit(0.0))
+
+
 def curve_points(samples: DataFrame, label: str, score: str) -> DataFrame:
     """threshold, tp, fp, fpr, tpr, precision per distinct score, from the highest down. The origin is left out."""
-    groups = samples.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    upto = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    points = groups.select(
-        "threshold", F.sum("_p").over(upto).alias("tp"), F.sum("_n").over(upto).alias("fp"),
-        F.sum("_p").over(whole).alias("_all_p"), F.sum("_n").over(whole).alias("_all_n"),
-    )
     tp, fp = F.col("tp"), F.col("fp")
-    return points.select(
-        "threshold", "tp", "fp",
-        F.coalesce(F.try_divide(fp, F.col("_all_n")), F.lit(0.0)).alias("fpr"),
-        F.try_divide(tp, F.col("_all_p")).alias("tpr"), F.try_divide(tp, tp + fp).alias("precision"),
-    )
+    return _points(samples, label, score).select(
+        "threshold", "tp", "fp", _rate(fp, "_all_n").alias("fpr"), F.try_divide(tp, F.col("_all_p")).alias("tpr"), F.try_divide(tp, tp + fp).alias("precision")
+    )
 
 
 def roc_pr_auc(samples: DataFrame, label: str, score: str) -> DataFrame:
-    """roc_auc (trapezoid), pr_auc (steps), n, n_positive, prevalence, n_tied_score_groups."""
-    order = Window.orderBy(F.col("threshold").desc())
-    points = curve_points(samples, label, score)
-    points = points.withColumn("_fpr", F.lag("fpr", 1, 0.0).over(order)).withColumn("_tpr", F.lag("tpr", 1, 0.0).over(order))
-    area = (F.col("fpr") - F.col("_fpr")) * (F.col("tpr") + F.col("_tpr")) / 2
-    step = (F.col("tpr") - F.col("_tpr")) * F.col("precision")
-    return points.agg(
-        F.sum(area).alias("roc_auc"), F.sum(step).alias("pr_auc"), (F.max("tp") + F.max("fp")).alias("n"), F.max("tp").alias("n_positive"),
-        (F.max("tp") / (F.max("tp") + F.max("fp"))).alias("prevalence"), F.count(F.lit(1)).alias("n_tied_score_groups"),
+    """roc_auc (trapezoid), pr_auc (steps), n, n_positive, prevalence, n_tied_score_groups.
+
+    The point before a group's is the cumulative count less the group's own, so no row looks at another.
+    """
+    tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "_p", "_n"))
+    area = (_rate(fp, "_all_n") - _rate(fp - n, "_all_n")) * (_rate(tp, "_all_p") + _rate(tp - p, "_all_p")) / 2
+    step = (_rate(tp, "_all_p") - _rate(tp - p, "_all_p")) * F.try_divide(tp, tp + fp)
+    return _points(samples, label, score).agg(
+        F.sum(area).alias("roc_auc"), F.sum(step).alias("pr_auc"), (F.sum("_p") + F.sum("_n")).alias("n"), F.sum("_p").alias("n_positive"),
+        (F.sum("_p") / (F.sum("_p") + F.sum("_n"))).alias("prevalence"), F.count(F.lit(1)).alias("n_tied_score_groups"),
     )
 
 

@@ -7,17 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def average_rank(value: str) -> Column:
-    """The mean rank of equal values, from 1."""
-    return F.rank().over(Window.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(value)) - 1) / 2
+from .prefix import cumulative
 
 
 def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """average_rank by counts per distinct value, so that only those are ordered globally."""
+    """The mean rank of equal values, from 1: counts per distinct value, and prefix sums over those."""
     tally = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = tally.select(value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).alias(out))
+    ranks = cumulative(tally, value, ["_n"]).select(value, (F.col("_n_upto") - (F.col("_n") - 1) / 2).alias(out))
     return rows.join(ranks, value)
 
 

@@ -10,15 +10,14 @@ from ..contracts import ArtifactError
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV of the schema; other headers, malformed values and an empty table are errors."""
-    frame = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
-    try:
-        if frame.isEmpty():
-            raise ArtifactError(f"no rows in {path}")
-    except ArtifactError:
-        raise
-    except Exception as error:
-        raise ArtifactError(f"malformed table {path}: {error}") from error
+    """A CSV of the schema; another header and an empty table are errors here, a malformed value when it is read."""
+    wanted = spark.createDataFrame([], schema).columns
+    header = spark.read.option("header", True).csv(path).columns
+    if header != wanted:
+        raise ArtifactError(f"{path} has columns {header}, wanted {wanted}")
+    frame = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    if frame.isEmpty():
+        raise ArtifactError(f"no rows in {path}")
     return frame
 
 
