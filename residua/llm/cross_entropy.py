@@ -1,92 +1,209 @@
 """LM scoring by cross-entropy difference.
 
-A target and a background bigram model share one vocabulary and one smoothing; a document's score is the
-mean over its tokens of the target's loss minus the background's. Negative scores are nearer to the
-target. The vocabulary is a fixed number of hash cells for words and another for word pairs, so that
-every word of every document counts, no document or word is left out at any size, and the models that
-the tasks receive have a fixed size (proven bound: 16 bytes per cell).
+A target and a background bigram model share one vocabulary, all words of all documents, and one
+smoothing; a document's score is the mean over its tokens of the target's loss minus the
+background's. Negative scores are nearer to the target.
+
+The models hold the exact counts of every word and pair and grow with the corpus, so no task and not
+the driver ever holds them. Documents are gathered into chunks; a chunk asks for each of its distinct
+words and pairs once, with its own counts, at the bucket of the key; a bucket adds up what all chunks
+counted and answers each. A frequent word is one entry per chunk, whatever its share of the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, whole
+from .common import limit_batches, scratch_path, whole
 
-WORD_CELLS = 1 << 16
-PAIR_CELLS = 1 << 20
 #: Weight of the shorter history: pseudo-counts spread by the unigram model, and by the uniform one.
 PAIR_PRIOR = 8.0
 WORD_PRIOR = 1.0
+#: A chunk ends when it has so many tokens or documents; a longer document is a chunk of its own.
+CHUNK_TOKENS = 1 << 21
+CHUNK_ROWS = 1 << 16
+#: Tokens of the corpus per bucket of keys.
+BUCKET_TOKENS = 1 << 21
 CACHE_WORDS = 500_000
-#: Fixed value: a multiplier that mixes the ids of a pair (the 64-bit golden ratio).
-MIX = np.uint64(0x9E3779B97F4A7C15)
+SEED = 42
+#: Keys of words are even, those of pairs odd.
+EVEN, ODD = np.uint64(0xFFFFFFFFFFFFFFFE), np.uint64(1)
+#: Odd multipliers that mix the hashes of a pair.
+MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
+TABLE = "chunk string, sizes binary, marks binary, places binary, words binary, n_tokens bigint, n_target bigint"
+ASKED = "bucket int, chunk string, n int, keys binary, counts binary"
+ANSWERED = "chunk string, bucket int, n int, counts binary, n_words bigint"
+
+
+class _Hashes(dict):
+    """Hashes of words on demand; emptied when full, so that memory is bounded."""
 
-class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        value = self[word] = 1 + crc32(word) % (WORD_CELLS - 1)
+        value = self[word] = xxhash.xxh64_intdigest(word, SEED) & ~1
         return value
 
 
-def token_ids(text: str, ids: _Ids) -> np.ndarray:
-    """Cells of the words, A-Z lower-cased, after a 0 for the beginning of the text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.array([0, *map(ids.__getitem__, words)], np.uint32)
+def words_of(text: str) -> list[bytes]:
+    """The words, A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def pair_cells(ids: np.ndarray) -> np.ndarray:
-    key = (ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:].astype(np.uint64)
-    mixed = key * MIX
-    return ((mixed ^ (mixed >> np.uint64(32))) & np.uint64(PAIR_CELLS - 1)).astype(np.int64)
+def _press(values: np.ndarray) -> bytes:
+    """Byte planes, compressed: high bytes of small numbers are nearly free."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.compress(planes.tobytes(), 1)
 
 
-def count_cells(docs: DataFrame, text_col: str = "text", target_col: str = "_target") -> DataFrame:
-    """cell, background, target: counts over all rows, of words below WORD_CELLS and of pairs above.
+def _open(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
-    Each task adds up its rows in two arrays of fixed size and gives a row per cell it met.
-    """
-    limit_batches(docs.sparkSession)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, ids = np.zeros((2, WORD_CELLS + PAIR_CELLS), np.int64), _Ids()
+@dataclass
+class Chunk:
+    """Tokens of some documents: `words` are distinct hashes, `places` the tokens as places in it."""
+
+    sizes: np.ndarray
+    marks: np.ndarray
+    places: np.ndarray
+    words: np.ndarray
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the distinct pairs, and each token's place in them; a text begins after word 0."""
+        tokens = self.words[self.places]
+        before = np.roll(tokens, 1)
+        before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
+        key = (before ^ (before >> np.uint64(29))) * MIX[0] + tokens
+        key = (key ^ (key >> np.uint64(32))) * MIX[1]
+        return np.unique((key ^ (key >> np.uint64(29))) | ODD, return_inverse=True)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All distinct keys in order; where the tokens' words and pairs are among them."""
+        pairs, at = self.pairs()
+        both = np.concatenate([self.words, pairs])
+        order = np.argsort(both)
+        rank = np.empty(len(both), np.int64)
+        rank[order] = np.arange(len(both))
+        return both[order], rank[self.places], rank[len(self.words) + at]
+
+    def counts(self, n: int, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Rows of (all, target) counts by key."""
+        marked = np.repeat(self.marks, self.sizes)
+        return np.stack([sum(np.bincount(x, minlength=n) for x in (w, p)) for w, p in ((words, pairs), (words[marked], pairs[marked]))])
+
+
+def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets' ranges of the ordered keys begin, and the end."""
+    firsts = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(keys, firsts), len(keys))
+
+
+def _chunk(table: pa.RecordBatch | pa.Table, i: int) -> Chunk:
+    sizes, marks, places, words = (table.column(n)[i].as_py() for n in ("sizes", "marks", "places", "words"))
+    return Chunk(_open(sizes, np.int64), _open(marks, np.bool_), _open(places, np.uint32), _open(words, np.uint64))
+
+
+def gather(docs: DataFrame, path: str, kind: str, chunk_tokens: int) -> DataFrame:
+    """Write docs (_id, _text, _target) as chunks under `path` and read them again."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, part, made = _Hashes(), TaskContext.get().partitionId(), 0
+        ids, marks, tokens, total, names = [], [], [], 0, None
+
+        def row() -> pa.RecordBatch:
+            sizes, flags = np.array([len(t) for t in tokens], np.int64), np.array(marks, bool)
+            words, places = np.unique(np.concatenate(tokens), return_inverse=True)
+            packed = [pa.array([_press(x)], pa.binary()) for x in (sizes, flags, places.astype(np.uint32), words)]
+            numbers = [pa.array([int(x)], pa.int64()) for x in (sizes.sum(), sizes[flags].sum())]
+            found = pa.array([ids], pa.list_(names))
+            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{made}"]), *packed, *numbers, found], [*(x.split()[0] for x in TABLE.split(", ")), "ids"])
+
+        for batch in batches:
+            names = batch.column(0).type
+            for key, text, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = np.array([hashes[w] for w in words_of(text)], np.uint64)
+                ids.append(key), marks.append(mark), tokens.append(found)
+                total += len(found)
+                if total >= chunk_tokens or len(ids) >= CHUNK_ROWS:
+                    yield row()
+                    ids, marks, tokens, total, made = [], [], [], 0, made + 1
+        if ids:
+            yield row()
+
+    docs.mapInArrow(make, f"{TABLE}, ids array<{kind}>").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def ask(table: DataFrame, buckets: int) -> DataFrame:
+    """A row per chunk and bucket: the chunk's keys there and its own counts."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = token_ids(text, ids)
-                cells = np.concatenate([tokens[1:].astype(np.int64), pair_cells(tokens) + WORD_CELLS])
-                for total in totals[: 2 if target else 1]:
-                    np.add.at(total, cells, 1)
-        met = np.flatnonzero(totals[0])
-        for i in range(0, len(met), 65536):
-            part = met[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(totals[0][part]), pa.array(totals[1][part])], ["cell", "background", "target"])
-
-    rows = docs.select(whole(text_col).alias("_text"), F.coalesce(F.col(target_col), F.lit(False)).alias("_target"))
-    partial = rows.mapInArrow(count, "cell int, background bigint, target bigint")
-    return partial.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def losses(tokens: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """-ln p(word | word before) of each token under the counts in `cells`."""
-    words, pairs = cells[:WORD_CELLS], cells[WORD_CELLS:]
-    total = words.sum()
-    after, history = tokens[1:], tokens[:-1]
-    single = (words[after] + WORD_PRIOR / WORD_CELLS) / (total + WORD_PRIOR)
-    seen = pairs[pair_cells(tokens)]
+            for i in range(batch.num_rows):
+                chunk, name = _chunk(batch, i), batch.column("chunk")[i].as_py()
+                keys, words, pairs = chunk.keys()
+                counts = chunk.counts(len(keys), words, pairs)
+                ends = cuts(keys, buckets)
+                rows = [(b, name, int(e - s), _press(np.diff(keys[s:e], prepend=np.uint64(0))), _press(counts[:, s:e].ravel())) for b, (s, e) in enumerate(zip(ends, ends[1:], strict=False)) if e > s]
+                if rows:
+                    types = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in ASKED.split(", ")])
+
+    return table.drop("ids").mapInArrow(send, ASKED)
+
+
+def answer(asked: DataFrame) -> DataFrame:
+    """A row per row asked: the counts over all chunks. n_words of one row of a bucket has its distinct words."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.cumsum(_open(x.as_py(), np.uint64), dtype=np.uint64) for x in rows.column("keys")])
+        distinct, place = np.unique(keys, return_inverse=True)
+        own = np.concatenate([_open(x.as_py(), np.int64).reshape(2, -1) for x in rows.column("counts")], axis=1)
+        totals = np.stack([np.bincount(place, weights=c, minlength=len(distinct)).astype(np.int64) for c in own])
+        ends = np.cumsum(rows.column("n").to_numpy())
+        replies = [_press(totals[:, place[s:e]].ravel()) for s, e in zip([0, *ends], ends)]  # noqa: B905
+        n_words = np.zeros(len(replies), np.int64)
+        n_words[0] = (distinct & ODD == 0).sum()
+        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "n": rows.column("n"), "counts": pa.array(replies, pa.binary()), "n_words": pa.array(n_words)})
+
+    return asked.groupBy("bucket").applyInArrow(merge, ANSWERED)
+
+
+def losses(word: np.ndarray, pair: np.ndarray, history: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+    """-ln p(word | word before) of each token from the counts of its word, its pair and the word before."""
+    single = (word + WORD_PRIOR / vocabulary) / (total + WORD_PRIOR)
     # The beginning of a text is no counted word; its history is as common as needed for its pairs.
-    context = np.maximum(words[history], seen)
-    return -np.log((seen + PAIR_PRIOR * single) / (context + PAIR_PRIOR))
+    return -np.log((pair + PAIR_PRIOR * single) / (np.maximum(history, pair) + PAIR_PRIOR))
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_chunk(chunk: Chunk, counts: np.ndarray, words: np.ndarray, pairs: np.ndarray, totals: tuple[int, int], vocabulary: int) -> np.ndarray:
+    """Rows (background, target) of mean losses by document; 0 for a document without tokens."""
+    starts = np.cumsum(chunk.sizes) - chunk.sizes
+    held = np.flatnonzero(chunk.sizes)
+    out = np.zeros((2, len(chunk.sizes)))
+    if len(held):
+        for side in (0, 1):
+            word = counts[side][words].astype(float)
+            history = np.roll(word, 1)
+            history[starts[held]] = 0
+            lost = losses(word, counts[side][pairs].astype(float), history, totals[side], vocabulary)
+            out[side][held] = np.add.reduceat(lost, starts[held]) / chunk.sizes[held]
+    return out
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """One row per input row: id, n_tokens, target_loss, background_loss, score (their difference).
 
     The background model counts all rows, the target model those whose identifier is in `target_ids`.
@@ -95,27 +212,30 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    limit_batches(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
     wanted = target_ids.select(F.col(id_col).alias("_wanted")).filter("_wanted is not null").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
-    marked = texts.join(wanted, texts["_id"] == wanted["_wanted"], "left").select("_text", F.col("_wanted").isNotNull().alias("_target"))
-    found = count_cells(marked, "_text").toPandas()  # a row per cell at most
-    cells = np.zeros((2, WORD_CELLS + PAIR_CELLS), np.float32)
-    cells[0][found["cell"]], cells[1][found["cell"]] = found["background"], found["target"]
-    held = spark.sparkContext.broadcast(cells)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = held.value
-        ids = _Ids()
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                tokens = token_ids(text, ids)
-                n = len(tokens) - 1
-                rows.append((n, float(losses(tokens, target).mean()) if n else 0.0, float(losses(tokens, background).mean()) if n else 0.0))
-            n, t, b = zip(*rows, strict=True) if rows else ((), (), ())
-            t, b = np.array(t, float), np.array(b, float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array(t - b)], ["_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = texts.mapInArrow(score, f"_id {kind}, n_tokens bigint, target_loss double, background_loss double, score double")
+    marked = texts.join(wanted, F.col("_id") == F.col("_wanted"), "left").select("_id", "_text", F.col("_wanted").isNotNull().alias("_target"))
+    table = gather(marked, scratch_path(spark, "chunks"), kind, chunk_tokens)
+    background, target = (int(x or 0) for x in table.agg(F.sum("n_tokens"), F.sum("n_target")).first())
+    buckets = max(1, -(-background // bucket_tokens))
+
+    path = scratch_path(spark, "answers")
+    answer(ask(table, buckets)).write.parquet(path)
+    answers = spark.read.parquet(path)
+    vocabulary = int(answers.agg(F.sum("n_words")).first()[0] or 1)
+
+    def score(chunks: pa.Table, replies: pa.Table) -> pa.Table:
+        chunk = _chunk(chunks, 0)
+        keys, words, pairs = chunk.keys()
+        counts, ends = np.zeros((2, len(keys)), np.int64), cuts(keys, buckets)
+        for bucket, found in zip(replies.column("bucket").to_pylist(), replies.column("counts"), strict=True):
+            counts[:, ends[bucket] : ends[bucket + 1]] = _open(found.as_py(), np.int64).reshape(2, -1)
+        b, t = score_chunk(chunk, counts, words, pairs, (background, target), vocabulary)
+        ids = chunks.column("ids").combine_chunks().flatten()
+        return pa.table({"_id": ids, "n_tokens": chunk.sizes, "target_loss": t, "background_loss": b, "score": t - b})
+
+    both = table.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    scored = both.applyInArrow(score, f"_id {kind}, n_tokens bigint, target_loss double, background_loss double, score double")
     return scored.withColumnRenamed("_id", id_col)

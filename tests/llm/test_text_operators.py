@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import oracle
 import public_tokenizers
 import pytest
@@ -392,27 +393,35 @@ def test_cross_entropy_against_brute_force(spark, docs):
     good = spark.read.parquet(f"{oracle.DATA}/labels.parquet").filter("quality = 1")
     found = {r["doc_id"]: r for r in cross_entropy.cross_entropy_difference(docs, good).collect()}
     wanted = {r["doc_id"] for r in good.collect()}
-    ids = cross_entropy._Ids()
-    tokens = {d: cross_entropy.token_ids(t, ids).tolist() for d, t in texts(docs).items()}
+    tokens = {d: cross_entropy.words_of(t) for d, t in texts(docs).items()}
+    vocabulary = len({w for words in tokens.values() for w in words})
     models = []
     for members in (set(tokens), wanted):
         single, pair = Counter(), Counter()
         for d in members:
-            single.update(tokens[d][1:])
-            pair.update(cross_entropy.pair_cells(np.array(tokens[d], np.uint32)).tolist())
+            single.update(tokens[d])
+            pair.update(zip([b"", *tokens[d]], tokens[d]))  # noqa: B905
         models.append((single, pair, sum(single.values())))
 
     def loss(d, model):
         single, pair, total = model
         out = 0.0
-        for u, w, cell in zip(tokens[d], tokens[d][1:], cross_entropy.pair_cells(np.array(tokens[d], np.uint32)).tolist(), strict=False):
-            p = (single[w] + cross_entropy.WORD_PRIOR / cross_entropy.WORD_CELLS) / (total + cross_entropy.WORD_PRIOR)
-            out -= np.log((pair[cell] + cross_entropy.PAIR_PRIOR * p) / (max(single[u], pair[cell]) + cross_entropy.PAIR_PRIOR))
-        return out / max(1, len(tokens[d]) - 1)
-
-    for d in list(tokens)[:100]:
-        assert found[d]["n_tokens"] == len(tokens[d]) - 1
-        assert found[d]["score"] == pytest.approx(loss(d, models[1]) - loss(d, models[0]), abs=1e-4)
+        for u, w in zip([b"", *tokens[d]], tokens[d]):  # noqa: B905
+            p = (single[w] + cross_entropy.WORD_PRIOR / vocabulary) / (total + cross_entropy.WORD_PRIOR)
+            out -= np.log((pair[u, w] + cross_entropy.PAIR_PRIOR * p) / (max(single[u], pair[u, w]) + cross_entropy.PAIR_PRIOR))
+        return out / max(1, len(tokens[d]))
+
+    for d in tokens:
+        assert found[d]["n_tokens"] == len(tokens[d])
+        assert found[d]["target_loss"] == pytest.approx(loss(d, models[1]), abs=1e-9)
+        assert found[d]["background_loss"] == pytest.approx(loss(d, models[0]), abs=1e-9)
+
+
+def test_cross_entropy_is_the_same_in_small_chunks_and_buckets(spark, docs):
+    good = spark.read.parquet(f"{oracle.DATA}/labels.parquet").filter("quality = 1")
+    whole = cross_entropy.cross_entropy_difference(docs, good).toPandas().sort_values("doc_id", ignore_index=True)
+    cut = cross_entropy.cross_entropy_difference(docs, good, chunk_tokens=3000, bucket_tokens=5000).toPandas().sort_values("doc_id", ignore_index=True)
+    pd.testing.assert_frame_equal(whole, cut)
 
 
 def test_cross_entropy_tells_target_from_the_rest(spark, docs):
