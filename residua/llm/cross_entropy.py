@@ -30,17 +30,18 @@ PAIR_PRIOR = 8.0
 WORD_PRIOR = 1.0
 #: A chunk ends when it has so many tokens or documents; a longer document is a chunk of its own.
 CHUNK_TOKENS = 1 << 21
-CHUNK_ROWS = 1 << 16
+#: So many documents at most, as a bitmap of Spark has bits.
+CHUNK_ROWS = 1 << 15
 #: Tokens of the corpus per bucket of keys.
 BUCKET_TOKENS = 1 << 21
 CACHE_WORDS = 500_000
 SEED = 42
 #: Keys of words are even, those of pairs odd.
-EVEN, ODD = np.uint64(0xFFFFFFFFFFFFFFFE), np.uint64(1)
+ODD = np.uint64(1)
 #: Odd multipliers that mix the hashes of a pair.
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-TABLE = "chunk string, sizes binary, marks binary, places binary, words binary, n_tokens bigint, n_target bigint"
+TABLE = "chunk string, sizes array<int>, places binary, words binary, n_tokens bigint"
 ASKED = "bucket int, chunk string, n int, keys binary, counts binary"
 ANSWERED = "chunk string, bucket int, n int, counts binary, n_words bigint"
 
@@ -111,34 +112,37 @@ def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _chunk(table: pa.RecordBatch | pa.Table, i: int) -> Chunk:
-    sizes, marks, places, words = (table.column(n)[i].as_py() for n in ("sizes", "marks", "places", "words"))
-    return Chunk(_open(sizes, np.int64), _open(marks, np.bool_), _open(places, np.uint32), _open(words, np.uint64))
+    sizes = np.array(table.column("sizes")[i].as_py(), np.int64)
+    bits = table.column("bitmap")[i].as_py() or b""
+    marks = np.zeros(len(sizes), bool)
+    found = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")[: len(sizes)]
+    marks[: len(found)] = found
+    return Chunk(sizes, marks, *(_open(table.column(n)[i].as_py(), t) for n, t in (("places", np.uint32), ("words", np.uint64))))
 
 
 def gather(docs: DataFrame, path: str, kind: str, chunk_tokens: int) -> DataFrame:
-    """Write docs (_id, _text, _target) as chunks under `path` and read them again."""
+    """Write docs (_id, _text) as chunks under `path` and read them again."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, part, made = _Hashes(), TaskContext.get().partitionId(), 0
-        ids, marks, tokens, total, names = [], [], [], 0, None
+        ids, tokens, total, names = [], [], 0, None
 
         def row() -> pa.RecordBatch:
-            sizes, flags = np.array([len(t) for t in tokens], np.int64), np.array(marks, bool)
             words, places = np.unique(np.concatenate(tokens), return_inverse=True)
-            packed = [pa.array([_press(x)], pa.binary()) for x in (sizes, flags, places.astype(np.uint32), words)]
-            numbers = [pa.array([int(x)], pa.int64()) for x in (sizes.sum(), sizes[flags].sum())]
-            found = pa.array([ids], pa.list_(names))
-            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{made}"]), *packed, *numbers, found], [*(x.split()[0] for x in TABLE.split(", ")), "ids"])
+            packed = [pa.array([_press(x)], pa.binary()) for x in (places.astype(np.uint32), words)]
+            lists = pa.array([[len(t) for t in tokens]], pa.list_(pa.int32())), pa.array([ids], pa.list_(names))
+            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{made}"]), lists[0], *packed, pa.array([len(places)], pa.int64()), lists[1]], [*(x.split()[0] for x in TABLE.split(", ")), "ids"])
 
         for batch in batches:
             names = batch.column(0).type
-            for key, text, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = np.array([hashes[w] for w in words_of(text)], np.uint64)
-                ids.append(key), marks.append(mark), tokens.append(found)
+                ids.append(key)
+                tokens.append(found)
                 total += len(found)
                 if total >= chunk_tokens or len(ids) >= CHUNK_ROWS:
                     yield row()
-                    ids, marks, tokens, total, made = [], [], [], 0, made + 1
+                    ids, tokens, total, made = [], [], 0, made + 1
         if ids:
             yield row()
 
@@ -146,6 +150,19 @@ def gather(docs: DataFrame, path: str, kind: str, chunk_tokens: int) -> DataFram
     return docs.sparkSession.read.parquet(path)
 
 
+def mark(table: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
+    """Write a bitmap of the documents wanted per chunk, and their tokens, under `path` and read it again.
+
+    Only identifiers are joined. Written, the bitmaps have a known size: Spark broadcasts them to the
+    chunks below its threshold and deals both sides by chunk beyond it.
+    """
+    rows = table.select("chunk", F.size("ids").alias("_n"), F.posexplode(F.arrays_zip("ids", "sizes")).alias("_at", "_doc"))
+    rows = rows.select("chunk", "_n", "_at", F.col("_doc.ids").alias("_wanted"), F.col("_doc.sizes").alias("_size")).join(wanted, "_wanted")
+    bits = F.substring(F.bitmap_construct_agg(F.col("_at").cast("bigint")), F.lit(1), F.floor((F.max("_n") + 7) / 8).cast("int"))
+    rows.groupBy("chunk").agg(bits.alias("bitmap"), F.sum("_size").alias("n_target")).write.parquet(path)
+    return table.sparkSession.read.parquet(path)
+
+
 def ask(table: DataFrame, buckets: int) -> DataFrame:
     """A row per chunk and bucket: the chunk's keys there and its own counts."""
 
@@ -216,9 +233,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = target_ids.select(F.col(id_col).alias("_wanted")).filter("_wanted is not null").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
-    marked = texts.join(wanted, F.col("_id") == F.col("_wanted"), "left").select("_id", "_text", F.col("_wanted").isNotNull().alias("_target"))
-    table = gather(marked, scratch_path(spark, "chunks"), kind, chunk_tokens)
-    background, target = (int(x or 0) for x in table.agg(F.sum("n_tokens"), F.sum("n_target")).first())
+    table = gather(texts, scratch_path(spark, "chunks"), kind, chunk_tokens)
+    marks = mark(table, wanted, scratch_path(spark, "marks"))
+    background, target = (int(x.first()[0] or 0) for x in (table.agg(F.sum("n_tokens")), marks.agg(F.sum("n_target"))))
+    table = table.join(marks.drop("n_target"), "chunk", "left")
     buckets = max(1, -(-background // bucket_tokens))
 
     path = scratch_path(spark, "answers")
