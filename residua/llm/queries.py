@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, compression, packing, warc
-from .common import scratch_path, table
+from . import bpe, compression, packing, quality_rules as rules, url_filters, warc
+from .common import SPACE_REGEX, scratch_path, table
 from .cross_entropy import cross_entropy_difference
 from .exact_dedup import content_sort_dedup
 from .quality_rules import quality_rules
@@ -75,7 +75,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"))
+    return filter_urls(table(spark, sf_dir, "pages")).drop("candidates")
 
 
 OP5_SQL = """
@@ -89,3 +89,74 @@ SELECT doc_id,
        sha256(t) AS text_sha256
 FROM n
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_SPACES = _quoted(SPACE_REGEX)
+
+OP2_SQL = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), {_SPACES}), lambda x: x <> '') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i : i + {rules.WINDOW_WORDS - 1}], ' ') AS h FROM w, unnest(range(1, len(words) - {rules.WINDOW_WORDS - 2})) AS r(i)
+), twins AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1
+), covered AS (
+  SELECT doc_id, sum(least({rules.WINDOW_WORDS}, coalesce(after - i, {rules.WINDOW_WORDS})))::BIGINT AS n
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM twins) GROUP BY doc_id
+), cut AS (
+  SELECT doc_id, line, regexp_split_to_array(trim(line), {_SPACES}) AS words
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, {_quoted("[^" + SPACE_REGEX[1:-2] + "]")})
+), judged AS (
+  SELECT doc_id, line, len(words) AS n,
+         len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS echoes,
+         len(regexp_extract_all(line, {_quoted(rules.NOISY_WORD)})) AS noisy
+  FROM cut
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS dups, sum(length(line)) AS chars,
+         coalesce(sum(length(line)) FILTER (NOT (
+           n > {rules.HEADING_WORDS} AND NOT regexp_matches(line, {_quoted(rules.SENTENCE_END)}) OR regexp_matches(line, {_quoted(rules.NAVIGATION)})
+           OR regexp_matches(line, {_quoted(rules.BOILERPLATE)}) OR noisy > n * {rules.MAX_NOISY_SHARE} OR n > {rules.HEADING_WORDS} AND echoes > n * {rules.MAX_ECHO_SHARE})), 0) AS kept_chars
+  FROM judged GROUP BY doc_id
+), base AS (
+  SELECT doc_id, len(w.words)::BIGINT AS n_words, length(array_to_string(w.words, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, {_quoted("[" + rules.SYMBOLS + "]")}))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, coalesce(chars, 0) AS chars, coalesce(kept_chars, 0)::BIGINT AS kept_chars
+  FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+       NOT base_failed AND kept_chars >= chars * {rules.MIN_KEPT_SHARE} AS kept, kept_chars
+FROM base
+"""
+
+OP9_SQL = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, octet_length(encode(t)) AS n, CASE WHEN n >= {warc.REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY t) END AS first FROM pages
+)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, NULL::VARCHAR AS problem
+FROM p
+"""
+
+_HOST_RULES = ", ".join(f"({_quoted(action)}, {_quoted(host)}, {_quoted(path)})" for action, host, path in url_filters.HOST_RULES)
+_SPAM = " OR ".join(f"regexp_matches(u.host || u.path, {_quoted(url_filters.spam_rule(x).pattern)})" for x in url_filters.SPAM_PATTERNS)
+
+OP10_SQL = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LETTERS}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), r AS (
+  SELECT * FROM (VALUES {_HOST_RULES}) AS r(action, h, start)
+), fits AS (
+  SELECT page_id, arg_max(h || start, length(h || start)) AS rule, arg_max(action, length(h || start)) AS action
+  FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY page_id
+)
+SELECT u.page_id, u.host, u.path, rule, coalesce(action, CASE WHEN {_SPAM} THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fits USING (page_id)
+"""

@@ -22,5 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": q.OP2_SQL,
     "op5_exact_dedup": q.OP5_SQL,
+    "op9_warc": q.OP9_SQL,
+    "op10_url_filters": q.OP10_SQL,
 }

@@ -244,8 +244,8 @@ def test_sharding_of_hot_groups_and_edges(spark, edges):
     assert sharding.balanced_label_propagation(edges.filter("false")).count() == 0
 
 
-def test_exact_dedup_agrees_with_sql(spark):
-    name = "op5_exact_dedup"
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_agrees_with_sql(spark, name):
     assert oracle.difference(registry.QUERIES[name](spark, oracle.DATA), oracle.connection(), registry.ORACLES[name]) is None
 
 
