@@ -29,7 +29,7 @@ from .common import limit_batches, scratch_path, whole
 PAIR_PRIOR = 8.0
 WORD_PRIOR = 1.0
 #: A chunk ends when it has so many tokens or documents; a longer document is a chunk of its own.
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 #: So many documents at most, as a bitmap of Spark has bits.
 CHUNK_ROWS = 1 << 15
 #: Tokens of the corpus per bucket of keys.
