@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, compression, packing, quality_rules as rules, url_filters, warc
-from .common import SPACE_REGEX, scratch_path, table
+from .common import SPACE_REGEX, materialize, scratch_path, table
 from .cross_entropy import cross_entropy_difference
 from .exact_dedup import content_sort_dedup
 from .quality_rules import quality_rules
@@ -61,7 +61,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    read = warc.read_archives(spark, path).drop("payload")
+    read = materialize(warc.read_archives(spark, path).drop("payload"))
     sizes = read.filter("kind = 'response'").groupBy(F.col("page").alias("_page"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
     joined = read.join(sizes, (F.col("kind") == "revisit") & (F.col("refers_to") == F.col("_page")) & (F.col("stated") == F.col("_digest")), "left")
     return joined.select(
