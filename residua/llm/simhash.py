@@ -15,11 +15,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, limit_batches, materialize, whole
+from .common import arrow_batches, bucket_count, limit_batches, materialize, running_sum, whole
 from .components import connected_components
 
 #: Fixed values of the contract: seed, words of a shingle, radius.
@@ -36,8 +37,9 @@ NEAR_WORDS = 5
 NEAR_SIMILARITY = 0.8
 NEAR_RADIUS = 32
 NEAR_SEEDS = (42, 43)
-#: Forests per pair of tiles where links are verified afterwards: a false link in one leaves the others.
-NEAR_FORESTS = 3
+#: A block of a group of candidates: so many shingles, about, where a document costs some beside its own.
+BLOCK_SHINGLES = 1_000_000
+DOCUMENT_SHINGLES = 256
 
 #: Tile pairs with up to so many links are rid of links inside one tree between looks at the rest.
 _LOOK = 2048
@@ -97,8 +99,8 @@ def ball(dimensions: int, radius: int) -> list[tuple[int, ...]]:
 _BASE = 1024
 
 
-def tile_links(nodes: DataFrame, counts: Sequence[Column], steps: Sequence[Sequence[int]], radius: int, forests: int = 1, words: int = 1, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Links (a, b, distance) that span, `forests` times over, what links of up to `radius` bits connect.
+def tile_links(nodes: DataFrame, counts: Sequence[Column], steps: Sequence[Sequence[int]], radius: int, words: int = 1, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Links (a, b, distance) that span what links of up to `radius` bits connect.
 
     nodes: _rep (a distinct identifier), f0 ... Tiles are keyed by `counts`, non-negative and below
     500; two tiles are compared when their counts differ by one of `steps`.
@@ -122,7 +124,7 @@ def tile_links(nodes: DataFrame, counts: Sequence[Column], steps: Sequence[Seque
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = [_arrays(batch.column(i), words) for i in (0, 1)]
-            found = [compare_tiles(a, b, one, radius, forests) for a, b, one in zip(*sides, batch.column(2).to_pylist(), strict=True)]
+            found = [compare_tiles(a, b, one, radius) for a, b, one in zip(*sides, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(zip(*found, strict=True) if found else ((), (), ()), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "distance"])
 
     with arrow_batches(spark, 64):
@@ -177,10 +179,10 @@ class _Forest:
         return taken
 
 
-def compare_tiles(a: list[np.ndarray], b: list[np.ndarray], same: bool, radius: int, forests: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare_tiles(a: list[np.ndarray], b: list[np.ndarray], same: bool, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spanning links between two tiles (or inside one): identifiers of both ends and the distance."""
     n, m = len(a[0]), len(b[0])
-    trees = [_Forest(n if same else n + m) for _ in range(forests)]
+    tree = _Forest(n if same else n + m)
     out: list[tuple] = []
     left, right = ([w.view(np.uint64) for w in side[1:]] for side in (a, b))
     for y in range(0, m, _COLUMNS):
@@ -200,10 +202,8 @@ def compare_tiles(a: list[np.ndarray], b: list[np.ndarray], same: bool, radius:
                 i, j, d = i[keep], j[keep], d[keep]
             order = np.argsort(d, kind="stable")
             i, j, d = i[order], j[order], d[order]
-            for tree in trees:
-                taken = tree.grow(i, j if same else j + n)
-                out.append((a[0][i[taken]], b[0][j[taken]], d[taken].astype(np.int32)))
-                i, j, d = i[~taken], j[~taken], d[~taken]
+            taken = tree.grow(i, j if same else j + n)
+            out.append((a[0][i[taken]], b[0][j[taken]], d[taken].astype(np.int32)))
     if not out:
         return np.array([], np.int64), np.array([], np.int64), np.array([], np.int32)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -228,23 +228,30 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
     """(node, component) for documents that near copies tie to a smaller identifier.
 
-    Candidates are links of 128-bit SimHash fingerprints over sets of word shingles, between tiles
-    whose shingle counts allow the similarity; a candidate counts if the Jaccard similarity of its
-    whole texts' shingles reaches `similarity`. Documents without words are left alone.
+    Links of 128-bit SimHash fingerprints over sets of word shingles, between tiles whose shingle
+    counts allow the similarity, make groups of candidates. Inside a group every pair of documents
+    counts whose Jaccard similarity of their whole texts' shingles reaches `similarity`. Documents
+    without words are left alone.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, words, NEAR_SEEDS, repeats=False).filter("_size > 0 and _id is not null"))
     nodes = materialize(prints.groupBy("f0", "f1").agg(F.min("_id").cast("bigint").alias("_rep"), F.min("_size").alias("_size")))
     band = F.floor(F.log("_size") / -math.log(similarity)).cast("int")
-    candidates = tile_links(nodes, [band], [(0,), (1,)], radius, NEAR_FORESTS, words=2)
+    candidates = tile_links(nodes, [band], [(0,), (1,)], radius, words=2).select("a", "b")
     equal = prints.join(nodes.select("f0", "f1", "_rep"), ["f0", "f1"]).filter("_id <> _rep").select(F.col("_rep").alias("a"), F.col("_id").cast("bigint").alias("b"))
-    verified = verify_links(docs, candidates.select("a", "b"), id_col, text_col, words, similarity)
-    return connected_components(verified.unionByName(equal))
+    groups = connected_components(candidates.unionByName(equal))
+    return connected_components(verified_links(docs, groups, id_col, text_col, words, similarity))
 
 
-def verify_links(docs: DataFrame, links: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The links whose documents' shingle sets reach the Jaccard similarity."""
-    limit_batches(docs.sparkSession)
-    ends = materialize(links.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+def verified_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, words: int, similarity: float, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (a, b) that span, in each group, what all pairs that reach the Jaccard similarity connect.
+
+    groups: (node, component) of candidates, without the components' own nodes. A large group is cut
+    into blocks. Each block is settled by itself, then each pair of blocks of a group, where
+    documents that are linked already count as one.
+    """
+    spark = docs.sparkSession
+    limit_batches(spark)
+    members = materialize(groups.select(F.col("node").alias("_id"), "component").unionByName(groups.select(F.col("component").alias("_id"), "component").distinct()))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,11 +259,77 @@ def verify_links(docs: DataFrame, links: DataFrame, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_id", "_set"])
 
     narrow = docs.select(F.col(id_col).cast("bigint").alias("_id"), whole(text_col).alias("_text"))
-    sets = materialize(narrow.join(ends, "_id", "left_semi").mapInArrow(hashed, "_id bigint, _set array<bigint>"))
-    left = sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa"))
-    right = sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb"))
-    both = links.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("_sa", "_sb")).alias("_common"), (F.size("_sa") + F.size("_sb")).alias("_sum"))
-    return both.filter(F.col("_common") >= F.lit(similarity) * (F.col("_sum") - F.col("_common"))).select("a", "b")
+    sets = narrow.join(members, "_id", "left_semi").mapInArrow(hashed, "_id bigint, _set array<bigint>").filter("size(_set) > 0")
+    sized = materialize(sets.join(members, "_id").withColumn("_cost", F.size("_set") + DOCUMENT_SHINGLES))
+    placed = running_sum(sized, ["component"], ["_id"], "_before", bucket_count(sized.count()), "_cost")
+    placed = placed.select("component", F.floor(F.col("_before") / block).cast("int").alias("_block"), "_id", "_set")
+    blocks = materialize(_blocks(placed.withColumn("_label", F.lit(None).cast("bigint"))))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [settle_blocks([_documents(c, r) for c in batch.columns], similarity) for r in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for links in found for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    with arrow_batches(spark, 16):
+        links = materialize(blocks.select("_nodes").mapInArrow(settle, "a bigint, b bigint"))
+    several = materialize(blocks.groupBy("component").agg(F.max("_block").alias("_last")).filter("_last > 0").select("component"))
+    if several.isEmpty():
+        return links
+    labels = connected_components(links).withColumnRenamed("node", "_id").withColumnRenamed("component", "_label")
+    rest = blocks.join(several, "component", "left_semi").select("component", "_block", F.inline("_nodes"))
+    rest = materialize(_blocks(rest.drop("_label").join(labels, "_id", "left")))
+    first, second = (rest.select("component", F.col("_block").alias(f"_{x}"), F.col("_nodes").alias(f"_n{x}")) for x in "ab")
+    names = rest.select("component", F.col("_block").alias("_a"))
+    pairs = names.join(names.withColumnRenamed("_a", "_b"), "component").filter("_a < _b")
+    both = pairs.join(first, ["component", "_a"]).join(second, ["component", "_b"])
+    with arrow_batches(spark, 4):
+        return links.unionByName(materialize(both.select("_na", "_nb").mapInArrow(settle, "a bigint, b bigint")))
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """A row per block: its documents with the label of those they are linked to (bounded by the block's size)."""
+    return placed.groupBy("component", "_block").agg(F.collect_list(F.struct("_id", F.coalesce("_label", "_id").alias("_label"), "_set")).alias("_nodes"))
+
+
+def _documents(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Identifiers, labels, shingle counts and all shingles of the documents of one block."""
+    nodes = column.slice(row, 1).flatten()
+    ids, labels, sets = (nodes.field(i) for i in range(3))
+    return ids.to_numpy(), labels.to_numpy(), pc.list_value_length(sets).to_numpy().astype(np.int64), sets.flatten().to_numpy()
+
+
+def settle_blocks(blocks: list[tuple[np.ndarray, ...]], similarity: float) -> list[tuple[int, int]]:
+    """Links that join different labels, within one block or between two, at the similarity or more.
+
+    Documents are ordered by their numbers of shingles, so those that may be similar to one follow it.
+    """
+    ids, labels, sizes, flat = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    side = np.repeat(np.arange(len(blocks)), [len(b[0]) for b in blocks])
+    order = np.argsort(sizes, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    words, flat = np.unique(flat, return_inverse=True)
+    flat = np.concatenate([flat[starts[k] : starts[k + 1]] for k in order])
+    ids, labels, sizes, side = ids[order], labels[order].copy(), sizes[order], side[order]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    last = np.searchsorted(sizes, sizes / similarity + 1e-6, "right")
+    mask = np.zeros(len(words), np.uint8)
+    out = []
+    for i in range(len(ids) - 1):
+        end = last[i]
+        open_ = labels[i + 1 : end] != labels[i]
+        if len(blocks) > 1:
+            open_ &= side[i + 1 : end] != side[i]
+        if not open_.any():
+            continue
+        own = flat[starts[i] : starts[i + 1]]
+        mask[own] = 1
+        common = np.add.reduceat(mask[flat[starts[i + 1] : starts[end]]], starts[i + 1 : end] - starts[i + 1], dtype=np.int64)
+        mask[own] = 0
+        for j in (np.flatnonzero(open_ & (common / (sizes[i] + sizes[i + 1 : end] - common) >= similarity)) + i + 1).tolist():
+            if labels[j] != labels[i]:
+                out.append((int(ids[i]), int(ids[j])))
+                labels[labels == labels[j]] = labels[i]
+    return out
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

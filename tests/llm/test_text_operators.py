@@ -156,6 +156,48 @@ def test_near_copies_of_the_pipeline(spark):
     assert {base_of[d] for d in kept} == set(base_of.values())
 
 
+def star(seed, leaves, words=200, changes=4):
+    """A text and copies that are near to it alone: a false candidate for each pair of copies."""
+    rng = random.Random(seed)
+    centre = [f"w{seed}x{k}" for k in range(words)]
+    texts = []
+    for leaf in range(leaves):
+        mutated = list(centre)
+        for at in rng.sample(range(4, words - 4, 5), changes):
+            mutated[at] = f"l{leaf}x{at}"
+        texts.append(" ".join(mutated))
+    return " ".join(centre), texts
+
+
+def test_a_star_of_near_copies_among_false_candidates(spark):
+    centre, leaves = star(1, 999)
+    texts = [*leaves[:500], centre, *leaves[500:]]
+    assert all(jaccard(centre, x) >= 0.8 for x in leaves) and jaccard(leaves[0], leaves[1]) < 0.8
+    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in kept] == [0]
+
+
+def test_links_inside_and_between_blocks(spark):
+    texts = []
+    for family in range(4):
+        centre, leaves = star(family, 25, changes=3 + family)
+        texts += [*leaves[:20], centre, *leaves[20:]]
+    random.Random(0).shuffle(texts)
+    rows = list(enumerate(texts))
+    parent = list(range(len(rows)))
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                x, y = parent[i], parent[j]
+                parent = [min(x, y) if p in (x, y) else p for p in parent]
+    groups = spark.createDataFrame([(i, 0) for i, _ in rows if i], "node long, component long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = simhash.verified_links(docs, groups, "doc_id", "text", 5, 0.8, block=10_000)
+    found = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    assert [found.get(i, i) for i, _ in rows] == parent
+
+
 def brute_rules(text):
     words = WORD.findall(text or "")
     windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
