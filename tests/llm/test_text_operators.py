@@ -286,6 +286,13 @@ def test_sharding_of_hot_groups_and_edges(spark, edges):
     assert sharding.balanced_label_propagation(edges.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize(("sizes", "pieces"), [([2] * 400, 400), ([2] * 396 + [1] * 8, 404), ([53] * 16 + [1] * 64, 86), ([300, 90, 90, 80, 20, 20], 13)])
+def test_sharding_keeps_copies_together_where_little_room_is_free(spark, sizes, pieces):
+    texts = dict(enumerate(f"t{k}" for k, n in enumerate(sizes) for _ in range(n)))
+    found = sharding.balanced_label_propagation(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shards=10).collect()
+    assert sum(map(len, check_shards(found, 10, texts).values())) == pieces
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_agrees_with_sql(spark, name):
     assert oracle.difference(registry.QUERIES[name](spark, oracle.DATA), oracle.connection(), registry.ORACLES[name]) is None
