@@ -31,12 +31,14 @@ RADIUS = 3
 SEGMENTS = 3
 #: Nodes of a tile, about; a key with more nodes has several tiles.
 TILE_ROWS = 8192
-#: Near copies on word shingles: five words, Jaccard similarity 0.8. 128 bits find them; at similarity
-#: 0.8 the expected distance is 19.4 bits with a deviation of 4.1, so 32 bits miss one link in a thousand.
+#: Near copies on word shingles: five words, Jaccard similarity 0.8. 128 bits find most; at similarity
+#: 0.8 the expected distance is 19.4 bits with a deviation of 4.1, so 32 bits alone miss one link in a
+#: thousand, and more between short texts; where one has few shingles, `shared_links` finds all.
 NEAR_WORDS = 5
 NEAR_SIMILARITY = 0.8
 NEAR_RADIUS = 32
 NEAR_SEEDS = (42, 43)
+SHORT_SHINGLES = 64
 #: A block of a group of candidates: so many shingles, about, where a document costs some beside its own.
 BLOCK_SHINGLES = 1_000_000
 DOCUMENT_SHINGLES = 256
@@ -229,19 +231,42 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(node, component) for documents that near copies tie to a smaller identifier.
 
     Links of 128-bit SimHash fingerprints over sets of word shingles, between tiles whose shingle
-    counts allow the similarity, make groups of candidates. Inside a group every pair of documents
-    counts whose Jaccard similarity of their whole texts' shingles reaches `similarity`. Documents
-    without words are left alone.
+    counts allow the similarity, make groups of candidates, with the links of `shared_links`. Inside
+    a group every pair of documents counts whose Jaccard similarity of their whole texts' shingles
+    reaches `similarity`. Documents without words are left alone.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, words, NEAR_SEEDS, repeats=False).filter("_size > 0 and _id is not null"))
     nodes = materialize(prints.groupBy("f0", "f1").agg(F.min("_id").cast("bigint").alias("_rep"), F.min("_size").alias("_size")))
     band = F.floor(F.log("_size") / -math.log(similarity)).cast("int")
     candidates = tile_links(nodes, [band], [(0,), (1,)], radius, words=2).select("a", "b")
     equal = prints.join(nodes.select("f0", "f1", "_rep"), ["f0", "f1"]).filter("_id <> _rep").select(F.col("_rep").alias("a"), F.col("_id").cast("bigint").alias("b"))
-    groups = connected_components(candidates.unionByName(equal))
+    groups = connected_components(candidates.unionByName(equal).unionByName(shared_links(docs, id_col, text_col, words, similarity)))
     return connected_components(verified_links(docs, groups, id_col, text_col, words, similarity))
 
 
+def shared_links(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, short: int = SHORT_SHINGLES) -> DataFrame:
+    """Links (a, b) that connect all pairs that may reach the Jaccard similarity, one of up to `short` shingles.
+
+    Of n shingles such a pair shares n times the similarity at least, so it shares one of the
+    n - ceil(similarity n) + 1 with the smallest hashes on each side. Documents with one of these in
+    common are linked to the smallest identifier among them.
+    """
+    limit_batches(docs.sparkSession)
+    most = short / similarity
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [set(shingles(t, words)) for t in batch.column(1).to_pylist()]
+            sets = [np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in x if len(x) <= most], np.uint64)).view(np.int64) for x in parts]
+            sets = [x[: len(x) - math.ceil(similarity * len(x) - 1e-6) + 1] for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), np.array([len(x) for x in sets], np.int64)), pa.int64()), pa.array(np.concatenate([np.array([], np.int64), *sets]), pa.int64())], ["b", "_hash"])
+
+    narrow = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), whole(text_col).alias("_text"))
+    hashes = materialize(narrow.mapInArrow(lowest, "b bigint, _hash bigint"))
+    shared = hashes.groupBy("_hash").agg(F.min("b").alias("a"), F.max("b").alias("_last")).filter("a < _last").select("_hash", "a")
+    return materialize(hashes.join(shared, "_hash").filter("a <> b").select("a", "b").distinct())
+
+
 def verified_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, words: int, similarity: float, block: int = BLOCK_SHINGLES) -> DataFrame:
     """Links (a, b) that span, in each group, what all pairs that reach the Jaccard similarity connect.
 

@@ -169,6 +169,18 @@ def star(seed, leaves, words=200, changes=4):
     return " ".join(centre), texts
 
 
+def test_near_copies_of_short_texts(spark):
+    """Pairs of 4 of 5, 8 of 10 and 12 of 15 shingles: a similarity of exactly 0.8."""
+    rows = []
+    for n in (4, 8, 12):
+        for k in range(1000):
+            text = [f"s{n}x{k}x{w}" for w in range(n + 4 + n // 4)]
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text[: n + 4]))]
+    assert all(jaccard(rows[k][1], rows[k + 1][1]) == 0.8 for k in range(0, len(rows), 2))
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, len(rows), 2))
+
+
 def test_a_star_of_near_copies_among_false_candidates(spark):
     centre, leaves = star(1, 999)
     texts = [*leaves[:500], centre, *leaves[500:]]
