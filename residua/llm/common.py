@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +19,18 @@ SPACE_REGEX = r"[\x20\x09-\x0D]+"
 
 #: Rows that one bucket of a distributed running sum holds, about.
 BUCKET_ROWS = 50_000
-MIN_BUCKETS = 64
+#: Rows of identifiers or digests that may be broadcast: some 20 MB.
+BROADCAST_ROWS = 250_000
+MIN_BUCKETS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir), set here only where nothing set it."""
+    """The folder all executors share (spark.checkpoint.dir); only a local master gets one made where nothing set it."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if context.getCheckpointDir() is None:
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = folder or tempfile.mkdtemp(prefix="residua-checkpoints-")
         context.setCheckpointDir(folder)
     return folder
@@ -42,6 +47,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow, materialized side of a join: for broadcast if it has at most so many rows, else to be shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
@@ -84,19 +94,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def limit_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts may be long: hand them to Python in batches of so many rows at most."""
+    """For the queries and the pipeline, whose texts may be long: Arrow batches of so many rows at most.
+
+    It changes the session's setting, so the operators leave it to their callers; Spark bounds batches
+    in bytes too.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
 
 
-@contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Hand Python at most so many rows at once in what runs inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches, which Spark bounds in bytes, so that few texts are Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, compression, packing, quality_rules as rules, url_filters, warc
-from .common import SPACE_REGEX, materialize, scratch_path, table
+from .common import SPACE_REGEX, limit_batches, materialize, scratch_path, table as read_table
 from .cross_entropy import cross_entropy_difference
 from .exact_dedup import content_sort_dedup
 from .quality_rules import quality_rules
@@ -16,6 +16,11 @@ from .simhash import simhash_components
 from .url_filters import filter_urls
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    limit_batches(spark)
+    return read_table(spark, folder, name)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,8 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    read = materialize(warc.read_archives(spark, path).drop("payload"))
+    # Read once: what is kept are digests and the few records that lie in segments.
+    read = materialize(warc.reassemble(materialize(warc.read_records(spark, path, payloads=False)), payloads=False))
     sizes = read.filter("kind = 'response'").groupBy(F.col("page").alias("_page"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
     joined = read.join(sizes, (F.col("kind") == "revisit") & (F.col("refers_to") == F.col("_page")) & (F.col("stated") == F.col("_digest")), "left")
     return joined.select(
@@ -109,18 +115,18 @@ WITH w AS (
   SELECT doc_id, sum(least({rules.WINDOW_WORDS}, coalesce(after - i, {rules.WINDOW_WORDS})))::BIGINT AS n
   FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM twins) GROUP BY doc_id
 ), cut AS (
-  SELECT doc_id, line, regexp_split_to_array(trim(line), {_SPACES}) AS words
+  SELECT doc_id, line, list_filter(regexp_split_to_array(line, {_SPACES}), lambda x: x <> '') AS words, translate(line, {_LETTERS}) AS low
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, {_quoted("[^" + SPACE_REGEX[1:-2] + "]")})
 ), judged AS (
   SELECT doc_id, line, len(words) AS n,
          len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS echoes,
-         len(regexp_extract_all(line, {_quoted(rules.NOISY_WORD)})) AS noisy
+         len(regexp_extract_all(line, {_quoted(rules.NOISY_WORD)})) AS noisy, len(regexp_extract_all(line, {_quoted(rules.LINK)})) AS links, low
   FROM cut
 ), lines AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS dups, sum(length(line)) AS chars,
          coalesce(sum(length(line)) FILTER (NOT (
            n > {rules.HEADING_WORDS} AND NOT regexp_matches(line, {_quoted(rules.SENTENCE_END)}) OR regexp_matches(line, {_quoted(rules.NAVIGATION)})
-           OR regexp_matches(line, {_quoted(rules.BOILERPLATE)}) OR noisy > n * {rules.MAX_NOISY_SHARE} OR n > {rules.HEADING_WORDS} AND echoes > n * {rules.MAX_ECHO_SHARE})), 0) AS kept_chars
+           OR regexp_matches(low, {_quoted(rules.BOILERPLATE)}) OR links >= n * {rules.MAX_LINK_SHARE} AND links > 0 OR noisy > n * {rules.MAX_NOISY_SHARE} OR n > {rules.HEADING_WORDS} AND echoes > n * {rules.MAX_ECHO_SHARE})), 0) AS kept_chars
   FROM judged GROUP BY doc_id
 ), base AS (
   SELECT doc_id, len(w.words)::BIGINT AS n_words, length(array_to_string(w.words, ''))::BIGINT AS word_chars,
@@ -144,7 +150,7 @@ FROM p
 """
 
 _HOST_RULES = ", ".join(f"({_quoted(action)}, {_quoted(host)}, {_quoted(path)})" for action, host, path in url_filters.HOST_RULES)
-_SPAM = " OR ".join(f"regexp_matches(u.host || u.path, {_quoted(url_filters.spam_rule(x).pattern)})" for x in url_filters.SPAM_PATTERNS)
+_LISTED = {action: " OR ".join(f"regexp_matches(low, {_quoted(x.pattern)})" for x in url_filters.default_rules() if not x.ranked and x.action == action) for action in ("block", "allow")}
 
 OP10_SQL = f"""
 WITH cut AS (
@@ -157,6 +163,6 @@ WITH cut AS (
   SELECT page_id, arg_max(h || start, length(h || start)) AS rule, arg_max(action, length(h || start)) AS action
   FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY page_id
 )
-SELECT u.page_id, u.host, u.path, rule, coalesce(action, CASE WHEN {_SPAM} THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN fits USING (page_id)
+SELECT u.page_id, u.host, u.path, rule, coalesce(action, CASE WHEN ({_LISTED["block"]}) AND NOT ({_LISTED["allow"]}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM (SELECT *, translate(host || path, {_LETTERS}) AS low FROM u) AS u LEFT JOIN fits USING (page_id)
 """

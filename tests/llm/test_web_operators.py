@@ -1,6 +1,7 @@
 """WARC archives, URL filters and the pipeline against brute force."""
 
 import hashlib
+import io
 import random
 import re
 
@@ -59,10 +60,35 @@ def test_warc_edges(spark, pages, tmp_path):
     assert sorted(r["kind"] for r in found) == sorted(k[3] for k in kinds)
     wanted = sorted((str(r["page_id"]), (r["html"] or "").encode()) for r in source if r["page_id"] != 1)
     assert payloads == wanted
-    assert warc.read_segments(spark, path).filter("kind = 'continuation'").count() > 100
+    assert warc.read_records(spark, path).filter("kind = 'continuation'").count() > 100
     warc.write_archives(pages.filter("false"), str(tmp_path / "none"))
 
 
+def test_revisits_name_a_record_that_is_there(spark, pages, tmp_path):
+    path = str(tmp_path / "archives")
+    warc.write_archives(pages, path)
+    heads = [f for p in sorted((tmp_path / "archives").glob("*.gz")) for f, _ in warc.parse(warc.opened(p.read_bytes()))]
+    held = {f["warc-record-id"] for f in heads if f["warc-type"] == "response"}
+    revisits = [f["warc-refers-to"] for f in heads if f["warc-type"] == "revisit"]
+    assert revisits and set(revisits) <= held
+
+
+def test_other_records_are_left_out_and_broken_archives_tell(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    info = warc.record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:i>")], b"software: x")
+    request = warc.record([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:q>")], b"GET / HTTP/1.1\r\n\r\n")
+    pieces = [warc.record([("WARC-Type", t), ("WARC-Record-ID", f"<urn:{t}{n}>"), ("WARC-Segment-Origin-ID", "<urn:metadata1>" if n > 1 else None), ("WARC-Segment-Number", n)], b"part") for t, n in (("metadata", 1), ("continuation", 2))]
+    good = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:r>"), ("Page-Id", 7)], body).replace(b"Page-Id", b"X-Odd: caf\xe9\r\nPage-Id")
+    orphan = warc.record([("WARC-Type", "continuation"), ("WARC-Record-ID", "<urn:o2>"), ("WARC-Segment-Origin-ID", "<urn:o>"), ("WARC-Segment-Number", 2)], b"rest")
+    (tmp_path / "a.warc").write_bytes(info + request + b"".join(pieces) + good + orphan)
+    (tmp_path / "b.warc").write_bytes(good + b"junk\r\n")
+    (tmp_path / "c.warc.gz").write_bytes(b"\x1f\x8bnot gzip")
+    found = sorted(((r["kind"], r["page"], r["payload_bytes"], r["problem"]) for r in warc.read_archives(spark, str(tmp_path)).collect()), key=str)
+    assert [x[:3] for x in found if x[0] and not x[3]] == [("response", 7, 5)] * 2
+    problems = sorted(x[3] for x in found if x[3])
+    assert len(problems) == 3 and problems[0].startswith("b.warc") and problems[1].startswith("c.warc.gz") and problems[2] == "segments are missing or repeated"
+
+
 def test_broken_archives_are_told():
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"x" * 9000)
     cut = [block[:4000], block[4000:]]
@@ -72,10 +98,13 @@ def test_broken_archives_are_told():
     assert warc.assemble([1, 2], None, cut)[1] == "total length differs"
     assert warc.assemble([1], None, [block[:-10]])[1]
     assert warc.dechunked(b"3;ext=1\r\nabc\r\n0\r\nTrailer: x\r\n\r\n") == b"abc"
+    for size in (b"+3", b"0_3", b"-3", b"3g", b""):
+        with pytest.raises(ValueError, match="no chunk size"):
+            warc.dechunked(size + b"\r\nabc\r\n0\r\n\r\n")
     with pytest.raises(ValueError, match="cut short"):
-        list(warc.parse(warc.record([("WARC-Type", "response")], b"abcdef")[:-8]))
+        list(warc.parse(io.BytesIO(warc.record([("WARC-Type", "response")], b"abcdef")[:-8])))
     with pytest.raises(ValueError, match="no record"):
-        list(warc.parse(b"junk"))
+        list(warc.parse(io.BytesIO(b"junk")))
 
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -113,7 +142,7 @@ def test_url_edges(spark):
 
 
 def test_index_fetches_all_that_would_match(spark):
-    rules = url_filters.default_rules() + [url_filters.Rule("*", "block", "zz+top", (), False)]
+    rules = url_filters.default_rules() + url_filters.list_rules(["/zz+top/", "casino*a", "||example.com^", "|a.*b|", "En^$match-case"])
     rng = random.Random(1)
     parts = ["com", "net", "org", "example", "en", "de", "es", "7", "8", "casino", "xxx", "zzztop", "a", "b"]
     for counts in ({}, {t: rng.randint(0, 9) for r in rules for t in r.tokens}):
@@ -121,8 +150,75 @@ def test_index_fetches_all_that_would_match(spark):
         for _ in range(2000):
             url = "http://" + ".".join(rng.choices(parts, k=3)) + "/" + "/".join(rng.choices(parts, k=3))
             target = "".join(url_filters.split_url(url))
-            brute = {r.name for r in rules if re.search(r.pattern, target)}
-            assert brute == {r.name for r in matcher.candidates(target) if re.search(r.pattern, target)}
+            brute = {r.name for r in rules if matcher.fits(r, target)}
+            assert brute == {r.name for r in matcher.candidates(target) if matcher.fits(r, target)}
+
+
+def by_hand(line, target):
+    """A list rule without its index or pattern: by walking the text."""
+    line, case = (line[:-11], True) if line.endswith("$match-case") else (line, False)
+    if not case:
+        lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        line, target = lower(line), lower(target)
+    starts = range(len(target) + 1)
+    if line.startswith("||"):
+        host = target.split("/")[0]
+        line, starts = line[2:], [0, *(i + 1 for i, c in enumerate(host) if c == ".")]
+    elif line.startswith("|"):
+        line, starts = line[1:], [0]
+    line, closed = (line[:-1], True) if line.endswith("|") else (line, False)
+
+    def walk(k, i):
+        if k == len(line):
+            return i == len(target) or not closed
+        if line[k] == "*":
+            return any(walk(k + 1, j) for j in range(i, len(target) + 1))
+        if line[k] == "^":
+            if i < len(target) and not (target[i].isascii() and target[i].isalnum()) and walk(k + 1, i + 1):
+                return True
+            return i in (0, len(target)) and walk(k + 1, i)
+        return i < len(target) and target[i] == line[k] and walk(k + 1, i + 1)
+
+    return any(walk(0, i) for i in starts)
+
+
+def test_ten_thousand_rules_through_the_index_equal_all_of_them(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdef", k=rng.randint(1, 4))) for _ in range(400)] + ["caſino", "K", "É"]
+    lines = ["! comment", "[list 1.0]", ""]
+    for _ in range(10_000):
+        text = "".join(rng.choice(words) + rng.choice("^^^/.-*") for _ in range(rng.randint(1, 3)))
+        lines.append(rng.choice(["", "", "@@"]) + rng.choice(["", "^", "|", "||"]) + text + rng.choice(["", rng.choice(words), "|"]) + rng.choice(["", "", "", "$match-case"]))
+    (tmp_path / "list.txt").write_text("\n".join(lines))
+    rules = url_filters.read_rules(spark, str(tmp_path / "list.txt"))
+    assert len(rules) == 10_000
+    urls = [f"http://{'.'.join(rng.choices(words, k=2))}/{rng.choice('/-.').join(rng.choices([*words, 'Abc', 'CAſINO'], k=3))}" for _ in range(60)] + ["http://x.org/caſino/"]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    found = {r["page_id"]: r for r in url_filters.filter_urls(frame, rules).collect()}
+    plain = url_filters.Matcher(rules, {})
+    for i, url in enumerate(urls):
+        target = "".join(url_filters.split_url(url))
+        actions = set()
+        for rule in rules:
+            fits = plain.fits(rule, target)
+            if i % 6 == 0:
+                assert fits == by_hand(rule.name.removeprefix("@@"), target)
+            if fits:
+                actions.add(rule.action)
+        assert found[i]["verdict"] == ("block" if actions == {"block"} else "allow")
+    always = len(url_filters.build_index(rules, {})[1])  # patterns with open ends, which hold no whole token
+    assert sum(r["candidates"] - always for r in found.values()) < 0.05 * len(urls) * len(rules)
+
+
+def test_only_ascii_letters_are_folded(spark):
+    rules = url_filters.list_rules(["^casino^", "@@^CASINO^ok^", "^Kelvin^"])
+    urls = ["http://x.org/CaSiNo/", "http://x.org/caſino/", "http://x.org/casino/OK/", "http://x.org/\u212aelvin/", "http://x.org/KELVIN"]
+    found = url_filters.filter_urls(spark.createDataFrame([*enumerate(urls), (0, urls[0])], "page_id long, url string"), rules).collect()
+    assert len(found) == 6
+    assert {r["page_id"]: r["verdict"] for r in found} == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "block"}
+    for bad in ("^a^$third-party", "**", "||"):
+        with pytest.raises(ValueError, match="in"):
+            url_filters.list_rule(bad)
 
 
 def test_url_query(spark):
