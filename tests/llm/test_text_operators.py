@@ -189,6 +189,20 @@ def test_a_star_of_near_copies_among_false_candidates(spark):
     assert [r["doc_id"] for r in kept] == [0]
 
 
+def brute_near(texts, similarity=0.8):
+    """The smallest place that a chain of similar texts leads to, for each."""
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    parent = list(range(len(texts)))
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+                links += 1
+                x, y = parent[i], parent[j]
+                parent = [min(x, y) if p in (x, y) else p for p in parent]
+    return parent, links
+
+
 def test_links_inside_and_between_blocks(spark):
     texts = []
     for family in range(4):
@@ -196,18 +210,49 @@ def test_links_inside_and_between_blocks(spark):
         texts += [*leaves[:20], centre, *leaves[20:]]
     random.Random(0).shuffle(texts)
     rows = list(enumerate(texts))
-    parent = list(range(len(rows)))
-    sets = [set(simhash.shingles(t, 5)) for t in texts]
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
-                x, y = parent[i], parent[j]
-                parent = [min(x, y) if p in (x, y) else p for p in parent]
+    parent, _ = brute_near(texts)
     groups = spark.createDataFrame([(i, 0) for i, _ in rows if i], "node long, component long")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    links = simhash.verified_links(docs, groups, "doc_id", "text", 5, 0.8, block=10_000)
-    found = {r["node"]: r["component"] for r in connected_components(links).collect()}
-    assert [found.get(i, i) for i, _ in rows] == parent
+    for block in (4_000, 10_000, 1_000_000):
+        found = {r["node"]: r["component"] for r in simhash.verified_components(docs, groups, "doc_id", "text", 5, 0.8, block=block).collect()}
+        assert [found.get(i, i) for i, _ in rows] == parent
+
+
+def test_families_around_the_similarity_give_the_components_of_brute_force(spark):
+    """150 variants of a text with 4 or 5 of 300 words changed: most pairs lie on either side of 0.8."""
+    texts, rng = [], random.Random(7)
+    for family in range(3):
+        centre = [f"f{family}w{k}" for k in range(300)]
+        for _ in range(150):
+            mutated = list(centre)
+            for at in rng.sample(range(300), rng.choice([4, 5, 6, 7])):
+                mutated[at] = f"x{rng.random()}"
+            texts.append(" ".join(mutated))
+    rng.shuffle(texts)
+    parent, links = brute_near(texts)
+    assert links > 100
+    found = {r["node"]: r["component"] for r in simhash.near_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == parent
+
+
+def test_fingerprints_find_pairs_at_the_similarity():
+    """Of 4,000 pairs of random sets at exactly 0.8, of 80 to 400 shingles, at most one lies beyond the radii."""
+    rng, missed = np.random.default_rng(1), 0
+    for k in range(4000):
+        n = (80, 100, 200, 400)[k % 4]
+        union = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(k % 2)
+        cut = n // 10 if k % 3 else 0
+        a, b = (np.array(simhash.fingerprint(x, 4)).view(np.uint64) for x in (union[: n - cut], union[cut or n // 5 :]))
+        bits = np.bitwise_count(a ^ b)
+        missed += int(bits[:2].sum()) > simhash.COARSE_RADIUS or int(bits.sum()) > simhash.NEAR_RADIUS
+    assert missed <= 1
+
+
+def test_near_copies_need_integer_identifiers(spark):
+    with pytest.raises(TypeError, match="integer"):
+        simhash.near_components(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    found = simhash.simhash_components(spark.createDataFrame([("b", "one two three"), ("a", "one two three"), (None, "one two three"), (None, "x")], "doc_id string, text string")).collect()
+    assert sorted(str(r["component_id"]) for r in found) == ["None", "a", "a", "a"]
 
 
 def brute_rules(text):
@@ -247,6 +292,35 @@ def test_cleaning_takes_lines_out(spark):
     assert found["kept"] and found["clean_text"].count("\n") == 1
 
 
+LINES = [
+    "one two three four five six seven eight nine ten eleven twelve\r\nA line that ends well.\r\n", "\tone two three four five six seven eight nine ten eleven twelve\t\nA line.", "Alle Rechte vorbehalten.\nTous Droits Réservés.\nA line.",
+    "https://a.example www.b.example see\nA line.", "http://a.example is a link that a line of words may hold.", " | a | b |\r\nA::b::c\nA line.", "a a a a a b b b b c c c c d d.\nA line.", "LICENſED under it\nPolítica de privacidad\nA line.", "\r\n\r\n", "\x0b\x0c",
+]
+
+
+def test_rules_of_odd_lines_agree_with_sql(spark):
+    rows = [(i, t + "\n" + "A long line of good words that ends as it should, with a full stop and no fault at all.") for i, t in enumerate(LINES)] + [(90 + i, t) for i, t in enumerate(LINES)] + [(99, None), (1, LINES[1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").dropDuplicates(["doc_id"])
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    found = quality_rules.quality_rules(frame)
+    assert oracle.difference(found.select("doc_id", *RULE_COLUMNS, "kept", "kept_chars"), con, registry.ORACLES["op2_quality_rules"]) is None
+    good = {r["doc_id"]: r["clean_text"].split("\n")[0] for r in found.collect()}
+    assert good[0] == LINES[0].split("\n")[0] and good[1] == LINES[1].split("\n")[0] and good[4] == LINES[4]
+    assert [good[i] for i in (2, 3, 5)] == ["A line."] * 3
+
+
+def test_cleaning_runs_the_rules_once_and_keeps_columns(spark, edges):
+    frame = edges.withColumn("_row", F.lit("clash")).withColumn("_words", F.lit("clash"))
+    cleaned = quality_rules.clean_documents(frame, length_col="n_chars")
+    assert cleaned.columns == frame.columns and all(r["_row"] == r["_words"] == r["kept"] == "clash" for r in cleaned.collect())
+    assert quality_rules.clean_documents(frame.filter("false")).count() == 0
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("all rights") <= 1 and plan.count("RLIKE") <= 4
+    kept = quality_rules.quality_rules(frame).filter("kept").count()
+    assert cleaned.count() == kept
+
+
 def test_classifier_is_right_on_held_out_rows(spark):
     found = registry.QUERIES["op3_quality_classifier"](spark, oracle.DATA)
     assert {r["doc_id"]: r["held_out"] for r in found.collect()} == {d: zlib.crc32(str(d).encode()) % 3 == 1 for d in range(found.count())}
@@ -256,6 +330,35 @@ def test_classifier_is_right_on_held_out_rows(spark):
     assert scored["score"].between(0, 1).all()
 
 
+def test_classifier_against_brute_force(spark, docs, all_texts):
+    """Differences by the library, one call a block; the calibration is the optimum of its penalised likelihood."""
+    import zstandard
+
+    labels = spark.read.parquet(f"{oracle.DATA}/labels.parquet")
+    model = compression.fit(docs, labels)
+    found = {r["doc_id"]: r for r in compression.classify(docs, model).collect()}
+    sizes = []
+    for content in (model.good, model.bad):
+        one = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append({d: sum(len(one.compress(t.encode()[i : i + 1024])) for i in range(0, len(t.encode()), 1024)) for d, t in all_texts.items()})
+    for d, t in all_texts.items():
+        wanted = (sizes[1][d] - sizes[0][d]) / max(1, len(t.encode()))
+        assert found[d]["difference"] == pytest.approx(wanted, abs=1e-12)
+        assert found[d]["score"] == pytest.approx(1 / (1 + np.exp(-(model.slope * wanted + model.intercept))), abs=1e-9)
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2 * x - 0.5)))).astype(int)
+    slope, intercept = compression.calibrate(x, y)
+
+    def cost(w, b):
+        z = w * x + b
+        return (np.logaddexp(0, z) - y * z).sum() + 0.5 * (w * x.std()) ** 2 + 0.005 * (b + w * x.mean()) ** 2
+
+    best = cost(slope, intercept)
+    assert all(cost(slope + dw, intercept + db) > best for dw in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01) if dw or db)
+
+
 def test_classifier_edges(spark, edges):
     labels = spark.createDataFrame([(6, 1), (12, 0), (None, 1), (3, None), (6, 0)], "doc_id long, quality int")
     model = compression.fit(edges, labels)
@@ -305,6 +408,47 @@ def test_sharding_keeps_copies_together_where_little_room_is_free(spark, sizes,
     assert sum(map(len, check_shards(found, 10, texts).values())) == pieces
 
 
+def fewest_pieces(sizes, quotas):
+    """The fewest pieces of texts over shards, by trying all ways to fill one shard after the other."""
+    from functools import cache
+
+    @cache
+    def rest(left, k):
+        if k == len(quotas):
+            return 0 if not any(left) else 10**9
+        best = 10**9
+
+        def choose(i, room, taken, pieces):
+            nonlocal best
+            if i == len(left):
+                if room == 0:
+                    best = min(best, pieces + rest(tuple(sorted((a - b for a, b in zip(left, taken, strict=True) if a > b), reverse=True)), k + 1))
+                return
+            for n in range(min(left[i], room) + 1):
+                choose(i + 1, room - n, [*taken, n], pieces + (n > 0))
+
+        choose(0, quotas[k], [], 0)
+        return best
+
+    return rest(tuple(sorted(sizes, reverse=True)), 0)
+
+
+@pytest.mark.parametrize("sizes", [[3, 3, 3, 1, 1, 1], [4, 3, 2, 2, 1], [6, 2, 2, 1, 1], [5, 5, 2], [2, 2, 2, 2, 2, 2]])
+def test_sharding_cuts_little_more_than_the_best_plan(spark, sizes):
+    texts = dict(enumerate(f"t{k}" for k, n in enumerate(sizes) for _ in range(n)))
+    found = sharding.balanced_label_propagation(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shards=3).collect()
+    assert sum(map(len, check_shards(found, 3, texts).values())) <= fewest_pieces(sizes, (4, 4, 4)) + 1
+
+
+def test_sharding_of_rows_that_are_alike(spark):
+    frame = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit(None).cast("string")).otherwise(F.col("id").cast("string")).alias("text"))
+    found = sharding.balanced_label_propagation(frame, shards=6).collect()
+    sizes = Counter(r["shard"] for r in found)
+    assert len(found) == 900 and set(sizes.values()) == {150}
+    assert len({(r["shard"], r["slot"]) for r in found}) == 900
+    assert len({r["shard"] for r in found if r["group_rows"] == 450}) == 3
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_agrees_with_sql(spark, name):
     assert oracle.difference(registry.QUERIES[name](spark, oracle.DATA), oracle.connection(), registry.ORACLES[name]) is None
@@ -312,7 +456,7 @@ def test_agrees_with_sql(spark, name):
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_dedup_edges(spark, edges, keep):
-    found = exact_dedup.content_sort_dedup(edges, keep=keep, salts=3).collect()
+    found = exact_dedup.content_sort_dedup(edges, keep=keep, heavy_cost=3000).collect()
     assert len(found) == len(EDGES)
     groups = {}
     for i, t in EDGES:
@@ -329,10 +473,38 @@ def test_exact_dedup_edges(spark, edges, keep):
 
 
 def test_exact_dedup_of_many_copies(spark):
-    frame = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Hot Text").otherwise(F.col("id").cast("string")).alias("text"))
-    found = exact_dedup.content_sort_dedup(frame.repartition(6), keep="largest").filter("kept").collect()
-    assert len(found) == 2001
-    assert next(r["keep_id"] for r in found if r["group_size"] == 1000) == 2997
+    """A third of the rows are one text: its cell is cut over tasks, and its runs are joined by their texts."""
+    frame = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Hot Text").otherwise(F.col("id").cast("string")).alias("text")).repartition(6)
+    for heavy in (100_000, 1 << 30):
+        found = exact_dedup.content_sort_dedup(frame, keep="largest", heavy_cost=heavy).filter("kept").collect()
+        assert len(found) == 2001
+        assert next(r["keep_id"] for r in found if r["group_size"] == 1000) == 2997
+    runs = exact_dedup.sorted_runs(frame, "doc_id", "text", "largest", 100_000).filter("_nth = 1").collect()
+    hot = [r for r in runs if r["_cut"]]
+    assert len(hot) > 10 and max(r["_run_size"] for r in hot) < 200
+    assert len(runs) - len(hot) == 2000
+
+
+def test_texts_of_one_cell_are_told_apart(spark):
+    """Equal start, length and middle, with and without cuts, and a hash that says that all are equal."""
+    rows = [(i, "s" * 20 + f"{i % 7:05d}" + "m" * 60 + f"{i % 3:05d}" + "e" * 20) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for heavy in (20_000, 1 << 30):
+        found = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.content_sort_dedup(frame, heavy_cost=heavy).collect()}
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(t, []).append(i)
+        assert found == {i: (min(groups[t]), len(groups[t])) for i, t in rows}
+
+
+def test_no_hash_decides_which_texts_are_equal(spark, docs, monkeypatch):
+    wanted = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.content_sort_dedup(docs).collect()}
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda column, bits: F.lit("same"))
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *columns: F.lit(1).cast("bigint"))
+    for heavy in (1 << 20, 1 << 40):
+        assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.content_sort_dedup(docs, heavy_cost=heavy).collect()} == wanted
+    runs = exact_dedup.sorted_runs(docs, "doc_id", "text", "smallest", 1 << 40)
+    assert runs.filter("_nth = 1").count() == len({k for _, k, _, _ in wanted})
 
 
 def library(name):
@@ -450,44 +622,73 @@ def test_the_level_minimises_the_sum_of_squares():
         assert packer.n_open == packer.counts.sum() == sum(map(len, packer.open.values()))
 
 
-def test_cross_entropy_against_brute_force(spark, docs):
-    good = spark.read.parquet(f"{oracle.DATA}/labels.parquet").filter("quality = 1")
-    found = {r["doc_id"]: r for r in cross_entropy.cross_entropy_difference(docs, good).collect()}
-    wanted = {r["doc_id"] for r in good.collect()}
-    tokens = {d: cross_entropy.words_of(t) for d, t in texts(docs).items()}
-    vocabulary = len({w for words in tokens.values() for w in words})
-    models = []
-    for members in (set(tokens), wanted):
-        single, pair = Counter(), Counter()
-        for d in members:
-            single.update(tokens[d])
-            pair.update(zip([b"", *tokens[d]], tokens[d]))  # noqa: B905
-        models.append((single, pair, sum(single.values())))
-
-    def loss(d, model):
-        single, pair, total = model
-        out = 0.0
-        for u, w in zip([b"", *tokens[d]], tokens[d]):  # noqa: B905
-            p = (single[w] + cross_entropy.WORD_PRIOR / vocabulary) / (total + cross_entropy.WORD_PRIOR)
-            out -= np.log((pair[u, w] + cross_entropy.PAIR_PRIOR * p) / (max(single[u], pair[u, w]) + cross_entropy.PAIR_PRIOR))
-        return out / max(1, len(tokens[d]))
-
-    for d in tokens:
-        assert found[d]["n_tokens"] == len(tokens[d])
-        assert found[d]["target_loss"] == pytest.approx(loss(d, models[1]), abs=1e-9)
-        assert found[d]["background_loss"] == pytest.approx(loss(d, models[0]), abs=1e-9)
+class BruteModel:
+    """A bigram model with its own counting: p over the vocabulary after each history."""
+
+    def __init__(self, texts, vocabulary, scale=1.0):
+        self.single, self.pair, self.after, self.vocabulary = Counter(), Counter(), Counter(), vocabulary
+        for words in texts:
+            for u, w in zip([None, *words], words):  # noqa: B905
+                self.single[w] += scale
+                self.pair[u, w] += scale
+                self.after[u] += scale
+
+    def p(self, u, w):
+        single = (self.single[w] + cross_entropy.WORD_PRIOR / len(self.vocabulary)) / (sum(self.single.values()) + cross_entropy.WORD_PRIOR)
+        return (self.pair[u, w] + cross_entropy.PAIR_PRIOR * single) / (self.after[u] + cross_entropy.PAIR_PRIOR)
+
+    def loss(self, words):
+        return -sum(np.log(self.p(u, w)) for u, w in zip([None, *words], words)) / len(words) if words else 0.0  # noqa: B905
+
+
+SMALL = ["a b a b c", "a b", "a", "", "c c c a b a", "b a b a d", "d", "a b a b c", None, "e f g a b", "a a a a"]
+
+
+@pytest.mark.parametrize(("chunk_tokens", "bucket_tokens", "fan"), [(1 << 20, 1 << 21, 256), (3, 1, 2), (2, 3, 3), (6, 2, 256)])
+def test_cross_entropy_against_brute_force(spark, chunk_tokens, bucket_tokens, fan):
+    frame = spark.createDataFrame(list(enumerate(SMALL)), "doc_id long, text string").repartition(2)
+    wanted = {0, 1, 4, 5}
+    found = {r["doc_id"]: r for r in cross_entropy.cross_entropy_difference(frame, frame.filter(F.col("doc_id").isin(list(wanted))), chunk_tokens=chunk_tokens, bucket_tokens=bucket_tokens, fan=fan).collect()}
+    tokens = {i: (t or "").split() for i, t in enumerate(SMALL)}
+    vocabulary = {w for words in tokens.values() for w in words}
+    share = sum(len(tokens[d]) for d in wanted) / sum(map(len, tokens.values()))
+    for d, words in tokens.items():
+        others = [t for k, t in tokens.items() if k != d]
+        models = BruteModel(others, vocabulary), BruteModel([t for k, t in tokens.items() if k != d and k in wanted], vocabulary), BruteModel(others, vocabulary, share)
+        background, target, matched = (m.loss(words) for m in models)
+        for model in models:
+            for u in [None, *vocabulary]:
+                assert sum(model.p(u, w) for w in vocabulary) == pytest.approx(1)
+        assert found[d]["n_tokens"] == len(words)
+        assert (found[d]["background_loss"], found[d]["target_loss"], found[d]["matched_loss"]) == pytest.approx((background, target, matched), abs=1e-9)
+        assert found[d]["score"] == pytest.approx(target - matched, abs=1e-9)
 
 
 def test_cross_entropy_is_the_same_in_small_chunks_and_buckets(spark, docs):
     good = spark.read.parquet(f"{oracle.DATA}/labels.parquet").filter("quality = 1")
     whole = cross_entropy.cross_entropy_difference(docs, good).toPandas().sort_values("doc_id", ignore_index=True)
-    cut = cross_entropy.cross_entropy_difference(docs, good, chunk_tokens=3000, bucket_tokens=5000).toPandas().sort_values("doc_id", ignore_index=True)
-    pd.testing.assert_frame_equal(whole, cut)
+    for fan in (256, 5):
+        cut = cross_entropy.cross_entropy_difference(docs, good, chunk_tokens=30_000, bucket_tokens=20_000, fan=fan).toPandas().sort_values("doc_id", ignore_index=True)
+        pd.testing.assert_frame_equal(whole, cut)
 
 
 def test_cross_entropy_tells_target_from_the_rest(spark, docs):
-    scored = registry.QUERIES["op8_lm_scoring"](spark, oracle.DATA).join(spark.read.parquet(f"{oracle.DATA}/labels.parquet"), "doc_id").toPandas()
-    assert scored.loc[scored["quality"] == 1, "score"].mean() < scored.loc[scored["quality"] == 0, "score"].mean()
+    """Over held-out documents: their labels are not among the target's."""
+    labels = spark.read.parquet(f"{oracle.DATA}/labels.parquet")
+    found = cross_entropy.cross_entropy_difference(docs, labels.filter("quality = 1 and doc_id % 2 = 0"))
+    scored = found.join(labels.filter("doc_id % 2 = 1"), "doc_id").toPandas()
+    good, bad = (scored.loc[scored["quality"] == k, "score"].to_numpy() for k in (1, 0))
+    assert np.mean(good[:, None] < bad[None]) > 0.8
+
+
+def test_a_document_does_not_help_itself(spark):
+    """Twins raise each other's probability; a text that occurs once gets nothing from its own counts."""
+    words = [f"w{i}" for i in range(400)]
+    rng = random.Random(0)
+    rows = [(i, " ".join(rng.choices(words, k=50))) for i in range(100)]
+    rows += [(200, rows[0][1])]
+    found = {r["doc_id"]: r["background_loss"] for r in cross_entropy.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5,)], "doc_id long")).collect()}
+    assert max(found[0], found[200]) < min(v for d, v in found.items() if d not in (0, 200)) - 1
 
 
 def test_cross_entropy_edges(spark, edges):
