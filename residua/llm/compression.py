@@ -16,13 +16,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, materialize, whole
+from .common import materialize, slices, whole
 
 DICTIONARY_BYTES = 112_640
 BLOCK_BYTES = 1024
 LEVEL = 3
 #: Bounds of the labelled sample: documents of each class whose texts train a dictionary, documents that
-#: calibrate, and the length above which a text is not used to train (none is cut).
+#: calibrate, and the length above which a text does neither (none is cut).
 TRAIN_ROWS = 1000
 CALIBRATION_ROWS = 4000
 TRAIN_MAX_CHARS = 20_000
@@ -39,7 +39,7 @@ class Model:
 
 
 def train_dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary of the texts; the texts themselves where there are too few to train on."""
+    """A dictionary of the texts; where they are too few to train on, as much of the texts themselves as a dictionary holds."""
     blocks = [t[i : i + BLOCK_BYTES] for t in texts for i in range(0, len(t), BLOCK_BYTES)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, blocks, k=COVER_K, d=COVER_D).as_bytes()
@@ -89,11 +89,10 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
 
 def differences(docs: DataFrame, id_col: str, text_col: str, good: bytes, bad: bytes, slope: float = 0.0, intercept: float = 0.0) -> DataFrame:
     """_id, difference, score for each row."""
-    limit_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differ = Differ(good, bad)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([differ.difference(t) for t in batch.column(1).to_pylist()], float)
             s = 1 / (1 + np.exp(-np.clip(slope * x + intercept, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(s)], ["_id", "difference", "score"])
@@ -108,36 +107,35 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Learn from rows outside the held-out third.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS, max_chars: int = TRAIN_MAX_CHARS) -> Model:
+    """Learn from rows outside the held-out third, in one scan of the texts.
 
     The sample is bounded. A hash halves the labelled documents: of one half `train_rows` of each
     class train the dictionaries, of the other `calibration_rows` of all classes, in their natural
-    shares, calibrate; those with texts above TRAIN_MAX_CHARS are left out. Documents labelled more
-    than once count once, with the highest label; null labels and identifiers are left out. With a
-    class or all labels missing the score is a constant.
+    shares, calibrate. Of these, documents with more than `max_chars` characters are left out, so a
+    class may learn from fewer. Documents labelled more than once count once, with the highest label;
+    null labels and identifiers are left out. With a class or all labels missing the score is a constant.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     known = known.withColumn("_order", F.xxhash64("_id")).withColumn("_half", F.pmod(F.shiftright("_order", 20), F.lit(2)))
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).filter(F.length("_text") <= TRAIN_MAX_CHARS)
-
-    def chosen(rows: DataFrame, most: int) -> DataFrame:
-        """The texts of the first rows by a hash; `most` bounds what is collected and broadcast."""
-        picked = [tuple(r) for r in rows.orderBy("_order", "_id").limit(most).select("_id", "_label").collect()]
-        return texts.join(F.broadcast(spark.createDataFrame(picked, f"_id {kind}, _label int")), "_id")
-
-    by_label = []
-    for label in (0, 1):
-        rows = chosen(known.filter((F.col("_half") == 0) & (F.col("_label") == label)), train_rows).select("_text").collect()
-        by_label.append(sorted(r["_text"].encode("utf-8", "surrogatepass") for r in rows))
-    bad, good = map(train_dictionary, by_label)
-    rest = materialize(chosen(known.filter("_half = 1"), calibration_rows).withColumn("_id", F.col("_label").cast("bigint")))
-    found = differences(rest, "_id", "_text", good, bad).select("difference", F.col("_id").alias("_label")).toPandas()
-    if not (by_label[0] and by_label[1]) or found["_label"].nunique() < 2:
-        share = (len(by_label[1]) + 0.5) / (len(by_label[0]) + len(by_label[1]) + 1)
+
+    roles = ("bad", train_rows, (F.col("_half") == 0) & (F.col("_label") == 0)), ("good", train_rows, (F.col("_half") == 0) & (F.col("_label") == 1)), ("calibrate", calibration_rows, F.col("_half") == 1)
+    # The first rows by a hash for each role: the bounds hold for what is collected and broadcast.
+    picked = [(r["_id"], r["_label"], role) for role, most, wanted in roles for r in known.filter(wanted).orderBy("_order", "_id").limit(most).collect()]
+    chosen = F.broadcast(spark.createDataFrame(picked, f"_id {kind}, _label int, _role string"))
+    texts = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).filter(F.length("_text") <= max_chars)
+    sample = materialize(texts.join(chosen, "_id").select(F.col("_label").cast("bigint").alias("_label"), "_role", "_text"))
+
+    trained = sample.filter("_role <> 'calibrate'").select("_role", "_text").collect()
+    by_role = {role: sorted(r["_text"].encode("utf-8", "surrogatepass") for r in trained if r["_role"] == role) for role in ("bad", "good")}
+    bad, good = train_dictionary(by_role["bad"]), train_dictionary(by_role["good"])
+    rest = sample.filter("_role = 'calibrate'")
+    found = differences(rest, "_label", "_text", good, bad).select("difference", F.col("_id").alias("_label")).toPandas().sort_values(["difference", "_label"])
+    if not (by_role["bad"] and by_role["good"]) or found["_label"].nunique() < 2:
+        share = (len(by_role["good"]) + 0.5) / (len(by_role["bad"]) + len(by_role["good"]) + 1)
         return Model(good, bad, 0.0, float(np.log(share / (1 - share))))
     return Model(good, bad, *calibrate(found["difference"].to_numpy(), found["_label"].to_numpy()))
 
@@ -154,13 +152,12 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
-    limit_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differ = Differ(model.good, model.bad)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([differ.difference(t or "") for t in batch.column(at).to_pylist()], float)
             score = 1 / (1 + np.exp(-np.clip(model.slope * x + model.intercept, -30, 30)))
             yield batch.filter(pa.array(score >= threshold))
