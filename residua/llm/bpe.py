@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, whole
+from .common import slices, whole
 
 #: A rank and the id it merges to share one integer, the rank above.
 ID_BITS = 20
@@ -29,7 +29,8 @@ ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60
 LONG_WORD = 128
 CACHE_WORDS = 600_000
-SLICE_ROWS = 128
+#: A longer word or chunk is not kept, so that a cache is bounded in bytes too.
+CACHE_CHARS = 64
 #: Letters that every Unicode version composes, lower-cases and classifies alike; texts with others
 #: go through the tokenizer file's own normaliser and splitter before the merges.
 EXOTIC = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ſ‐-‧]")
@@ -45,16 +46,18 @@ def byte_letters() -> list[str]:
 
 
 class _Cache(dict):
-    """Values made on demand; emptied when full, so that memory is bounded."""
+    """Values made on demand; emptied when full and closed to long keys, so that memory is bounded."""
 
     def __init__(self, make) -> None:
         super().__init__()
         self.make = make
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -222,18 +225,14 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, decode: bool) -> DataFrame:
-    limit_batches(docs.sparkSession)
-
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            for i in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(i, SLICE_ROWS)
-                ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
-                columns = [part.column(0), pa.array(ids, pa.binary())]
-                if decode:
-                    columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, ["_id", "ids", "decoded"][: len(columns)])
+        for part in slices(batches):
+            ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
+            columns = [part.column(0), pa.array(ids, pa.binary())]
+            if decode:
+                columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "ids", "decoded"][: len(columns)])
 
     narrow = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
     schema = f"_id {_kind(docs, id_col)}, ids binary" + ", decoded string" * decode

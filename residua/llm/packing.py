@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SLICE_ROWS, LibraryBPE, loaded
-from .common import limit_batches, whole
+from .bpe import LibraryBPE, loaded
+from .common import slices, whole
 
 WINDOW = 1024
 #: Open windows a task may hold, WINDOW ids each at most.
@@ -127,7 +127,6 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     are packed each. Pieces of a sequence lie in the task that made it; sequence_id holds the task's
     number above 2**40. An empty table gives an empty result.
     """
-    limit_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, LibraryBPE)
@@ -142,13 +141,11 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(doc, kind), *numbers[0], pa.array(ids, pa.binary()), *numbers[1]], names)
 
         kind = None
-        for batch in batches:
-            kind = batch.column(0).type
-            for i in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(i, SLICE_ROWS)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    packer.add_document(doc, bpe.encode(text) + end)
-                yield from rows()
+        for part in slices(batches):
+            kind = part.column(0).type
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                packer.add_document(doc, bpe.encode(text) + end)
+            yield from rows()
         packer.finish()
         yield from rows()
 
