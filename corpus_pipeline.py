@@ -12,22 +12,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from residua.llm import compression, exact_dedup, packing, quality_rules, simhash
-from residua.llm.common import scratch_path
+from residua.llm.common import limit_batches, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that fail; n_chars follows the text."""
-    judged = quality_rules.quality_rules(docs).filter("kept")
-    return judged.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return quality_rules.clean_documents(docs, length_col="n_chars")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.5 or more; the model learns from the documents and labels of sf_dir."""
+    limit_batches(spark)
     model = compression.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return compression.keep_good(docs, model)
 
@@ -39,11 +38,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id."""
+    limit_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their token ids."""
+    limit_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
