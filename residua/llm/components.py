@@ -68,13 +68,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the links (a, b) but the components' own smallest nodes.
 
     `component` is the smallest node reachable. Links to itself and links with a null end are
-    ignored; repeated links count once. Partitions contract their links first, so a graph of few links
-    is done at once. Minima are aggregated before they are joined back, so a node with very many
-    links is no more than a hot key of a join, which AQE splits.
+    ignored; repeated links count once. Partitions contract their links first; when fewer than
+    BLOCK_LINKS are left, one task ends the work. Minima are aggregated before they are joined back,
+    so a node with very many links is no more than a hot key of a join, which AQE splits.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a <> b").distinct()
     edges = materialize(_contracted(edges).distinct())
     for _ in range(MAX_STEPS):
+        if edges.count() < BLOCK_LINKS:
+            edges = materialize(_contracted(edges.coalesce(1)))
+            break
         if _settled(edges):
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -9,7 +9,10 @@ comparing their texts. Hashes only say where rows go, never which texts are equa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, small_side, whole
@@ -22,6 +25,9 @@ ROW_COST = 1000
 HEAVY_COST = 1 << 20
 HEAVY_SHARE = 1 / 65536
 
+#: Rows that each partition adds to the sample of splitters.
+SPLITTER_SAMPLE = 20
+
 _CELL = ("_start", "_length", "_middle")
 
 
@@ -34,6 +40,17 @@ def _with_cells(rows: DataFrame) -> DataFrame:
     }).withColumn("_place", F.xxhash64(*_CELL))
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting for what is run inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _best(keep: str) -> tuple[Column, Column]:
     """The order in which the row that stays comes first, and the same for runs as a struct to minimise or maximise."""
     if keep == "smallest":
@@ -42,16 +59,16 @@ def _best(keep: str) -> tuple[Column, Column]:
 
 
 def sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, heavy_cost: int = HEAVY_COST) -> DataFrame:
-    """One row per input row: _id, _run, _nth in its run, _run_best, _run_size, _cut, _digest, and _border.
+    """One row per input row: _id, _run, _head (first of its run), _run_best, _run_size, _cut, _digest, and _border.
 
-    A run is a set of equal neighbours of the sort. `_cut` says that its cell is salted, so that equal
-    texts may lie in several runs; `_border` is then the text of the run's first row.
+    A run is a set of equal neighbours of the sort, the row that stays first. `_cut` says that its cell
+    is salted, so that equal texts may lie in several runs; `_border` is then the text of the run's head.
     """
     rows = _with_cells(docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")))
-    cells = materialize(rows.groupBy("_place").agg(F.sum("_cost").alias("_cell_cost"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
     total = rows.agg(F.sum("_cost")).first()[0] or 0
     limit = max(heavy_cost, int(total * HEAVY_SHARE))
-    heavy = cells.filter(F.col("_cell_cost") > limit).select("_place", F.ceil(2 * F.col("_cell_cost") / limit).cast("int").alias("_salts"))
+    cells = rows.groupBy("_place").agg(F.sum("_cost").alias("_cell_cost"), F.count(F.lit(1)).alias("_n"))
+    heavy = cells.filter((F.col("_cell_cost") > limit) & (F.col("_n") > 1)).select("_place", F.ceil(2 * F.col("_cell_cost") / limit).cast("int").alias("_salts"))
     salted = rows.join(F.broadcast(heavy), "_place", "left")
     salted = salted.withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("_id", "_cost", F.monotonically_increasing_id()), F.col("_salts"))).otherwise(0))
     part = [*_CELL, "_salt"]
@@ -65,23 +82,21 @@ def sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, heavy_co
     so_far = neighbours.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = compared.withColumn("_run", F.last(F.when(F.col("_new"), F.col("_row")), ignorenulls=True).over(so_far))
     narrow = runs.select(
-        "_id", "_cut", *part, "_run", F.sha2(F.col("_norm").cast("binary"), 256).alias("_digest"), F.when(F.col("_cut") & F.col("_new"), F.col("_norm")).alias("_border")
+        "_id", "_cut", *part, "_run", F.col("_new").alias("_head"), F.sha2(F.col("_norm").cast("binary"), 256).alias("_digest"), F.when(F.col("_cut") & F.col("_new"), F.col("_norm")).alias("_border")
     )
     run = Window.partitionBy(*part, "_run")
     best = F.min if keep == "smallest" else F.max
-    return materialize(narrow.select(
-        "_id", "_cut", "_run", "_digest", "_border", F.row_number().over(run.orderBy(order)).alias("_nth"), best("_id").over(run).alias("_run_best"), F.count(F.lit(1)).over(run).alias("_run_size")
-    ))
+    with _setting(docs.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", str(SPLITTER_SAMPLE)):
+        return materialize(
+            narrow.select("_id", "_cut", "_run", "_head", "_digest", "_border", best("_id").over(run).alias("_run_best"), F.count(F.lit(1)).over(run).alias("_run_size"))
+        )
 
 
 def joined_runs(runs: DataFrame, keep: str) -> DataFrame:
     """_run, keep_id, group_size, _first for the runs of cut cells: those with equal texts are one group."""
-    heads = runs.filter("_cut and _nth = 1")
-    # The border text may lie in another row of the run than the one that stays.
-    texts = runs.filter("_border is not null").select("_run", "_border")
-    heads = heads.drop("_border").join(texts, "_run").select("_run", "_run_best", "_run_size", "_border")
-    groups = heads.groupBy("_border").agg(_best(keep)[1].alias("_won"), F.sum("_run_size").alias("group_size"))
-    joined = heads.select("_run", "_border").join(groups, "_border")
+    heads = runs.filter("_cut and _head").select("_run", "_run_best", "_run_size", "_border")
+    same = Window.partitionBy("_border")  # a row per run: no more than a text's cell has salts
+    joined = heads.select("_run", _best(keep)[1].over(same).alias("_won"), F.sum("_run_size").over(same).alias("group_size"))
     return joined.select("_run", F.col("_won._run_best").alias("keep_id"), "group_size", F.col("_won._run").alias("_first"))
 
 
@@ -97,9 +112,9 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError(f"keep must be smallest or largest, not {keep!r}")
     runs = sorted_runs(docs, id_col, text_col, keep, heavy_cost)
     size = F.col("group_size").cast("bigint").alias("group_size")
-    whole_groups = runs.filter("not _cut").select(F.col("_id").alias(id_col), F.col("_run_best").alias("keep_id"), F.col("_run_size").cast("bigint").alias("group_size"), (F.col("_nth") == 1).alias("kept"), F.col("_digest").alias("text_sha256"))
-    cut = runs.filter("_cut").select("_id", "_run", "_nth", "_digest").join(materialize(joined_runs(runs, keep)), "_run")
-    return whole_groups.unionByName(cut.select(F.col("_id").alias(id_col), "keep_id", size, ((F.col("_nth") == 1) & (F.col("_run") == F.col("_first"))).alias("kept"), F.col("_digest").alias("text_sha256")))
+    whole_groups = runs.filter("not _cut").select(F.col("_id").alias(id_col), F.col("_run_best").alias("keep_id"), F.col("_run_size").cast("bigint").alias("group_size"), F.col("_head").alias("kept"), F.col("_digest").alias("text_sha256"))
+    cut = runs.filter("_cut").select("_id", "_run", "_head", "_digest").join(small_side(materialize(joined_runs(runs, keep))), "_run")
+    return whole_groups.unionByName(cut.select(F.col("_id").alias(id_col), "keep_id", size, (F.col("_head") & (F.col("_run") == F.col("_first"))).alias("kept"), F.col("_digest").alias("text_sha256")))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", heavy_cost: int = HEAVY_COST) -> DataFrame:
@@ -108,7 +123,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an identifier stay or go together.
     """
     judged = content_sort_dedup(docs, id_col, text_col, keep, heavy_cost)
-    losers = judged.filter("not kept").select(F.col(id_col).alias("_loser")).distinct()
-    winners = judged.filter("kept").select(F.col(id_col).alias("_loser"))
-    gone = materialize(losers.join(winners, losers["_loser"].eqNullSafe(winners["_loser"]), "left_anti"))
+    gone = materialize(judged.groupBy(F.col(id_col).alias("_loser")).agg(F.max("kept").alias("_stays")).filter("not _stays").select("_loser"))
     return docs.join(small_side(gone), docs[id_col].eqNullSafe(gone["_loser"]), "left_anti")

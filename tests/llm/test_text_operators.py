@@ -120,6 +120,21 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert found == {i: 1 for i in range(2, 61)} | {i: 100 for i in range(101, 160)}
 
 
+@pytest.mark.parametrize("block", [4, 1 << 20])
+def test_components_of_more_links_than_a_task_takes(spark, monkeypatch, block):
+    from residua.llm import components
+
+    monkeypatch.setattr(components, "BLOCK_LINKS", block)
+    rng = random.Random(block)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    parent = list(range(300))
+    for a, b in links:
+        x, y = parent[a], parent[b]
+        parent = [min(x, y) if p in (x, y) else p for p in parent]
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    assert found == {i: p for i, p in enumerate(parent) if i != p}
+
+
 def jaccard(a, b, words=5):
     x, y = set(simhash.shingles(a, words)), set(simhash.shingles(b, words))
     return len(x & y) / len(x | y) if x | y else 0.0
@@ -479,7 +494,7 @@ def test_exact_dedup_of_many_copies(spark):
         found = exact_dedup.content_sort_dedup(frame, keep="largest", heavy_cost=heavy).filter("kept").collect()
         assert len(found) == 2001
         assert next(r["keep_id"] for r in found if r["group_size"] == 1000) == 2997
-    runs = exact_dedup.sorted_runs(frame, "doc_id", "text", "largest", 100_000).filter("_nth = 1").collect()
+    runs = exact_dedup.sorted_runs(frame, "doc_id", "text", "largest", 100_000).filter("_head").collect()
     hot = [r for r in runs if r["_cut"]]
     assert len(hot) > 10 and max(r["_run_size"] for r in hot) < 200
     assert len(runs) - len(hot) == 2000
@@ -504,7 +519,7 @@ def test_no_hash_decides_which_texts_are_equal(spark, docs, monkeypatch):
     for heavy in (1 << 20, 1 << 40):
         assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.content_sort_dedup(docs, heavy_cost=heavy).collect()} == wanted
     runs = exact_dedup.sorted_runs(docs, "doc_id", "text", "smallest", 1 << 40)
-    assert runs.filter("_nth = 1").count() == len({k for _, k, _, _ in wanted})
+    assert runs.filter("_head").count() == len({k for _, k, _, _ in wanted})
 
 
 def library(name):
