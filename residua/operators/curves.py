@@ -43,12 +43,13 @@ def roc_pr_auc(samples: DataFrame, label: str, score: str) -> DataFrame:
     """roc_auc (trapezoid), pr_auc (steps), n, n_positive, prevalence, n_tied_score_groups.
 
     The point before a group's is the cumulative count less the group's own, so no row looks at another.
+    Samples of one class have no curve: their evaluation fails. An empty table gives nulls.
     """
     tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "_p", "_n"))
     area = (_rate(fp, "_all_n") - _rate(fp - n, "_all_n")) * (_rate(tp, "_all_p") + _rate(tp - p, "_all_p")) / 2
     step = (_rate(tp, "_all_p") - _rate(tp - p, "_all_p")) * F.try_divide(tp, tp + fp)
     return _points(samples, label, score).agg(
-        F.sum(area).alias("roc_auc"), F.sum(step).alias("pr_auc"), (F.sum("_p") + F.sum("_n")).alias("n"), F.sum("_p").alias("n_positive"),
+        F.when((F.sum("_p") == 0) | (F.sum("_n") == 0), F.raise_error(F.lit("labels must hold both classes")).cast("double")).otherwise(F.sum(area)).alias("roc_auc"), F.sum(step).alias("pr_auc"), (F.sum("_p") + F.sum("_n")).alias("n"), F.sum("_p").alias("n_positive"),
         (F.sum("_p") / (F.sum("_p") + F.sum("_n"))).alias("prevalence"), F.count(F.lit(1)).alias("n_tied_score_groups"),
     )
 

@@ -117,8 +117,7 @@ def label_disagreement(spark, d):
 
 
 def half_present(spark, d):
-    docs = frames.table(spark, d, "documents").filter("n_chars >= 800")
-    return compare.half_present(docs, frames.table(spark, d, "labels"), ["doc_id"])
+    return compare.half_present(frames.table(spark, d, "documents"), frames.table(spark, d, "labels"), ["doc_id"])
 
 
 def split_hash_agreement(spark, d):
@@ -291,7 +290,7 @@ ORACLES = {
     "sample_missing": "SELECT doc_id FROM documents AS d WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = d.doc_id)",
     "sample_extra": "SELECT doc_id FROM labels AS l WHERE NOT EXISTS (SELECT 1 FROM documents AS d WHERE l.doc_id = d.doc_id)",
     "label_disagreement": "SELECT doc_id, quality::BIGINT AS label, (1 - toxic)::BIGINT AS other FROM labels WHERE quality <> 1 - toxic",
-    "half_present": "WITH d AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars >= 800), l AS (SELECT DISTINCT doc_id FROM labels) SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right' ELSE 'left' END AS side FROM d FULL JOIN l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
+    "half_present": "WITH d AS (SELECT DISTINCT doc_id FROM documents), l AS (SELECT DISTINCT doc_id FROM labels) SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right' ELSE 'left' END AS side FROM d FULL JOIN l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
     "split_hash_agreement": RUN_SQL + "SELECT model, count(DISTINCT config) AS n_hashes, count(DISTINCT config) <= 1 AS agrees FROM run GROUP BY 1",
     "label_override": "SELECT d.doc_id, coalesce(quality, -1)::BIGINT AS label FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id",
     "before_after_delta": "WITH p AS (SELECT s_nationkey AS nation, l_returnflag AS f, round(avg(l_discount), 6) AS score FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2) SELECT b.nation::BIGINT AS nation, b.score AS before, a.score AS after, round(a.score - b.score, 6) + 0.0 AS delta, CASE WHEN a.score - b.score < 0 THEN 'REGRESSION' ELSE 'ok' END AS flag FROM p AS b JOIN p AS a ON a.nation = b.nation WHERE b.f = 'A' AND a.f = 'R'",

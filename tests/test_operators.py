@@ -453,3 +453,14 @@ def test_stream_scores(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("scores").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(rows(spark.sql("SELECT slice_index, flagged_voxels, n_voxels FROM scores"))) == [(0, 1, 3), (1, 0, 3)]
+
+
+def test_half_present_rows_of_both_sides(spark):
+    left, right = (spark.createDataFrame([(i,) for i in ids], "doc_id long") for ids in ([1, 2, 2], [2, 3]))
+    assert sorted(tuple(r) for r in compare.half_present(left, right, ["doc_id"]).select("doc_id", "side").collect()) == [(1, "left"), (3, "right")]
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_one_class_has_no_curve(spark, label):
+    with pytest.raises(Exception, match="both classes"):
+        curves.roc_pr_auc(spark.createDataFrame([(label, 0.1), (label, 0.2)], "y int, s double"), "y", "s").collect()
