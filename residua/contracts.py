@@ -53,3 +53,4 @@ SLICE_SCORE = "volume_id string, slice_index bigint, flagged_voxels bigint, n_vo
 OOF_PREDICTION = "granularity string, fold bigint, volume_id string, slice_index bigint, y_true bigint, y_score double"
 VOLUME_METRICS = "volume_id string, dice double, iou double, psnr_db double, ssim double"
 MANIFEST = "model string, loss string, split string, n_volumes bigint, split_hash string"
+SPLIT = "seed bigint, parts map<string, map<string, array<string>>>"

@@ -104,3 +104,35 @@ def union_rows(*frames: DataFrame) -> DataFrame:
     for frame in frames[1:]:
         out = out.unionByName(frame)
     return out
+
+
+def must_match(aggregates: DataFrame, runs: DataFrame, key: str, carry: Sequence[str]) -> DataFrame:
+    """Each aggregate with the carried columns of its run record; one without a record fails when it is read."""
+    found = runs.select(F.col(key).alias("_run"), *carry)
+    joined = aggregates.join(found, F.col(key) == F.col("_run"), "left")
+    checked = F.when(F.col("_run").isNull(), F.raise_error(F.concat(F.lit("no run record for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.col("_run"))
+    return joined.withColumn(key, checked.cast(aggregates.schema[key].dataType)).drop("_run")
+
+
+def traced_scorecard(entries: DataFrame, reasons: DataFrame) -> DataFrame:
+    """metric, value, source, na_reason of each metric in reasons (metric, na_reason).
+
+    entries (metric, priority, source, split_hash, value): of the sources that have a value the one with the
+    lowest priority stands, ties by source. A value without a source is an error when it is read. Where sources
+    were made under different splits no value stands, and the reason says so; a null hash agrees with any.
+    """
+    held = F.when(F.col("value").isNotNull() & F.col("source").isNull(), F.raise_error(F.lit("a value has no source")).cast("double")).otherwise(F.col("value"))
+    present = entries.withColumn("value", held).filter(F.col("value").isNotNull())
+    best = present.groupBy("metric").agg(F.min_by(F.struct("value", "source"), F.struct("priority", "source")).alias("_best"))
+    splits = entries.agg((F.count_distinct("split_hash") > 1).alias("_mixed"))
+    joined = reasons.join(best, "metric", "left").crossJoin(F.broadcast(splits))
+    value = F.when(~F.col("_mixed"), F.col("_best.value"))
+    reason = F.when(F.col("_mixed"), F.lit("sources differ in their splits")).when(F.col("_best").isNull(), F.col("na_reason"))
+    return joined.select("metric", value.alias("value"), F.when(value.isNotNull(), F.col("_best.source")).alias("source"), reason.alias("na_reason"))
+
+
+def require_complete(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> None:
+    """Raise with the first five keys that only one side has."""
+    found = half_present(left, right, keys).orderBy(*keys).limit(5).collect()
+    if found:
+        raise ArtifactError(f"present on one side only: {[tuple(r) for r in found]}")

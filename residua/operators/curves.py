@@ -6,11 +6,11 @@ score groups is cut into buckets, so no task orders all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import DataError
-from .prefix import cumulative
+from .prefix import bucketed, cumulative
 
 
 def require_two_classes(samples: DataFrame, label: str) -> DataFrame:
@@ -57,3 +57,28 @@ def roc_pr_auc(samples: DataFrame, label: str, score: str) -> DataFrame:
 def prevalence(samples: DataFrame, label: str) -> DataFrame:
     positives = F.count_if(F.col(label) == 1)
     return samples.agg(F.count(F.lit(1)).alias("n"), positives.alias("n_positive"), (positives / F.count(F.lit(1))).alias("rate"))
+
+
+def auc_by_key(samples: DataFrame, key: str, label: str, score: str) -> DataFrame:
+    """roc_auc and pr_auc of each key, ties shared; null where a key has one class only.
+
+    Each key's counts per distinct score are summed in buckets of the score: the totals of the buckets
+    (64 a key) give each its start, and a window runs inside a key's bucket.
+    """
+    groups = samples.groupBy(key, F.col(score).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
+    cut = bucketed(groups, "_s")
+    before = Window.partitionBy(key).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    of_key = Window.partitionBy(key)
+    totals = cut.groupBy(key, "_bucket").agg(F.sum("_p").alias("_bp"), F.sum("_n").alias("_bn"))
+    starts = totals.select(
+        F.col(key).alias("_key"), F.col("_bucket").alias("_at"), F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_sp"), F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_sn"),
+        F.sum("_bp").over(of_key).alias("_all_p"), F.sum("_bn").over(of_key).alias("_all_n"),
+    )
+    inside = Window.partitionBy(key, "_bucket").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_at")))
+    rows = joined.withColumn("_tp", F.sum("_p").over(inside) + F.col("_sp")).withColumn("_fp", F.sum("_n").over(inside) + F.col("_sn"))
+    tp, p, n = F.col("_tp"), F.col("_p"), F.col("_n")
+    area = F.sum(n * (2 * tp - p)) / (2 * F.max("_all_p") * F.max("_all_n"))
+    steps = F.sum(F.try_divide(p * tp, tp + F.col("_fp"))) / F.max("_all_p")
+    both = (F.max("_all_p") > 0) & (F.max("_all_n") > 0)
+    return rows.groupBy(key).agg(F.when(both, area).alias("roc_auc"), F.when(both, steps).alias("pr_auc"))

@@ -10,15 +10,32 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
+def bucketed(rows: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
+    """Add `_bucket`, which rises with the numeric `order` and is the same for equal values; nulls come first."""
+    probabilities = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
+    cuts = rows.agg(F.array_distinct(F.percentile_approx(order, probabilities, 10_000)).alias("_cuts"))
+    found = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))
+    return rows.crossJoin(F.broadcast(cuts)).withColumn("_bucket", F.when(F.col(order).isNull(), 0).otherwise(found)).drop("_cuts")
+
+
+def numbered(rows: DataFrame, order: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+    """Add `out`: the place of each row, from 0, in order of a numeric column; equal values in any order among themselves."""
+    cut = bucketed(rows, order, buckets)
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    starts = totals.select(F.col("_bucket").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    joined = cut.join(F.broadcast(starts), F.col("_bucket") == F.col("_at"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1 + F.col("_start")
+    return joined.withColumn(out, place.cast("bigint")).drop("_bucket", "_at", "_start")
+
+
 def cumulative(rows: DataFrame, order: str, sums: Sequence[str], descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """Add `<column>_upto` for each of sums: its total over the rows up to this one in order of distinct `order` values.
 
     Approximate quantiles cut the order into buckets, whose totals (a row per bucket, broadcast) give
     each bucket its start; inside a bucket a window runs. The quantiles shape the work, not the result.
     """
-    probabilities = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    cuts = rows.agg(F.array_distinct(F.percentile_approx(order, probabilities, 10_000)).alias("_cuts"))
-    cut = rows.crossJoin(F.broadcast(cuts)).withColumn("_bucket", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))).drop("_cuts")
+    cut = bucketed(rows, order, buckets)
     direction = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     earlier = Window.orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy("_bucket").agg(*(F.sum(c).alias(c) for c in sums))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Iterator, Sequence
@@ -10,10 +11,10 @@ from contextlib import contextmanager
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contracts import ArtifactError, ConfigError
+from ..contracts import SPLIT, ArtifactError, ConfigError
 
 
 def save_volumes(slices: DataFrame, root: str) -> None:
@@ -63,10 +64,11 @@ def markdown_table(rows: DataFrame, most: int = 200) -> str:
 
 def splice(text: str, block: str, begin: str, end: str) -> str:
     """Replace what stands between two markers; absent, doubled or inverted markers are errors. Idempotent."""
-    if text.count(begin) != 1 or text.count(end) != 1 or text.index(begin) > text.index(end):
-        raise ArtifactError("markers must occur once each and in order")
-    head, tail = text.index(begin) + len(begin), text.index(end)
-    return f"{text[:head]}\n{block}\n{text[tail:]}"
+    marks = re.findall(f"{re.escape(begin)}|{re.escape(end)}", text)
+    if marks != [begin, end]:
+        raise ArtifactError(f"markers must occur once each and in order, found {marks}")
+    between = re.compile(f"(?<={re.escape(begin)}).*(?={re.escape(end)})", re.DOTALL)
+    return between.sub(lambda _: f"\n{block}\n", text)
 
 
 @contextmanager
@@ -96,3 +98,15 @@ def timer(record: dict, name: str) -> Iterator[None]:
         yield
     finally:
         record["timers"][name] = record["timers"].get(name, 0.0) + time.perf_counter() - began
+
+
+def save_split(spark: SparkSession, path: str, seed: int, parts: dict[str, dict[str, list[str]]]) -> None:
+    """A split as one JSON row: its seed and, per data set, the ids of each part. Ids are subjects, so few."""
+    rows = [(seed, parts)]
+    spark.createDataFrame(rows, SPLIT).coalesce(1).write.mode("overwrite").json(path)
+
+
+def sweep_document(sweep: DataFrame, chosen: DataFrame, path: str) -> None:
+    """The noise sweep as CSV and the chosen point as JSON beside it."""
+    save_csv(sweep, f"{path}/sweep", ["t_noise", "strategy", "value", "dice_mean", "dice_std", "n_volumes"])
+    save_json(chosen, f"{path}/selection")

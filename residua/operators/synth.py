@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import ConfigError
+from ..contracts import ArtifactError, ConfigError
 from ..functions import scalar
 from .metrics import dice_of
+from .prefix import numbered
 
 #: Fixed values of the patch contract.
 MIN_FOREGROUND, MIN_CONTRAST, ATTEMPTS = 0.5, 0.01, 25
@@ -24,8 +25,8 @@ def donor_index(index: Column, draw: Column, n: Column) -> Column:
 
 
 def donors(items: DataFrame, order: str) -> DataFrame:
-    """index and donor of every item, at least two items. Items are volumes, one row each."""
-    ranked = items.withColumn("index", (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
+    """index and donor of every item, at least two items, numbered by a numeric column without a task that orders all."""
+    ranked = numbered(items, order, "index")
     sized = ranked.crossJoin(F.broadcast(items.agg(F.count(F.lit(1)).alias("_n"))))
     return sized.withColumn("donor", donor_index(F.col("index"), F.col(order), F.col("_n")).cast("bigint")).drop("_n")
 
@@ -60,23 +61,20 @@ def corrupted(items: DataFrame, key: str, probability: float, seed: int = 42) ->
 def place_box(healthy: np.ndarray, donor: np.ndarray, rng: np.random.Generator, sizes: tuple[int, int], depths: tuple[int, int], alphas: tuple[float, float], threshold: float) -> tuple:
     """One box (z0, z1, y0, y1, x0, x1, alpha): foreground enough and apart from the donor, tried a bounded number of times.
 
-    The last candidate with enough foreground is the fallback, the origin where there was none.
+    All corners are drawn at once; the first that passes both tests is taken. Where none does, the last
+    with enough foreground is the fallback, the origin where there was none.
     """
-    d, h, w = healthy.shape
-    ph, pw = (int(rng.integers(sizes[0], min(sizes[1], n) + 1)) for n in (h, w))
-    pd_ = int(rng.integers(depths[0], min(depths[1], d) + 1))
-    at, found = (0, 0, 0), False
-    for _ in range(ATTEMPTS):
-        z, y, x = (int(rng.integers(0, n - p + 1)) for n, p in ((d, pd_), (h, ph), (w, pw)))
-        box = np.s_[z : z + pd_, y : y + ph, x : x + pw]
-        if (healthy[box] > threshold).mean() < MIN_FOREGROUND:
-            continue
-        at = (z, y, x)
-        if abs(healthy[box].mean() - donor[box].mean()) >= MIN_CONTRAST:
-            found = True
-            break
-    z, y, x = at
-    return z, z + pd_, y, y + ph, x, x + pw, float(rng.uniform(*alphas)), found
+    low = np.array([depths[0], sizes[0], sizes[0]])
+    edge = rng.integers(low, np.minimum([depths[1], sizes[1], sizes[1]], healthy.shape) + 1)
+    corners = rng.integers(0, np.array(healthy.shape) - edge + 1, size=(ATTEMPTS, 3))
+    cut = lambda volume: np.stack([volume[tuple(map(slice, c, c + edge))] for c in corners]).reshape(ATTEMPTS, -1)
+    ours, theirs = cut(healthy), cut(donor)
+    solid = (ours > threshold).mean(axis=1) >= MIN_FOREGROUND
+    apart = solid & (np.abs(ours.mean(axis=1) - theirs.mean(axis=1)) >= MIN_CONTRAST)
+    chosen = np.flatnonzero(apart)[:1] if apart.any() else np.flatnonzero(solid)[-1:]
+    start = corners[chosen[0]] if chosen.size else np.zeros(3, int)
+    spans = [int(n) for pair in zip(start, start + edge, strict=True) for n in pair]
+    return (*spans, float(rng.uniform(*alphas)), bool(apart.any()))
 
 
 def synthetic_boxes(pairs: DataFrame, key: str, shape: tuple[int, int, int], seed: int = 42, epoch: int = 0, sizes: tuple[int, int] = (2, 4), depths: tuple[int, int] = (1, 2), alphas: tuple[float, float] = (0.3, 0.9), n_boxes: tuple[int, int] = (1, 3), threshold: float = 0.0) -> DataFrame:
@@ -119,3 +117,17 @@ def intensity_separability(voxels: DataFrame, truth: Column, value: str = "v", t
     )
     best = scored.crossJoin(F.broadcast(n_truth)).select(F.greatest(dice_of(F.col("_ia"), F.col("_pa"), F.col("_g")), dice_of(F.col("_ib"), F.col("_pb"), F.col("_g"))).alias("_d"))
     return best.agg(F.coalesce(F.max("_d"), F.lit(0.0)).alias("best_dice"))
+
+
+def separability_report(scores: DataFrame, bound: float, dice: str = "best_dice") -> DataFrame:
+    """Mean and maximum over samples against the bound; no samples give zeros."""
+    found = scores.agg(F.count(dice).alias("n_samples"), F.coalesce(F.avg(dice), F.lit(0.0)).alias("mean_dice"), F.coalesce(F.max(dice), F.lit(0.0)).alias("max_dice"))
+    return found.withColumn("bound", F.lit(bound)).withColumn("separable", F.greatest("mean_dice", "max_dice") > bound)
+
+
+def require_inseparable(scores: DataFrame, bound: float, dice: str = "best_dice") -> DataFrame:
+    """Raise before any training when one intensity cut finds the synthetic anomalies."""
+    found = separability_report(scores, bound, dice).first()
+    if found["separable"]:
+        raise ArtifactError(f"synthetic anomalies are separable by intensity: mean {found['mean_dice']:.3f}, maximum {found['max_dice']:.3f}, bound {bound:.3f}")
+    return scores

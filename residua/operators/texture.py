@@ -37,10 +37,12 @@ def histogram(voxels: DataFrame, keys: Sequence[str], value: str, bins: int) ->
 
 
 def entropy(voxels: DataFrame, keys: Sequence[str], value: str, bins: int = 32) -> DataFrame:
-    """Shannon entropy in bits of the histogram; a group without values inside [0, 1] has no row."""
-    hist = histogram(voxels, keys, value, bins)
+    """Shannon entropy in bits of the histogram; 0 for a group without values inside [0, 1]."""
+    inside = F.col(value).between(0, 1)
+    binned = voxels.withColumn("bin", F.when(inside, F.least(F.floor(F.col(value) * bins), F.lit(bins - 1))))
+    hist = binned.groupBy(*keys, "bin").agg(F.count("bin").alias("n")).withColumn("n", F.when(F.col("n") > 0, F.col("n")))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(*keys))
-    return hist.withColumn("_p", p).groupBy(*keys).agg((-F.sum(F.col("_p") * F.log2("_p"))).alias("entropy"))
+    return hist.withColumn("_p", p).groupBy(*keys).agg(F.coalesce(-F.sum(F.col("_p") * F.log2("_p")), F.lit(0.0)).alias("entropy"))
 
 
 def runs(voxels: DataFrame, keys: Sequence[str], line: Column, along: str, level: str = "q") -> DataFrame:

@@ -95,24 +95,24 @@ def sweep_grid(spark, percentiles: Sequence[float], absolutes: Sequence[float])
     return spark.createDataFrame(rows, "point int, strategy string, value double")
 
 
-def threshold_sweep(voxels: DataFrame, key: str, flat_index: str, percentiles: Sequence[float], absolutes: Sequence[float], residual: str = "residual", truth: str = "gt") -> DataFrame:
-    """Mean and population deviation of Dice over volumes for each threshold.
+def threshold_sweep(voxels: DataFrame, key: str, flat_index: str, percentiles: Sequence[float], absolutes: Sequence[float], residual: str = "residual", truth: str = "gt", by: Sequence[str] = ()) -> DataFrame:
+    """Mean and population deviation of Dice over volumes for each threshold, and each value of `by`.
 
     Volumes are ranked once; every threshold is a conditional sum of one pass, so residuals are
     neither recomputed nor multiplied by the grid.
     """
-    order = Window.partitionBy(key).orderBy(F.col(residual).desc(), flat_index)
-    ranked = voxels.withColumn("_rank", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    order = Window.partitionBy(*by, key).orderBy(F.col(residual).desc(), flat_index)
+    ranked = voxels.withColumn("_rank", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by, key)))
     tests = [(F.col("_rank") <= kept_count(F.col("_n"), p)) for p in percentiles] + [absolute_mask(F.col(residual), a) for a in absolutes]
     hit = F.col(truth) > 0
     sums = []
     for i, test in enumerate(tests):
         sums += [F.count_if(test & hit).alias(f"_i{i}"), F.count_if(test).alias(f"_p{i}")]
-    per_volume = ranked.groupBy(key).agg(F.count_if(hit).alias("_g"), *sums)
+    per_volume = ranked.groupBy(*by, key).agg(F.count_if(hit).alias("_g"), *sums)
     points = F.array(*(F.struct(F.lit(i).alias("point"), dice_of(F.col(f"_i{i}"), F.col(f"_p{i}"), F.col("_g")).alias("dice")) for i in range(len(tests))))
-    scores = per_volume.select(key, F.inline(points))
+    scores = per_volume.select(*by, key, F.inline(points))
     grid = F.broadcast(sweep_grid(voxels.sparkSession, percentiles, absolutes))
-    return scores.join(grid, "point").groupBy("strategy", "value").agg(F.avg("dice").alias("dice_mean"), F.stddev_pop("dice").alias("dice_std"), F.count(F.lit(1)).alias("n_volumes"))
+    return scores.join(grid, "point").groupBy(*by, "strategy", "value").agg(F.avg("dice").alias("dice_mean"), F.stddev_pop("dice").alias("dice_std"), F.count(F.lit(1)).alias("n_volumes"))
 
 
 def select_operating_point(sweep: DataFrame, split: str = "val") -> DataFrame:

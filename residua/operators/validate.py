@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,19 @@ def require_no_leakage(train: DataFrame, test: DataFrame, key: str) -> None:
     found = split_leakage(train, test, key).limit(5).collect()
     if found:
         raise LeakageError(f"training uses test subjects: {[r[0] for r in found]}")
+
+
+def require_binary(rows: DataFrame, value: Column) -> DataFrame:
+    found = non_binary_count(rows, value).first()
+    if found["n_non_binary"]:
+        raise DataError(f"{found['n_non_binary']} of {found['n']} values are neither 0 nor 1")
+    return rows
+
+
+def require_equal_shapes(left: DataFrame, right: DataFrame, keys: Sequence[str], column: str) -> None:
+    """Both sides hold the same keys as often, with arrays of the same lengths; nothing is broadcast."""
+    per = lambda side, name: side.groupBy(*keys).agg(F.sort_array(F.collect_set(F.size(column))).alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
+    joined = per(left, "_l").join(per(right, "_r"), list(keys), "full_outer")
+    bad = joined.filter(~F.col("_l").eqNullSafe(F.col("_r")) | ~F.col("_l_n").eqNullSafe(F.col("_r_n"))).limit(1).collect()
+    if bad:
+        raise DataError(f"shapes differ at {tuple(bad[0][k] for k in keys)}: {bad[0]['_l']} and {bad[0]['_r']}")

@@ -173,6 +173,40 @@ def scorecard(spark, d):
     return rounded(compare.scorecard(spark.range(1).select(F.lit("headline").alias("cell")), sources), "value")
 
 
+def fold_auc(spark, d):
+    return rounded(curves.auc_by_key(frames.scr(spark, d), "fold", "y", "score_t"), "roc_auc", "pr_auc")
+
+
+def mean_importance(spark, d):
+    items = frames.table(spark, d, "lineitem")
+    gains = items.filter("l_quantity > 45").groupBy(F.col("l_suppkey").alias("feature"), F.col("l_linenumber").alias("fold")).agg(F.round(F.avg("l_discount"), 6).alias("gain"))
+    return rounded(ranks.mean_importance(gains), "mean_gain")
+
+
+def run_meta_join(spark, d):
+    records = frames.run(spark, d)
+    newest = runs.newest(records, "stamp", "run", ["model"])
+    return rounded(compare.must_match(newest, records, "run", ["config", "metric"]), "metric")
+
+
+def stopped_at(spark, d):
+    return runs.stopped_at(frames.run(spark, d), "model", ["stamp", "run"], "metric", 5).select("model", "run")
+
+
+def scorecard_sources(spark, d):
+    """Each metric's first source that has a value; the classical file is absent, so its AUC comes from the other table."""
+    samples = frames.scr(spark, d)
+    found = (
+        ("roc_auc", 0, "classical.json", spark.range(1).select(F.lit(None).cast("double").alias("value"))),
+        ("roc_auc", 1, "paradigm.json", curves.roc_pr_auc(samples, "y", "score_t").select(F.col("roc_auc").alias("value"))),
+        ("recall", 0, "slices.json", slices.confusion(samples, F.col("y") == 1, F.col("score") >= 500).select(F.col("recall").alias("value"))),
+        ("cells", 0, "matrix.json", compare.availability(cells(spark, d), "score").select(F.col("n_available").cast("double").alias("value"))),
+    )
+    entries = compare.union_rows(*(f.select(F.lit(m).alias("metric"), F.lit(p).alias("priority"), F.lit(s).alias("source"), F.lit("h").alias("split_hash"), "value") for m, p, s, f in found))
+    reasons = spark.createDataFrame([(m, f"{m} was not measured") for m in ("roc_auc", "recall", "cells", "noise")], "metric string, na_reason string")
+    return rounded(compare.traced_scorecard(entries, reasons), "value")
+
+
 def ordered_digest(spark, d):
     return runs.ordered_digest(frames.run(spark, d).withColumn("hour", F.date_format("stamp", "yyyy-MM-dd HH")), ["model", "hour"], "run")
 
@@ -304,6 +338,19 @@ SELECT 'roc_auc' AS metric, round(sum((fpr - fpr0) * (tpr + tpr0) / 2), 6) AS va
 UNION ALL SELECT 'prevalence', round(avg(y), 6), NULL FROM scr UNION ALL SELECT 'recall', round(tp::DOUBLE / (tp + fn), 6), NULL FROM conf
 UNION ALL SELECT 'spearman', round(covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)), 6), NULL FROM r UNION ALL SELECT 'cells_available', count(score)::DOUBLE, NULL FROM cells
 UNION ALL SELECT 'synthetic', NULL, 'source is missing'""",
+    "fold_auc": SCR_SQL + """, g AS (SELECT fold, score_t AS s, sum(y)::BIGINT AS p, sum(1 - y)::BIGINT AS n FROM scr GROUP BY 1, 2),
+c AS (SELECT fold, p, n, sum(p) OVER k AS tp, sum(n) OVER k AS fp, sum(p) OVER (PARTITION BY fold) AS np, sum(n) OVER (PARTITION BY fold) AS nn FROM g WINDOW k AS (PARTITION BY fold ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
+SELECT fold, CASE WHEN any_value(np) > 0 AND any_value(nn) > 0 THEN round(sum((n::DOUBLE / nn) * (tp + tp - p) / np / 2), 6) END AS roc_auc, CASE WHEN any_value(np) > 0 AND any_value(nn) > 0 THEN round(sum(p::DOUBLE / np * tp / (tp + fp)), 6) END AS pr_auc FROM c GROUP BY 1""",
+    "mean_importance": "WITH g AS (SELECT l_suppkey AS feature, l_linenumber AS fold, round(avg(l_discount), 6) AS gain FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2) SELECT feature, round(sum(gain) / (SELECT count(DISTINCT fold) FROM g), 6) AS mean_gain FROM g GROUP BY 1",
+    "run_meta_join": RUN_SQL + "SELECT model, run, config, round(metric, 6) AS metric FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY stamp DESC, run DESC) AS rk FROM run) AS x WHERE rk = 1",
+    "stopped_at": RUN_SQL + """, b AS (SELECT *, coalesce(metric > max(metric) OVER (PARTITION BY model ORDER BY stamp, run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM run WHERE metric IS NOT NULL),
+i AS (SELECT *, count(*) FILTER (WHERE improved) OVER (PARTITION BY model ORDER BY stamp, run ROWS UNBOUNDED PRECEDING) AS island FROM b),
+s AS (SELECT *, count(*) FILTER (WHERE NOT improved) OVER (PARTITION BY model, island ORDER BY stamp, run ROWS UNBOUNDED PRECEDING) AS stale FROM i)
+SELECT model, run FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY stamp, run) AS rk FROM s WHERE stale >= 5) AS x WHERE rk = 1""",
+    "scorecard_sources": _CURVE_SQL + ", conf AS (SELECT " + _CONFUSION + " FROM scr), " + CELL_SQL.strip().removeprefix("WITH ") + """
+SELECT 'roc_auc' AS metric, round(sum((fpr - fpr0) * (tpr + tpr0) / 2), 6) AS value, 'paradigm.json' AS source, CAST(NULL AS VARCHAR) AS na_reason FROM lagged
+UNION ALL SELECT 'recall', round(tp::DOUBLE / (tp + fn), 6), 'slices.json', NULL FROM conf UNION ALL SELECT 'cells', count(score)::DOUBLE, 'matrix.json', NULL FROM cells
+UNION ALL SELECT 'noise', NULL, NULL, 'noise was not measured'""",
     "ordered_digest": RUN_SQL + "SELECT model, strftime(stamp, '%Y-%m-%d %H') AS hour, sha256(string_agg(run::VARCHAR, ',' ORDER BY run)) AS digest FROM run GROUP BY 1, 2",
     "content_hash": RUN_SQL + "SELECT run, sha256(model || '|' || config) AS digest FROM run",
     "split_counts": _SPLIT_SQL + "SELECT split, count(*) AS n FROM sp GROUP BY 1",

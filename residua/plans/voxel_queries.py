@@ -107,6 +107,10 @@ def chunk_offsets(spark, d):
     return preprocess.chunk_offsets(frames.slices(spark, d))
 
 
+def locate_chunk(spark, d):
+    return preprocess.locate_chunk(chunk_offsets(spark, d), 3).select("subject", F.col("chunk_index").cast("bigint").alias("chunk_index"))
+
+
 def quantize_levels(spark, d):
     return preprocess.quantize_levels(frames.vox(spark, d), KEYS, 16).select(*KEYS, "pos", "q")
 
@@ -177,6 +181,14 @@ def threshold_sweep(spark, d):
     return sweep(spark, d).select("strategy", "value", r6(F.col("dice_mean")).alias("dice_mean"), r6(F.col("dice_std")).alias("dice_std"), "n_volumes")
 
 
+def tnoise_sweep(spark, d):
+    """The sweep at three noise levels, which here stretch the residual."""
+    noisy = frames.full(spark, d).filter("subject in (5, 6)").withColumn("t_noise", F.explode(F.array(*(F.lit(t).cast("bigint") for t in range(3)))))
+    noisy = noisy.withColumn("residual", F.col("residual") * (1 + 0.1 * F.col("t_noise")))
+    found = thresholds.threshold_sweep(noisy, "subject", "flat", PERCENTILES, ABSOLUTES, by=["t_noise"])
+    return found.select("t_noise", "strategy", "value", r6(F.col("dice_mean")).alias("dice_mean"), r6(F.col("dice_std")).alias("dice_std"), "n_volumes")
+
+
 def select_operating_point(spark, d):
     return thresholds.select_operating_point(sweep(spark, d)).select("strategy", "value", r6(F.col("dice_mean")).alias("dice_mean"))
 
@@ -354,6 +366,19 @@ _SWEEP_SQL = VOX_SQL + """, r AS (
   FROM (SELECT strategy, value, CASE WHEN p + g = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * i / (p + g + 1e-6::DOUBLE) END AS d FROM s) AS x GROUP BY 1, 2
 )
 """
+_NOISE_SQL = VOX_SQL + """, x AS (
+  SELECT t_noise, subject, gt, flat, residual * (1 + 0.1::DOUBLE * t_noise) AS residual FROM f, (VALUES (0::BIGINT), (1), (2)) AS t(t_noise) WHERE subject IN (5, 6)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY t_noise, subject ORDER BY residual DESC, flat) AS rk, count(*) OVER (PARTITION BY t_noise, subject) AS n FROM x
+), grid AS (
+  SELECT * FROM (VALUES ('percentile', 80.0::DOUBLE), ('percentile', 90.0), ('percentile', 95.0), ('percentile', 97.5), ('percentile', 99.0), ('absolute', 0.1), ('absolute', 0.15), ('absolute', 0.2), ('absolute', 0.25)) AS t(strategy, value)
+), s AS (
+  SELECT t_noise, subject, strategy, value, count(*) FILTER (WHERE hit) AS p, count(*) FILTER (WHERE hit AND gt = 1) AS i, sum(gt) AS g
+  FROM (SELECT *, CASE WHEN strategy = 'percentile' THEN rk <= round_even(n * (100.0 - value) / 100.0, 0) ELSE residual > value END AS hit FROM r, grid) AS y GROUP BY 1, 2, 3, 4
+)
+SELECT t_noise, strategy, value, round(avg(d), 6) AS dice_mean, round(stddev_pop(d), 6) + 0.0 AS dice_std, count(*) AS n_volumes
+FROM (SELECT t_noise, strategy, value, CASE WHEN p + g = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * i / (p + g + 1e-6::DOUBLE) END AS d FROM s) AS z GROUP BY 1, 2, 3
+"""
 _SCORES_SQL = """, ss AS (
   SELECT subject, slice_index, count(*) FILTER (WHERE residual > 0.15) AS flagged_voxels, count(*) AS n_voxels, count(*) FILTER (WHERE residual > 0.15)::DOUBLE / count(*) AS flagged_fraction,
          count(*) FILTER (WHERE v > 0.05)::DOUBLE / count(*) AS foreground_fraction, CASE WHEN sum(gt) >= 5 THEN 1 ELSE 0 END AS label
@@ -460,6 +485,7 @@ ORACLES = {
     "resize_nearest": VOX_SQL + "SELECT size::BIGINT AS size, subject, slice_index, oy AS y, ox AS x, round(v, 6) + 0.0 AS v FROM vox, (SELECT 4 AS size, unnest(range(4)) AS oy UNION ALL SELECT 16 AS size, unnest(range(16)) AS oy) AS a, (SELECT 4 AS sx, unnest(range(4)) AS ox UNION ALL SELECT 16 AS sx, unnest(range(16)) AS ox) AS b WHERE size = sx AND y = oy * 8 // size AND x = ox * 8 // size",
     "pad_depth": VOX_SQL + "SELECT subject, (ceil(count(*) / 16.0::DOUBLE) * 16)::BIGINT AS depth, (ceil(count(*) / 16.0::DOUBLE) * 16)::BIGINT - count(*) AS n_padded FROM sl GROUP BY 1",
     "chunk_index": VOX_SQL + "SELECT subject, slice_index, slice_index // 16 AS chunk_index, slice_index % 16 AS z FROM sl",
+    "locate_chunk": VOX_SQL + ", c AS (SELECT subject, ceil(count(*) / 16.0::DOUBLE)::BIGINT AS n_chunks FROM sl GROUP BY 1), o AS (SELECT subject, n_chunks, coalesce(sum(n_chunks) OVER (ORDER BY subject ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_chunk FROM c) SELECT subject, (3 - first_chunk)::BIGINT AS chunk_index FROM o WHERE first_chunk <= 3 AND first_chunk + n_chunks > 3",
     "chunk_offsets": VOX_SQL + ", c AS (SELECT subject, ceil(count(*) / 16.0::DOUBLE)::BIGINT AS n_chunks FROM sl GROUP BY 1) SELECT subject, n_chunks, coalesce(sum(n_chunks) OVER (ORDER BY subject ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_chunk FROM c",
     "quantize_levels": _quant_sql(16) + "SELECT subject, slice_index, pos, q FROM q",
     "normalize_slice": VOX_SQL + _SLICE_EXT + " SELECT subject, slice_index, pos, round(CASE WHEN hi - lo <= 1e-8 THEN 0 ELSE least(greatest((v - lo) / (hi - lo), 0), 1) END, 6) + 0.0 AS normed FROM vox JOIN ext ON subject = s0 AND slice_index = i0",
@@ -474,6 +500,7 @@ ORACLES = {
     "threshold_percentile": VOX_SQL + "SELECT subject, " + _FLAG_SQL + " FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY residual DESC, flat) <= round_even(count(*) OVER (PARTITION BY subject) * 5.0::DOUBLE / 100, 0) AS flagged FROM f WHERE subject >= 7) AS x GROUP BY 1",
     "threshold_otsu": _OTSU_SQL,
     "threshold_sweep": _SWEEP_SQL + "SELECT strategy, value, round(dice_mean, 6) AS dice_mean, round(dice_std, 6) + 0.0 AS dice_std, n_volumes FROM swept",
+    "tnoise_sweep": _NOISE_SQL,
     "select_operating_point": _SWEEP_SQL + "SELECT strategy, value, round(dice_mean, 6) AS dice_mean FROM swept ORDER BY round(swept.dice_mean, 9) DESC, value, strategy LIMIT 1",
     "slice_threshold_tuning": VOX_SQL + _SCORES_SQL + """, c AS (SELECT t.threshold, count(*) FILTER (WHERE flagged_fraction >= t.threshold AND label = 1) AS tp, count(*) FILTER (WHERE flagged_fraction >= t.threshold AND label = 0) AS fp,
   count(*) FILTER (WHERE flagged_fraction < t.threshold AND label = 1) AS fn, count(*) FILTER (WHERE flagged_fraction < t.threshold AND label = 0) AS tn

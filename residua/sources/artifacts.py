@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contracts import ArtifactError
+from ..contracts import SPLIT, ArtifactError
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -78,3 +78,12 @@ def save_feature_cache(features: DataFrame, path: str, key: dict[str, str]) -> N
     """Features first, then the key: a cache without a key does not exist. The key must name all that shapes the features."""
     features.write.mode("overwrite").parquet(f"{path}/features")
     features.sparkSession.createDataFrame([key]).coalesce(1).write.mode("overwrite").json(f"{path}/key")
+
+
+def load_split(spark: SparkSession, path: str) -> tuple[int, dict[str, dict[str, list[str]]]]:
+    """The seed and the parts of a saved split; a missing or empty file is an error."""
+    found = read_json(spark, path, SPLIT)
+    row = found.first() if found is not None else None
+    if row is None or row["seed"] is None:
+        raise ArtifactError(f"no split at {path}")
+    return row["seed"], row["parts"]

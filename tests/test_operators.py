@@ -464,3 +464,84 @@ def test_half_present_rows_of_both_sides(spark):
 def test_one_class_has_no_curve(spark, label):
     with pytest.raises(Exception, match="both classes"):
         curves.roc_pr_auc(spark.createDataFrame([(label, 0.1), (label, 0.2)], "y int, s double"), "y", "s").collect()
+
+
+def test_auc_by_key_of_ties_and_of_one_class(spark):
+    from residua.operators import curves
+
+    frame = spark.createDataFrame([("a", 1, 0.5), ("a", 0, 0.5), ("a", 1, 0.9), ("a", 0, 0.1), ("b", 1, 0.3), (None, 1, 0.2), (None, 0, 0.1)], "k string, y int, s double")
+    found = {r["k"]: (r["roc_auc"], r["pr_auc"]) for r in curves.auc_by_key(frame, "k", "y", "s").collect()}
+    assert found["a"] == (0.875, pytest.approx(0.5 + 0.5 * 2 / 3)) and found["b"] == (None, None) and found[None] == (1.0, 1.0)
+
+
+def test_numbered_agrees_with_a_sort(spark):
+    from residua.operators import prefix
+
+    frame = spark.createDataFrame([((i * 7919) % 1000,) for i in range(1000)], "v int")
+    assert all(r["v"] == r["at"] for r in prefix.numbered(frame, "v", "at").collect())
+    assert prefix.numbered(frame.limit(0), "v", "at").count() == 0
+
+
+def test_traced_scorecard(spark):
+    from residua.operators import compare
+
+    schema = "metric string, priority int, source string, split_hash string, value double"
+    reasons = spark.createDataFrame([("auc", "not run"), ("dice", "not run")], "metric string, na_reason string")
+    found = lambda *e: sorted(tuple(r) for r in compare.traced_scorecard(spark.createDataFrame(list(e), schema), reasons).collect())
+    assert found(("auc", 0, "own", "h", None), ("auc", 1, "other", None, 0.7)) == [("auc", 0.7, "other", None), ("dice", None, None, "not run")]
+    assert [r[1:] for r in found(("auc", 0, "a", "h", 0.7), ("dice", 0, "b", "g", 0.2))] == [(None, None, "sources differ in their splits")] * 2
+    with pytest.raises(Exception, match="no source"):
+        found(("auc", 0, None, "h", 0.7))
+
+
+def test_must_match_and_guards(spark):
+    from pyspark.sql import functions as F
+
+    from residua.contracts import ArtifactError, DataError
+    from residua.operators import compare, synth, validate
+
+    runs_ = spark.createDataFrame([("r1", 3)], "run string, seed int")
+    assert [tuple(r) for r in compare.must_match(spark.createDataFrame([("r1", 0.5)], "run string, dice double"), runs_, "run", ["seed"]).collect()] == [("r1", 0.5, 3)]
+    with pytest.raises(Exception, match="no run record for r2"):
+        compare.must_match(spark.createDataFrame([("r2", 0.5)], "run string, dice double"), runs_, "run", ["seed"]).collect()
+    one, two = (spark.createDataFrame([(k, [0] * k)], "k int, a array<int>") for k in (1, 2))
+    validate.require_equal_shapes(one, one, ["k"], "a")
+    for check in (lambda: validate.require_equal_shapes(one, two, ["k"], "a"), lambda: validate.require_binary(two, F.col("k"))):
+        with pytest.raises(DataError):
+            check()
+    scores = spark.createDataFrame([(0.2,), (0.9,)], "best_dice double")
+    synth.require_inseparable(scores, 0.95)
+    for check in (lambda: compare.require_complete(one, two, ["k"]), lambda: synth.require_inseparable(scores, 0.5)):
+        with pytest.raises(ArtifactError):
+            check()
+
+
+def test_split_is_saved_and_loaded(spark, tmp_path):
+    from residua.contracts import ArtifactError
+    from residua.operators import report
+    from residua.sources import artifacts
+
+    parts = {"healthy": {"train": ["a", "b"], "val": []}, "tumor": {"test": ["c"]}}
+    report.save_split(spark, str(tmp_path / "split"), 42, parts)
+    assert artifacts.load_split(spark, str(tmp_path / "split")) == (42, parts)
+    with pytest.raises(ArtifactError):
+        artifacts.load_split(spark, str(tmp_path / "none"))
+
+
+def test_entropy_without_values_inside_is_zero(spark):
+    from residua.operators import texture
+
+    frame = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 0.1), (2, 0.9)], "k int, v double")
+    assert sorted(tuple(r) for r in texture.entropy(frame, ["k"], "v").collect()) == [(1, 0.0), (2, 1.0)]
+
+
+def test_placed_box_lies_inside_and_passes_both_tests():
+    import numpy as np
+
+    from residua.operators import synth
+
+    healthy, donor = np.full((4, 9, 7), 0.5), np.full((4, 9, 7), 0.9)
+    for seed in range(50):
+        z0, z1, y0, y1, x0, x1, alpha, found = synth.place_box(healthy, donor, np.random.default_rng(seed), (2, 4), (1, 2), (0.3, 0.9), 0.0)
+        assert found and 0 <= z0 < z1 <= 4 and 0 <= y0 < y1 <= 9 and 0 <= x0 < x1 <= 7 and 1 <= z1 - z0 <= 2 and 2 <= y1 - y0 <= 4 and 0.3 <= alpha <= 0.9
+    assert synth.place_box(healthy * 0, donor, np.random.default_rng(1), (2, 4), (1, 2), (0.3, 0.9), 0.0)[7] is False
