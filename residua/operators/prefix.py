@@ -11,7 +11,7 @@ BUCKETS = 64
 
 
 def bucketed(rows: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add `_bucket`, which rises with the numeric `order` and is the same for equal values; nulls come first."""
+    """Add `_bucket`, which rises with `order`, a number or a time, and is the same for equal values; nulls come first."""
     probabilities = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
     cuts = rows.agg(F.array_distinct(F.percentile_approx(order, probabilities, 10_000)).alias("_cuts"))
     found = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import bucketed
+
 
 def newest(runs: DataFrame, stamp: str, run: str, keys: Sequence[str] = (), where: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """The newest run of each key, ties by run, among those that match."""
@@ -21,11 +23,20 @@ def timing_rollup(runs: DataFrame, name: str, seconds: str) -> DataFrame:
 
 
 def best_so_far(epochs: DataFrame, key: str, order: Sequence[str], score: str) -> DataFrame:
-    """Running maximum, and whether a row improves on all before it. Rows without a score never count against it."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.max(score).over(before)
+    """Running maximum, and whether a row improves on all before it. Rows without a score never count against it.
+
+    The first of the order columns is a number or a time. It is cut into buckets, whose maxima (at most 64 a key)
+    give each the best before it, so no task orders all rows of a key.
+    """
+    cut = bucketed(epochs, order[0])
+    ahead = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    tops = cut.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_at")).agg(F.max(score).alias("_top")).select("_key", "_at", F.max("_top").over(ahead).alias("_before"))
+    rows = cut.join(tops, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_at")))
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    epochs = rows.withColumn("_earlier", F.greatest("_before", F.max(score).over(inside))).drop("_key", "_at", "_bucket", "_before")
+    earlier = F.col("_earlier")
     best = F.greatest(F.coalesce(earlier, F.col(score)), F.col(score))
-    return epochs.withColumn("best", F.coalesce(best, earlier)).withColumn("improved", F.coalesce((F.col(score) > earlier) | earlier.isNull(), F.lit(False)) & F.col(score).isNotNull())
+    return epochs.withColumn("best", F.coalesce(best, earlier)).withColumn("improved", F.coalesce((F.col(score) > earlier) | earlier.isNull(), F.lit(False)) & F.col(score).isNotNull()).drop("_earlier")
 
 
 def stopped_at(epochs: DataFrame, key: str, order: Sequence[str], score: str, patience: int) -> DataFrame:

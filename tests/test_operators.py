@@ -545,3 +545,15 @@ def test_placed_box_lies_inside_and_passes_both_tests():
         z0, z1, y0, y1, x0, x1, alpha, found = synth.place_box(healthy, donor, np.random.default_rng(seed), (2, 4), (1, 2), (0.3, 0.9), 0.0)
         assert found and 0 <= z0 < z1 <= 4 and 0 <= y0 < y1 <= 9 and 0 <= x0 < x1 <= 7 and 1 <= z1 - z0 <= 2 and 2 <= y1 - y0 <= 4 and 0.3 <= alpha <= 0.9
     assert synth.place_box(healthy * 0, donor, np.random.default_rng(1), (2, 4), (1, 2), (0.3, 0.9), 0.0)[7] is False
+
+
+def test_best_so_far_over_buckets_agrees_with_a_loop(spark):
+    data = [("b" if i % 3 == 0 else None, i, None if i % 7 == 0 else float((i * 37) % 101)) for i in range(1, 400)]
+    found = {(r["k"], r["e"]): (r["best"], r["improved"]) for r in runs.best_so_far(spark.createDataFrame(data, "k string, e int, s double"), "k", ["e"], "s").collect()}
+    held = {}
+    for k, e, s in data:
+        earlier = held.get(k)
+        if s is not None:
+            held[k] = s if earlier is None else max(earlier, s)
+        assert found[(k, e)] == (held.get(k), s is not None and (earlier is None or s > earlier))
+    assert len(found) == len(data)
