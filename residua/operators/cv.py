@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -23,13 +24,15 @@ def seeded_split(ids: Sequence[str], fractions: dict[str, float], seed: int) ->
     if abs(sum(fractions.values()) - 1) > 1e-6:
         raise ConfigError(f"shares must sum to 1, not {sum(fractions.values())}")
     order = sorted(ids)
-    random.Random(seed).shuffle(order)
-    out, at = {}, 0
-    for i, (name, share) in enumerate(fractions.items()):
-        size = len(order) - at if i == len(fractions) - 1 else round(share * len(order))
-        out[name] = sorted(order[at : at + size])
-        at += size
-    return out
+    random.Random(seed).shuffle(order)  # fixed value: these draws over the sorted ids
+    sizes = [round(share * len(order)) for share in fractions.values()][:-1]
+    ends = [min(n, len(order)) for n in accumulate(sizes)] + [len(order)]
+    return {name: sorted(order[a:b]) for name, a, b in zip(fractions, [0, *ends], ends, strict=False)}
+
+
+def both_splits(healthy: Sequence[str], tumor: Sequence[str], seed: int) -> dict[str, dict[str, list[str]]]:
+    """The split of the healthy and of the tumour data set, from one seed."""
+    return {"healthy": seeded_split(healthy, HEALTHY_FRACTIONS, seed), "tumor": seeded_split(tumor, TUMOR_FRACTIONS, seed)}
 
 
 def verify_split(recorded: dict, fresh: dict, override: bool = False) -> dict:

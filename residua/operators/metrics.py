@@ -64,31 +64,48 @@ def _gaussian(window: int, sigma: float) -> np.ndarray:
 
 def _blur(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     for axis in range(a.ndim):
-        a = np.apply_along_axis(np.convolve, axis, a, kernel, "valid")
+        a = np.lib.stride_tricks.sliding_window_view(a, len(kernel), axis) @ kernel
     return a
 
 
-def ssim_value(x: np.ndarray, y: np.ndarray, window: int = 11, sigma: float = 1.5, data_range: float = 1.0) -> float:
-    """Mean structural similarity with a Gaussian window and valid borders, in as many dimensions as x has."""
-    if min(x.shape) < window:
-        raise DataError(f"every dimension must reach the window {window}, not {x.shape}")
+def ssim_map(x: np.ndarray, y: np.ndarray, window: int = 11, sigma: float = 1.5, data_range: float = 1.0) -> np.ndarray:
+    """Structural similarity at each place of a Gaussian window that lies inside, in as many dimensions as x has."""
     k = _gaussian(window, sigma)
     c1, c2 = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2
     mx, my = _blur(x, k), _blur(y, k)
     vx, vy, vxy = _blur(x * x, k) - mx**2, _blur(y * y, k) - my**2, _blur(x * y, k) - mx * my
-    return float((((2 * mx * my + c1) * (2 * vxy + c2)) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
+    return ((2 * mx * my + c1) * (2 * vxy + c2)) / ((mx**2 + my**2 + c1) * (vx + vy + c2))
+
+
+def ssim_value(x: np.ndarray, y: np.ndarray, window: int = 11, sigma: float = 1.5, data_range: float = 1.0) -> float:
+    """The mean of that map; every dimension must reach the window."""
+    if min(x.shape) < window:
+        raise DataError(f"every dimension must reach the window {window}, not {x.shape}")
+    return float(ssim_map(x, y, window, sigma, data_range).mean())
+
 
+def ssim(slices: DataFrame, key: str, height: int, width: int, original: str = "original", reconstruction: str = "reconstruction", window: int = 11, slab: int = 64) -> DataFrame:
+    """SSIM per volume from slice rows, indexed gapless from 0; a volume below the window in depth fails when it is read.
 
-def ssim(slices: DataFrame, key: str, height: int, width: int, original: str = "original", reconstruction: str = "reconstruction", window: int = 11) -> DataFrame:
-    """SSIM per volume from slice rows; a volume is one group (63 MB at full size)."""
+    A group is a slab of `slab` window places with the window - 1 slices beyond it, so memory does not grow with the depth.
+    """
+    if min(height, width) < window:
+        raise DataError(f"slices of {height} by {width} do not reach the window {window}")
 
     def score(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("slice_index")
+        if len(group) < window:
+            return pd.DataFrame({key: [group[key].iloc[0]], "_total": [0.0], "_n": [0]})
         x, y = (np.stack([np.asarray(r, float) for r in group[c]]).reshape(-1, height, width) for c in (original, reconstruction))
-        return pd.DataFrame({key: [group[key].iloc[0]], "ssim": [ssim_value(x, y, window)]})
+        found = ssim_map(x, y, window)
+        return pd.DataFrame({key: [group[key].iloc[0]], "_total": [found.sum()], "_n": [found.size]})
 
+    first = F.greatest(F.floor((F.col("slice_index") - (window - 1)) / slab), F.lit(0))
+    slabs = F.explode(F.sequence(first, F.floor(F.col("slice_index") / slab)))
     kind = slices.schema[key].dataType.simpleString()
-    return slices.select(key, "slice_index", original, reconstruction).groupBy(key).applyInPandas(score, f"{key} {kind}, ssim double")
+    parts = slices.select(key, "slice_index", original, reconstruction, slabs.alias("_slab")).groupBy(key, "_slab").applyInPandas(score, f"{key} {kind}, _total double, _n bigint")
+    total, n = F.sum("_total"), F.sum("_n")
+    return parts.groupBy(key).agg(F.when(n == 0, F.raise_error(F.lit(f"a volume has fewer slices than the window {window}")).cast("double")).otherwise(total / n).alias("ssim"))
 
 
 def mse_loss(voxels: DataFrame, keys: Sequence[str], original: str, reconstruction: str) -> DataFrame:

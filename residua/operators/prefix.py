@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
@@ -44,3 +44,22 @@ def cumulative(rows: DataFrame, order: str, sums: Sequence[str], descending: boo
     joined = cut.join(F.broadcast(starts), F.col("_bucket") == F.col("_at"))
     added = joined.withColumns({f"{c}_upto": F.sum(c).over(inside) + F.col(f"_{c}_start") for c in sums})
     return added.drop("_bucket", "_at", *(f"_{c}_start" for c in sums))
+
+
+def ranked_by(rows: DataFrame, keys: Sequence[str], order: str, then: Sequence[Column] = (), descending: bool = False, weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Add `_before` and `_all`: how many rows (or how much weight) of the same keys come before this row, and in all.
+
+    Rows stand in order of a number or a time, ties by `then`. Buckets of the order, cut alike for all keys,
+    give each (keys, bucket) its start, so no task orders all rows of a key; keys may be null.
+    """
+    amount = F.lit(1) if weight is None else F.col(weight)
+    cut = bucketed(rows, order, buckets)
+    turn = lambda c: c.desc() if descending else c.asc()
+    names = [f"_k{i}" for i in range(len(keys))]
+    totals = cut.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("_bucket").alias("_at")).agg(F.sum(amount).alias("_n"))
+    earlier = Window.partitionBy(*names).orderBy(turn(F.col("_at"))).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*names, "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy(*names)).alias("_all"))
+    match = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)] + [F.col("_bucket") == F.col("_at")]
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(turn(F.col(order)), *then).rowsBetween(Window.unboundedPreceding, -1)
+    joined = cut.join(starts, match)
+    return joined.withColumn("_before", F.coalesce(F.sum(amount).over(inside), F.lit(0)) + F.col("_start")).drop("_bucket", "_at", "_start", *names)

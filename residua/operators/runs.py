@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import bucketed
+from .prefix import bucketed, ranked_by
 
 
 def newest(runs: DataFrame, stamp: str, run: str, keys: Sequence[str] = (), where: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
@@ -40,12 +40,18 @@ def best_so_far(epochs: DataFrame, key: str, order: Sequence[str], score: str) -
 
 
 def stopped_at(epochs: DataFrame, key: str, order: Sequence[str], score: str, patience: int) -> DataFrame:
-    """The first row of each key at which `patience` scored rows in a row have not improved."""
+    """The first row of each key at which `patience` scored rows in a row have not improved.
+
+    Rows are placed by buckets of the order; only improving rows, of which a key has few unless its score
+    rises all the time, meet in one task.
+    """
     marked = best_so_far(epochs, key, order, score).filter(F.col(score).isNotNull())
-    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = marked.withColumn("_island", F.sum(F.col("improved").cast("int")).over(upto))
-    rows = rows.withColumn("_stale", F.sum((~F.col("improved")).cast("int")).over(Window.partitionBy(key, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.filter(F.col("_stale") >= patience).groupBy(key).agg(F.min(F.struct(*order)).alias("_at")).select(key, "_at.*")
+    placed = ranked_by(marked, [key], order[0], [F.col(c) for c in order[1:]])
+    ahead = Window.partitionBy(key).orderBy("_before")
+    records = placed.filter("improved").select(key, "_before", "_all", F.lead("_before").over(ahead).alias("_next"))
+    stale = records.filter(F.coalesce("_next", "_all") > F.col("_before") + patience)
+    stop = stale.groupBy(F.col(key).alias("_key")).agg((F.min("_before") + patience).alias("_stop"))
+    return placed.join(stop, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_before") == F.col("_stop"))).select(key, *order)
 
 
 def ordered_digest(rows: DataFrame, keys: Sequence[str], item: str) -> DataFrame:

@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import ArtifactError, ConfigError
+from ..contracts import ArtifactError, ConfigError, DataError
 from ..functions import scalar
 from .metrics import dice_of
-from .prefix import numbered
+from .prefix import cumulative, numbered
 
 #: Fixed values of the patch contract.
-MIN_FOREGROUND, MIN_CONTRAST, ATTEMPTS = 0.5, 0.01, 25
+MIN_FOREGROUND, MIN_CONTRAST, ATTEMPTS, SLACK = 0.5, 0.01, 25, 1e-4
 
 
 def donor_index(index: Column, draw: Column, n: Column) -> Column:
@@ -58,65 +58,78 @@ def corrupted(items: DataFrame, key: str, probability: float, seed: int = 42) ->
     return items.withColumn("corrupt", scalar.uniform(F.lit(seed), F.col(key)) <= probability)
 
 
-def place_box(healthy: np.ndarray, donor: np.ndarray, rng: np.random.Generator, sizes: tuple[int, int], depths: tuple[int, int], alphas: tuple[float, float], threshold: float) -> tuple:
+def place_box(healthy: np.ndarray, donor: np.ndarray, rng: np.random.Generator, sizes: tuple[int, int], depths: tuple[int, int], alphas: tuple[float, float], threshold: float, aligned: bool = True) -> tuple:
     """One box (z0, z1, y0, y1, x0, x1, alpha): foreground enough and apart from the donor, tried a bounded number of times.
 
     All corners are drawn at once; the first that passes both tests is taken. Where none does, the last
-    with enough foreground is the fallback, the origin where there was none.
+    with enough foreground is the fallback, the origin where there was none. Unless aligned, the donor's part
+    of each attempt lies at a corner of its own; the result ends with that corner.
     """
     low = np.array([depths[0], sizes[0], sizes[0]])
     edge = rng.integers(low, np.minimum([depths[1], sizes[1], sizes[1]], healthy.shape) + 1)
     corners = rng.integers(0, np.array(healthy.shape) - edge + 1, size=(ATTEMPTS, 3))
-    cut = lambda volume: np.stack([volume[tuple(map(slice, c, c + edge))] for c in corners]).reshape(ATTEMPTS, -1)
-    ours, theirs = cut(healthy), cut(donor)
+    sources = corners if aligned else rng.integers(0, np.array(donor.shape) - edge + 1, size=(ATTEMPTS, 3))
+    cut = lambda volume, at: np.stack([volume[tuple(map(slice, c, c + edge))] for c in at]).reshape(ATTEMPTS, -1)
+    ours, theirs = cut(healthy, corners), cut(donor, sources)
     solid = (ours > threshold).mean(axis=1) >= MIN_FOREGROUND
     apart = solid & (np.abs(ours.mean(axis=1) - theirs.mean(axis=1)) >= MIN_CONTRAST)
     chosen = np.flatnonzero(apart)[:1] if apart.any() else np.flatnonzero(solid)[-1:]
-    start = corners[chosen[0]] if chosen.size else np.zeros(3, int)
+    start, source = (corners[chosen[0]], sources[chosen[0]]) if chosen.size else np.zeros((2, 3), int)
     spans = [int(n) for pair in zip(start, start + edge, strict=True) for n in pair]
-    return (*spans, float(rng.uniform(*alphas)), bool(apart.any()))
+    return (*spans, float(rng.uniform(*alphas)), bool(apart.any()), *map(int, source))
 
 
-def synthetic_boxes(pairs: DataFrame, key: str, shape: tuple[int, int, int], seed: int = 42, epoch: int = 0, sizes: tuple[int, int] = (2, 4), depths: tuple[int, int] = (1, 2), alphas: tuple[float, float] = (0.3, 0.9), n_boxes: tuple[int, int] = (1, 3), threshold: float = 0.0) -> DataFrame:
+def synthetic_boxes(pairs: DataFrame, key: str, shape: tuple[int, int, int], seed: int = 42, epoch: int = 0, sizes: tuple[int, int] = (2, 4), depths: tuple[int, int] = (1, 2), alphas: tuple[float, float] = (0.3, 0.9), n_boxes: tuple[int, int] = (1, 3), threshold: float = 0.0, donor_alignment: str = "same") -> DataFrame:
     """Boxes per (key, healthy, donor) row of flat arrays. Draws are sequential in a row and depend on seed, epoch and key only."""
     if depths[1] > shape[0]:
         raise ConfigError(f"boxes of depth {depths[1]} do not fit a volume of depth {shape[0]}")
+    if donor_alignment not in ("same", "random"):
+        raise ConfigError(f"donor_alignment is same or random, not {donor_alignment!r}")
+    for low, high in (sizes, depths, alphas, n_boxes):
+        if low > high:
+            raise ConfigError(f"a range must not fall from {low} to {high}")
+
+    def volume(flat) -> np.ndarray:
+        x = np.asarray(flat, float)
+        if x.size != np.prod(shape):
+            raise DataError(f"a volume has {x.size} voxels, wanted {shape}")
+        if not (np.isfinite(x).all() and x.min() >= -SLACK and x.max() <= 1 + SLACK):
+            raise DataError(f"volumes must lie in [0, 1], not [{x.min()}, {x.max()}]")
+        return x.reshape(shape)
 
     def place(batches):
         for batch in batches:
             rows = []
             for k, a, b in zip(batch[key], batch["healthy"], batch["donor"], strict=True):
                 rng = np.random.default_rng(scalar.blake_seed(seed, epoch, int(k)))
-                a, b = (np.asarray(x, float).reshape(shape) for x in (a, b))
-                rows += [(k, no, *place_box(a, b, rng, sizes, depths, alphas, threshold)) for no in range(int(rng.integers(n_boxes[0], n_boxes[1] + 1)))]
-            yield pd.DataFrame(rows, columns=[key, "no", "z0", "z1", "y0", "y1", "x0", "x1", "alpha", "found"])
+                a, b = (volume(x) for x in (a, b))
+                rows += [(k, no, *place_box(a, b, rng, sizes, depths, alphas, threshold, donor_alignment == "same")) for no in range(int(rng.integers(n_boxes[0], n_boxes[1] + 1)))]
+            yield pd.DataFrame(rows, columns=[key, "no", "z0", "z1", "y0", "y1", "x0", "x1", "alpha", "found", "donor_z", "donor_y", "donor_x"])
 
     kind = pairs.schema[key].dataType.simpleString()
-    return pairs.select(key, "healthy", "donor").mapInPandas(place, f"{key} {kind}, no int, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int, alpha double, found boolean")
+    return pairs.select(key, "healthy", "donor").mapInPandas(place, f"{key} {kind}, no int, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int, alpha double, found boolean, donor_z int, donor_y int, donor_x int")
 
 
 def intensity_separability(voxels: DataFrame, truth: Column, value: str = "v", threshold: float = 0.0, cuts: int = 256) -> DataFrame:
     """The best Dice that one intensity cut of either polarity reaches on the foreground; 0 without foreground.
 
-    The cuts are quantiles of the foreground; voxels fall into the bins between them once, and the counts
-    of at most 2 * cuts + 1 bins give every Dice.
+    The cuts are `cuts` evenly spaced quantiles of the foreground, interpolated. How much lies above and below a cut
+    follows from the running counts at the value of its lower rank, so counts per distinct value suffice: a cut stands
+    on a value if its position falls among that value's ranks, and else between two values.
     """
     v = F.col(value)
-    steps = F.array(*(F.lit(i / (cuts - 1)) for i in range(cuts)))
-    fg = voxels.filter(v > threshold)
-    quantiles = fg.agg(F.array_distinct(F.percentile(v, steps)).alias("_cuts"))
-    n_truth = voxels.agg(F.count_if(truth).alias("_g"))
-    marked = fg.select(v.alias("_v"), truth.alias("_t")).crossJoin(F.broadcast(quantiles))
-    below = F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < F.col("_v")).cast("int"))
-    upto = F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c <= F.col("_v")).cast("int"))
-    bins = marked.groupBy(below.alias("_below"), upto.alias("_upto")).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_t").alias("_i"))
-    index = quantiles.select(F.posexplode("_cuts").alias("_k", "_cut"))
-    scored = bins.crossJoin(F.broadcast(index)).groupBy("_k", "_cut").agg(
-        F.sum(F.when(F.col("_below") > F.col("_k"), F.col("_n")).otherwise(0)).alias("_pa"), F.sum(F.when(F.col("_below") > F.col("_k"), F.col("_i")).otherwise(0)).alias("_ia"),
-        F.sum(F.when(F.col("_upto") <= F.col("_k"), F.col("_n")).otherwise(0)).alias("_pb"), F.sum(F.when(F.col("_upto") <= F.col("_k"), F.col("_i")).otherwise(0)).alias("_ib"),
-    )
-    best = scored.crossJoin(F.broadcast(n_truth)).select(F.greatest(dice_of(F.col("_ia"), F.col("_pa"), F.col("_g")), dice_of(F.col("_ib"), F.col("_pb"), F.col("_g"))).alias("_d"))
-    return best.agg(F.coalesce(F.max("_d"), F.lit(0.0)).alias("best_dice"))
+    tally = voxels.filter(v > threshold).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(truth).alias("_i"))
+    totals = tally.agg(F.sum("_n").alias("_all"), F.sum("_i").alias("_hits")).crossJoin(F.broadcast(voxels.agg(F.count_if(truth).alias("_g"))))
+    ranked = cumulative(tally, "_v", ["_n", "_i"]).crossJoin(F.broadcast(totals))
+    k, m, upto, hits = F.lit(cuts - 1), F.greatest(F.col("_all") - 1, F.lit(1)), F.col("_n_upto"), F.col("_i_upto")
+    low, high = (upto - F.col("_n")) * k, (upto - 1) * k
+    on, after = F.ceil(low / m), F.floor(high / m) + 1
+    stands = (on <= k) & (on * m <= high)
+    between = (after <= k) & (after * m < upto * k) & (F.col("_all") > 1)
+    above = F.when(stands | between, dice_of(F.col("_hits") - hits, F.col("_all") - upto, F.col("_g")))
+    below = F.when(stands, dice_of(hits - F.col("_i"), upto - F.col("_n"), F.col("_g")))
+    gap = F.when(between, dice_of(hits, upto, F.col("_g")))
+    return ranked.agg(F.coalesce(F.max(F.greatest(above, below, gap)), F.lit(0.0)).alias("best_dice"))
 
 
 def separability_report(scores: DataFrame, bound: float, dice: str = "best_dice") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import ConfigError
 from .metrics import dice_of
+from .prefix import ranked_by
 
 
 def absolute_mask(residual: Column, value: float) -> Column:
@@ -25,17 +26,15 @@ def kept_count(n: Column, percentile: float | Column) -> Column:
 def percentile_mask(voxels: DataFrame, key: str, flat_index: str, percentile: float, residual: str = "residual") -> DataFrame:
     """`flagged`: exactly round-half-even(n (100 - p) / 100) highest residuals per volume, ties by flat index.
 
-    The cut value of each volume comes from counts per distinct residual, so no volume is sorted
-    in one task; only the voxels tied at the cut are numbered.
+    The cut value of each volume comes from counts per distinct residual, ranked by buckets of the residual,
+    so no volume is sorted in one task; only the voxels tied at the cut are numbered.
     """
     if not 0 <= percentile <= 100:
         raise ConfigError(f"percentile must lie in [0, 100], not {percentile}")
     tally = voxels.groupBy(key, residual).agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy(key).orderBy(F.col(residual).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(key)
-    ranked = tally.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).withColumn("_k", kept_count(F.sum("_n").over(whole), percentile))
-    cut = ranked.filter((F.col("_above") < F.col("_k")) & (F.col("_above") + F.col("_n") >= F.col("_k")))
-    cut = cut.select(key, F.col(residual).alias("_cut"), (F.col("_k") - F.col("_above")).alias("_ties"))
+    ranked = ranked_by(tally, [key], residual, descending=True, weight="_n").withColumn("_k", kept_count(F.col("_all"), percentile))
+    cut = ranked.filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_n") >= F.col("_k")))
+    cut = cut.select(key, F.col(residual).alias("_cut"), (F.col("_k") - F.col("_before")).alias("_ties"))
     marked = voxels.join(cut, key, "left")
     tied = marked.filter(F.col(residual) == F.col("_cut"))
     tied = tied.withColumn("flagged", F.row_number().over(Window.partitionBy(key).orderBy(flat_index)) <= F.col("_ties"))
@@ -101,9 +100,8 @@ def threshold_sweep(voxels: DataFrame, key: str, flat_index: str, percentiles: S
     Volumes are ranked once; every threshold is a conditional sum of one pass, so residuals are
     neither recomputed nor multiplied by the grid.
     """
-    order = Window.partitionBy(*by, key).orderBy(F.col(residual).desc(), flat_index)
-    ranked = voxels.withColumn("_rank", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by, key)))
-    tests = [(F.col("_rank") <= kept_count(F.col("_n"), p)) for p in percentiles] + [absolute_mask(F.col(residual), a) for a in absolutes]
+    ranked = ranked_by(voxels, [*by, key], residual, [F.col(flat_index)], descending=True)
+    tests = [(F.col("_before") < kept_count(F.col("_all"), p)) for p in percentiles] + [absolute_mask(F.col(residual), a) for a in absolutes]
     hit = F.col(truth) > 0
     sums = []
     for i, test in enumerate(tests):

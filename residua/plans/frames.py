@@ -6,10 +6,11 @@ and the residual, SEG a segmentation. Subjects 0 to 6 are healthy, 7 to 9 test,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reconstruct
+from ..operators.prefix import ranked_by
 
 SIDE = 8
 MASK_CUT = 0.15
@@ -21,9 +22,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def slices(spark: SparkSession, folder: str) -> DataFrame:
     """subject, slice_index, vec_id, pixels."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    rows = table(spark, folder, "embeddings")
-    return rows.select(F.col("label").cast("bigint").alias("subject"), (F.row_number().over(order) - 1).cast("bigint").alias("slice_index"), "vec_id", F.col("embedding").cast("array<double>").alias("pixels"))
+    rows = ranked_by(table(spark, folder, "embeddings"), ["label"], "vec_id")
+    return rows.select(F.col("label").cast("bigint").alias("subject"), F.col("_before").cast("bigint").alias("slice_index"), "vec_id", F.col("embedding").cast("array<double>").alias("pixels"))
 
 
 def vox(spark: SparkSession, folder: str) -> DataFrame:

@@ -337,7 +337,7 @@ def pca_reconstruction(spark, d):
 
 
 def synthetic_boxes(spark, d):
-    rows = frames.slices(spark, d).filter("subject <= 6").select(F.col("vec_id"), "subject", F.col("pixels").alias("healthy"))
+    rows = frames.slices(spark, d).filter("subject <= 6").select(F.col("vec_id"), "subject", F.transform("pixels", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).alias("healthy"))  # volumes lie in [0, 1]
     flat = rows.withColumn("donor", F.reverse("healthy"))
     return synth.synthetic_boxes(flat, "vec_id", (1, 8, 8), depths=(1, 1))
 

@@ -542,7 +542,10 @@ def test_placed_box_lies_inside_and_passes_both_tests():
 
     healthy, donor = np.full((4, 9, 7), 0.5), np.full((4, 9, 7), 0.9)
     for seed in range(50):
-        z0, z1, y0, y1, x0, x1, alpha, found = synth.place_box(healthy, donor, np.random.default_rng(seed), (2, 4), (1, 2), (0.3, 0.9), 0.0)
+        z0, z1, y0, y1, x0, x1, alpha, found, *source = synth.place_box(healthy, donor, np.random.default_rng(seed), (2, 4), (1, 2), (0.3, 0.9), 0.0)
+        assert source == [z0, y0, x0]
+        free = synth.place_box(healthy, donor, np.random.default_rng(seed), (2, 4), (1, 2), (0.3, 0.9), 0.0, aligned=False)
+        assert all(0 <= at <= side - (hi - lo) for at, side, lo, hi in zip(free[8:], healthy.shape, free[0:6:2], free[1:6:2], strict=True))
         assert found and 0 <= z0 < z1 <= 4 and 0 <= y0 < y1 <= 9 and 0 <= x0 < x1 <= 7 and 1 <= z1 - z0 <= 2 and 2 <= y1 - y0 <= 4 and 0.3 <= alpha <= 0.9
     assert synth.place_box(healthy * 0, donor, np.random.default_rng(1), (2, 4), (1, 2), (0.3, 0.9), 0.0)[7] is False
 
@@ -557,3 +560,52 @@ def test_best_so_far_over_buckets_agrees_with_a_loop(spark):
             held[k] = s if earlier is None else max(earlier, s)
         assert found[(k, e)] == (held.get(k), s is not None and (earlier is None or s > earlier))
     assert len(found) == len(data)
+
+
+def test_ranked_by_agrees_with_a_sort(spark):
+    from residua.operators.prefix import ranked_by
+
+    data = [(None if i % 5 == 0 else i % 3, None if i % 11 == 0 else float(i * 7 % 40), i) for i in range(500)]
+    found = ranked_by(spark.createDataFrame(data, "k int, v double, i int"), ["k"], "v", [F.col("i")], descending=True).collect()
+    for key in {k for k, _, _ in data}:
+        wanted = [i for k, v, i in sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[2])) if k == key]
+        assert [r["i"] for r in sorted((r for r in found if r["k"] == key), key=lambda r: r["_before"])] == wanted
+        assert {r["_all"] for r in found if r["k"] == key} == {len(wanted)}
+
+
+def test_stopping_place_against_a_loop(spark):
+    data = [(k, i, None if i % 9 == 0 else float((i * (13 + k)) % 97 + i // 40)) for k in range(3) for i in range(1, 200)]
+    for patience in (1, 7, 60, 500):
+        found = {r["k"]: r["e"] for r in runs.stopped_at(spark.createDataFrame(data, "k int, e int, s double"), "k", ["e"], "s", patience).collect()}
+        wanted = {}
+        for k in range(3):
+            best, stale = None, 0
+            for _, e, s in (r for r in data if r[0] == k and r[2] is not None):
+                best, stale = (s, 0) if best is None or s > best else (best, stale + 1)
+                if stale >= patience:
+                    wanted[k] = e
+                    break
+        assert found == wanted
+
+
+def test_ssim_by_slabs_equals_the_whole(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.random((23, 9, 8))
+    y = np.clip(x + 0.1 * rng.standard_normal(x.shape), 0, 1)
+    frame = spark.createDataFrame([("a", i, x[i].ravel().tolist(), y[i].ravel().tolist()) for i in range(23)], "k string, slice_index bigint, original array<double>, reconstruction array<double>")
+    for slab in (1, 4, 64):
+        assert abs(metrics.ssim(frame, "k", 9, 8, window=5, slab=slab).first()["ssim"] - metrics.ssim_value(x, y, 5)) < 1e-12
+    g = np.exp(-((np.arange(5) - 2.0) ** 2) / 4.5)
+    w = np.einsum("i,j,k->ijk", g, g, g) / g.sum() ** 3
+    places = [(slice(a, a + 5), slice(b, b + 5), slice(c, c + 5)) for a in range(19) for b in range(5) for c in range(4)]
+    single = []
+    for at in places:
+        p, q = x[at], y[at]
+        mp, mq = (w * p).sum(), (w * q).sum()
+        vp, vq, vpq = (w * p * p).sum() - mp**2, (w * q * q).sum() - mq**2, (w * p * q).sum() - mp * mq
+        single.append((2 * mp * mq + 1e-4) * (2 * vpq + 9e-4) / ((mp**2 + mq**2 + 1e-4) * (vp + vq + 9e-4)))
+    assert abs(np.mean(single) - metrics.ssim_value(x, y, 5)) < 1e-9
+    with pytest.raises(Exception, match="fewer slices"):
+        metrics.ssim(frame.filter("slice_index < 4"), "k", 9, 8, window=5).collect()
