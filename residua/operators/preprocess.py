@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..contracts import CHUNK_DEPTH, RANGE_EPS, DataError
+from ..contracts import CHUNK_DEPTH, RANGE_EPS, ConfigError, DataError
 from ..functions import scalar
 
 
@@ -124,3 +124,11 @@ def normalize_slices(voxels: DataFrame, keys: Sequence[str], value: str = "v") -
 def loader_order(items: DataFrame, key: str, split: str, seed: int = 42) -> DataFrame:
     """Items in the order they are read: training items by a seeded hash, others by key."""
     return items.orderBy(F.xxhash64(F.lit(seed), key), key) if split == "train" else items.orderBy(key)
+
+
+def loader_order(items: DataFrame, key: str, split: str, seed: int) -> DataFrame:
+    """Items as an epoch reads them: training items in order of a seeded hash of the key, others by the key."""
+    if split not in ("train", "val", "test"):
+        raise ConfigError(f"split is train, val or test, not {split!r}")
+    first = [F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)] if split == "train" else []
+    return items.orderBy(*first, key)

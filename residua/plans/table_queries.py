@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.scalar import r6
-from ..operators import compare, curves, cv, ranks, runs, slices, validate
+from ..operators import compare, curves, cv, documents, ranks, runs, slices, validate
 from . import frames
 from .frames import CELL_SQL, RUN_SQL, SCR_SQL
 
@@ -207,6 +207,39 @@ def scorecard_sources(spark, d):
     return rounded(compare.traced_scorecard(entries, reasons), "value")
 
 
+def grid(spark, d):
+    """Cells with a score and a context value: mean discount and quantity of a brand's returned, kept and open items."""
+    items = frames.table(spark, d, "lineitem").join(frames.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    observed = items.groupBy(F.col("p_brand").alias("brand"), F.col("l_returnflag").alias("flag")).agg(F.round(F.avg("l_discount"), 6).alias("dice"), F.round(F.avg("l_quantity"), 6).alias("psnr_db"))
+    return compare.declared_left_join(frames.cell(spark, d)[0], observed, ["brand", "flag"], "dice")
+
+
+def matrix_document(spark, d):
+    return documents.shown_cells(grid(spark, d), ["brand", "flag"], ["dice", "psnr_db"])
+
+
+def matrix_stats(spark, d):
+    return rounded(documents.cell_stats(grid(spark, d), ["brand", "flag"], "dice", "psnr_db"), "rho")
+
+
+def paradigms(spark, d):
+    """Two scores of the samples as two paradigms; the third was not evaluated."""
+    samples = frames.scr(spark, d)
+    coarse = curves.roc_pr_auc(samples, "y", "score_t").select("roc_auc", "pr_auc", F.lit(None).cast("double").alias("dice"))
+    fine = curves.roc_pr_auc(samples, "y", "score").select("roc_auc", "pr_auc").crossJoin(slices.confusion(samples, F.col("y") == 1, F.col("score") >= 500).select(F.col("f1").alias("dice")))
+    absent = spark.range(1).select(*(F.lit(None).cast("double").alias(c) for c in ("roc_auc", "pr_auc", "dice")))
+    named = ((coarse, "classical", False, None), (fine, "unetr", True, None), (absent, "diffusion", True, "no weights"))
+    return compare.union_rows(*(f.select(F.lit(k).alias("key"), F.lit(loc).alias("localizes"), F.lit(why).cast("string").alias("na_reason"), "*") for f, k, loc, why in named))
+
+
+def paradigm_document(spark, d):
+    return documents.paradigm_rows(paradigms(spark, d), ["classical", "unetr", "diffusion"], ["roc_auc", "pr_auc"], ["dice"])
+
+
+def paradigm_stats(spark, d):
+    return documents.paradigm_stats(paradigms(spark, d))
+
+
 def ordered_digest(spark, d):
     return runs.ordered_digest(frames.run(spark, d).withColumn("hour", F.date_format("stamp", "yyyy-MM-dd HH")), ["model", "hour"], "run")
 
@@ -303,6 +336,14 @@ _SUPPLIER = "WITH s AS (SELECT l_suppkey, sum(l_quantity) AS a, round(sum(l_exte
 _SPLIT_SQL = """WITH k AS (SELECT doc_id, sha256('42:' || doc_id::VARCHAR) AS h FROM (SELECT DISTINCT doc_id FROM documents) AS x), r AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS rk, count(*) OVER () AS n FROM k),
 sp AS (SELECT doc_id, CASE WHEN rk <= round_even(0.7::DOUBLE * n, 0) THEN 'train' WHEN rk <= round_even(0.7::DOUBLE * n, 0) + round_even(0.1::DOUBLE * n, 0) THEN 'val' ELSE 'test' END AS split FROM r)
 """
+_GRID = """WITH declared AS (SELECT brand, flag FROM (SELECT DISTINCT p_brand AS brand FROM part) AS b, (VALUES ('A'), ('N'), ('R'), ('X')) AS t(flag)),
+observed AS (SELECT p_brand AS brand, l_returnflag AS flag, round(avg(l_discount), 6) AS dice, round(avg(l_quantity), 6) AS psnr_db FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+cells AS (SELECT d.brand, d.flag, dice, psnr_db FROM declared AS d LEFT JOIN observed AS o ON d.brand = o.brand AND d.flag = o.flag)
+"""
+_AREAS = "SELECT sum((fpr - fpr0) * (tpr + tpr0) / 2) AS roc, sum((tpr - tpr0) * prec) AS pr FROM lagged"
+_PARADIGMS = f"""WITH a AS ({_CURVE_SQL}{_AREAS}), b AS ({_CURVE_SQL.replace("score_t AS threshold", "score AS threshold")}{_AREAS}),
+f AS ({SCR_SQL}, c AS (SELECT {_CONFUSION} FROM scr) SELECT 2.0::DOUBLE * tp / (2 * tp + fp + fn) AS dice FROM c)
+"""
 
 ORACLES = {
     "precision_recall_f1": SCR_SQL + ", c AS (SELECT " + _CONFUSION + " FROM scr) SELECT tp, fp, fn, tn, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1 FROM c",
@@ -351,6 +392,13 @@ SELECT model, run FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY
 SELECT 'roc_auc' AS metric, round(sum((fpr - fpr0) * (tpr + tpr0) / 2), 6) AS value, 'paradigm.json' AS source, CAST(NULL AS VARCHAR) AS na_reason FROM lagged
 UNION ALL SELECT 'recall', round(tp::DOUBLE / (tp + fn), 6), 'slices.json', NULL FROM conf UNION ALL SELECT 'cells', count(score)::DOUBLE, 'matrix.json', NULL FROM cells
 UNION ALL SELECT 'noise', NULL, NULL, 'noise was not measured'""",
+    "matrix_document": _GRID + "SELECT brand || '__' || flag AS cell_id, brand, flag, coalesce(printf('%.4f', dice), 'n/a (not evaluated)') AS dice, coalesce(printf('%.2f', psnr_db), 'n/a (not evaluated)') AS psnr_db, CASE WHEN dice IS NULL THEN 'not evaluated' ELSE '' END AS na_reason FROM cells",
+    "matrix_stats": _GRID + """, k AS (SELECT rank() OVER (ORDER BY dice) + (count(*) OVER (PARTITION BY dice) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY psnr_db) + (count(*) OVER (PARTITION BY psnr_db) - 1) / 2.0::DOUBLE AS rb FROM cells WHERE dice IS NOT NULL AND psnr_db IS NOT NULL),
+b AS (SELECT brand || '__' || flag AS best_cell_id, dice AS best_score FROM cells WHERE dice IS NOT NULL ORDER BY dice DESC, brand, flag LIMIT 1), r AS (SELECT count(*) AS n_pairs, round(covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)), 6) AS rho FROM k)
+SELECT (SELECT count(*) FROM cells) AS n_cells, (SELECT count(dice) FROM cells) AS n_available, n_pairs, rho, best_cell_id, best_score FROM r, b""",
+    "paradigm_document": _PARADIGMS + """SELECT 'roc_auc' AS metric, printf('%.4f', a.roc) AS classical, printf('%.4f', b.roc) AS unetr, 'n/a (no weights)' AS diffusion FROM a, b
+UNION ALL SELECT 'pr_auc', printf('%.4f', a.pr), printf('%.4f', b.pr), 'n/a (no weights)' FROM a, b UNION ALL SELECT 'dice', 'n/a (no voxel masks)', printf('%.4f', dice), 'n/a (no weights)' FROM f""",
+    "paradigm_stats": _PARADIGMS + "SELECT 3::BIGINT AS n_columns, 2::BIGINT AS n_available, CASE WHEN a.roc >= b.roc THEN 'classical' ELSE 'unetr' END AS best_roc_auc_key, 'unetr' AS best_dice_key FROM a, b",
     "ordered_digest": RUN_SQL + "SELECT model, strftime(stamp, '%Y-%m-%d %H') AS hour, sha256(string_agg(run::VARCHAR, ',' ORDER BY run)) AS digest FROM run GROUP BY 1, 2",
     "content_hash": RUN_SQL + "SELECT run, sha256(model || '|' || config) AS digest FROM run",
     "split_counts": _SPLIT_SQL + "SELECT split, count(*) AS n FROM sp GROUP BY 1",

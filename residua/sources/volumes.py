@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import gzip
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import DataError
@@ -97,3 +98,28 @@ def require_modality(resolved: DataFrame) -> DataFrame:
 def is_lfs_stub(content: bytes) -> bool:
     """Whether a checkpoint is only a pointer that large-file storage left behind."""
     return content.startswith(b"version https://git-lfs.github.com/spec/")
+
+
+def presence_audit(spark: SparkSession, root: str, required: Sequence[tuple[str, str]]) -> DataFrame:
+    """folder, pattern, n_files, state (ok, empty or missing) of each required pair, from listings alone."""
+    found = []
+    for folder, pattern in required:
+        try:
+            found.append((folder, pattern, volume_files(spark, f"{root}/{folder}", pattern).count()))
+        except AnalysisException:
+            found.append((folder, pattern, None))
+    state = F.when(F.col("n_files").isNull(), "missing").when(F.col("n_files") == 0, "empty").otherwise("ok")
+    return spark.createDataFrame(found, "folder string, pattern string, n_files bigint").withColumn("state", state)
+
+
+def require_present(audit: DataFrame) -> None:
+    """Raise with every folder that is missing or empty."""
+    bad = audit.filter("state <> 'ok'").collect()
+    if bad:
+        raise DataError("; ".join(f"{r['folder']}/{r['pattern']} is {r['state']}" for r in bad))
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """The path below root; other paths as they are."""
+    start = root.rstrip("/") + "/"
+    return F.when(path.startswith(start), F.substring(path, len(start) + 1, 1 << 30)).otherwise(path)

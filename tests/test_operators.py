@@ -609,3 +609,54 @@ def test_ssim_by_slabs_equals_the_whole(spark):
     assert abs(np.mean(single) - metrics.ssim_value(x, y, 5)) < 1e-9
     with pytest.raises(Exception, match="fewer slices"):
         metrics.ssim(frame.filter("slice_index < 4"), "k", 9, 8, window=5).collect()
+
+
+def test_documents_are_written(spark, tmp_path):
+    import json
+
+    from residua.operators import documents
+
+    cells = spark.createDataFrame([("m", "a", 0.5, 20.0, None), ("m", "b", 0.5, 22.25, None), ("n", "a", 0.25, 10.0, None), ("n", "b", None, None, "not evaluated")], "model string, loss string, dice double, psnr_db double, na_reason string")
+    documents.save_matrix(cells, str(tmp_path), ["model", "loss"], ["dice", "psnr_db"], "dice", "psnr_db")
+    stats = spark.read.json(f"{tmp_path}/matrix.json").select("stats.*").first()
+    assert (stats["n_cells"], stats["n_available"], stats["n_pairs"], stats["best_cell_id"]) == (4, 3, 3, "m__a")
+    assert stats["rho"] == pytest.approx(0.8660254)
+    assert "| n__b | n | b | n/a (not evaluated) |" in (tmp_path / "matrix.md").read_text()
+    assert spark.read.option("header", True).csv(f"{tmp_path}/matrix.csv").filter("cell_id = 'm__b'").first()["psnr_db"] == "22.25"
+    empty = documents.cell_stats(cells.filter("false"), ["model", "loss"], "dice", "psnr_db").first()
+    assert (empty["n_cells"], empty["rho"], empty["best_cell_id"]) == (0, None, None)
+
+    columns = spark.createDataFrame([("classical", False, 0.7, None, None), ("unetr", True, 0.7, 0.4, None)], "key string, localizes boolean, roc_auc double, dice double, na_reason string")
+    documents.save_paradigms(columns, str(tmp_path), ["classical", "unetr", "diffusion"], ["roc_auc"], ["dice"], {"n_slices": 9}, "h")
+    text = (tmp_path / "paradigms.md").read_text()
+    assert "| dice | n/a (no voxel masks) | 0.4000 | n/a (not evaluated) |" in text and "n_slices 9" in text
+    assert tuple(documents.paradigm_stats(columns).first()) == (2, 2, "classical", "unetr")
+
+    record = lambda dice, iou, split: spark.createDataFrame([("m", "l", dice, 0.1, iou, 0.1, "r", split)], "model string, loss string, dice_mean double, dice_std double, iou_mean double, iou_std double, run_id string, split_hash string")
+    documents.save_before_after(record(0.5, 0.3, "h"), record(0.4, 0.35, "h"), str(tmp_path), ["dice_mean", "iou_mean"], ["split_hash"])
+    text = (tmp_path / "before_after.md").read_text()
+    assert "| dice_mean | 0.5000 | 0.4000 | -0.1000 | REGRESSION |" in text and "| +0.0500 | ok |" in text
+    with pytest.raises(Exception, match="records differ in split_hash"):
+        documents.before_after_rows(record(0.5, 0.3, "h"), record(0.4, 0.35, "g"), ["dice_mean"], ["split_hash"]).collect()
+
+    folds = spark.createDataFrame([(0, 4, 1, 0.25, 0.5, 0.5), (1, 4, 3, 0.75, 1.0, None)], "fold int, n_test long, n_test_positive long, positive_rate double, roc_auc double, pr_auc double")
+    report.save_json(documents.classical_document(folds, "r", 1, True), f"{tmp_path}/classical.json")
+    stored = json.loads(next((tmp_path / "classical.json").glob("part-*")).read_text())
+    assert stored["class_balance"] == {"n_positive": 4, "n_negative": 4, "positive_rate": 0.5} and stored["headline"]["roc_auc_std"] == 0.25
+    documents.save_importance(spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0)], "feature string, mean_gain double"), f"{tmp_path}/importance")
+    assert {(r["rank"], r["feature"]) for r in spark.read.option("header", True).csv(f"{tmp_path}/importance").collect()} == {("1", "c"), ("2", "a"), ("3", "b")}
+
+
+def test_presence_and_paths(spark, tmp_path):
+    for name in ("full", "bare"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "full" / "a.npy").write_bytes(b"x")
+    audit = volumes.presence_audit(spark, str(tmp_path), [("full", "*.npy"), ("bare", "*.npy"), ("none", "*.npy")])
+    assert {r["folder"]: r["state"] for r in audit.collect()} == {"full": "ok", "bare": "empty", "none": "missing"}
+    with pytest.raises(contracts.DataError, match="bare.*none"):
+        volumes.require_present(audit)
+    paths = spark.createDataFrame([("/r/x/a.json",), ("/other/b.json",), ("/rx/c.json",)], "p string")
+    assert {r[0] for r in paths.select(volumes.relative_path(F.col("p"), "/r")).collect()} == {"x/a.json", "/other/b.json", "/rx/c.json"}
+    order = [r["k"] for r in preprocess.loader_order(spark.range(50).withColumnRenamed("id", "k"), "k", "train", 1).collect()]
+    assert sorted(order) == list(range(50)) != order
+    assert [r["k"] for r in preprocess.loader_order(spark.range(50).withColumnRenamed("id", "k"), "k", "val", 1).collect()] == list(range(50))
