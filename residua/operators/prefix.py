@@ -18,6 +18,15 @@ def bucketed(rows: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
     return rows.crossJoin(F.broadcast(cuts)).withColumn("_bucket", F.when(F.col(order).isNull(), 0).otherwise(found)).drop("_cuts")
 
 
+def octaves(value: Column, parts: int = 32) -> Column:
+    """A bucket that rises with a double and needs no pass over the data: `parts` to each doubling, one for zero, NaN last.
+
+    Numbers that spread over a few per cent or more of their size fall into many buckets, of which a key has 140,000 at most.
+    """
+    step = lambda x: F.floor(F.least(F.log2(x), F.lit(1025.0)) * parts) + 1100 * parts
+    return F.when(F.isnan(value), F.lit(10**9)).when(value > 0, step(value)).when(value < 0, -step(-value)).otherwise(F.when(value.isNull(), F.lit(-(10**9))).otherwise(0))
+
+
 def numbered(rows: DataFrame, order: str, out: str, buckets: int = BUCKETS) -> DataFrame:
     """Add `out`: the place of each row, from 0, in order of a numeric column; equal values in any order among themselves."""
     cut = bucketed(rows, order, buckets)
@@ -29,13 +38,14 @@ def numbered(rows: DataFrame, order: str, out: str, buckets: int = BUCKETS) -> D
     return joined.withColumn(out, place.cast("bigint")).drop("_bucket", "_at", "_start")
 
 
-def cumulative(rows: DataFrame, order: str, sums: Sequence[str], descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def cumulative(rows: DataFrame, order: str, sums: Sequence[str], descending: bool = False, buckets: int = BUCKETS, bucket: Column | None = None) -> DataFrame:
     """Add `<column>_upto` for each of sums: its total over the rows up to this one in order of distinct `order` values.
 
     Approximate quantiles cut the order into buckets, whose totals (a row per bucket, broadcast) give
     each bucket its start; inside a bucket a window runs. The quantiles shape the work, not the result.
+    `bucket`, which must rise with the order, takes their place and saves a pass.
     """
-    cut = bucketed(rows, order, buckets)
+    cut = bucketed(rows, order, buckets) if bucket is None else rows.withColumn("_bucket", bucket)
     direction = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     earlier = Window.orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy("_bucket").agg(*(F.sum(c).alias(c) for c in sums))
@@ -46,14 +56,14 @@ def cumulative(rows: DataFrame, order: str, sums: Sequence[str], descending: boo
     return added.drop("_bucket", "_at", *(f"_{c}_start" for c in sums))
 
 
-def ranked_by(rows: DataFrame, keys: Sequence[str], order: str, then: Sequence[Column] = (), descending: bool = False, weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+def ranked_by(rows: DataFrame, keys: Sequence[str], order: str, then: Sequence[Column] = (), descending: bool = False, weight: str | None = None, bucket: Column | None = None) -> DataFrame:
     """Add `_before` and `_all`: how many rows (or how much weight) of the same keys come before this row, and in all.
 
-    Rows stand in order of a number or a time, ties by `then`. Buckets of the order, cut alike for all keys,
-    give each (keys, bucket) its start, so no task orders all rows of a key; keys may be null.
+    Rows stand in order of a number or a time, ties by `then`. Buckets of the order, cut alike for all keys (by
+    approximate quantiles, or by `bucket`, which must rise with the order and saves a pass), give each (keys, bucket) its start, so no task orders all rows of a key; keys may be null.
     """
     amount = F.lit(1) if weight is None else F.col(weight)
-    cut = bucketed(rows, order, buckets)
+    cut = bucketed(rows, order) if bucket is None else rows.withColumn("_bucket", bucket)
     turn = lambda c: c.desc() if descending else c.asc()
     names = [f"_k{i}" for i in range(len(keys))]
     totals = cut.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("_bucket").alias("_at")).agg(F.sum(amount).alias("_n"))

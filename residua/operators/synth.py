@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..contracts import ArtifactError, ConfigError, DataError
 from ..functions import scalar
 from .metrics import dice_of
-from .prefix import cumulative, numbered
+from .prefix import cumulative, numbered, octaves
 
 #: Fixed values of the patch contract.
 MIN_FOREGROUND, MIN_CONTRAST, ATTEMPTS, SLACK = 0.5, 0.01, 25, 1e-4
@@ -120,7 +120,7 @@ def intensity_separability(voxels: DataFrame, truth: Column, value: str = "v", t
     v = F.col(value)
     tally = voxels.filter(v > threshold).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(truth).alias("_i"))
     totals = tally.agg(F.sum("_n").alias("_all"), F.sum("_i").alias("_hits")).crossJoin(F.broadcast(voxels.agg(F.count_if(truth).alias("_g"))))
-    ranked = cumulative(tally, "_v", ["_n", "_i"]).crossJoin(F.broadcast(totals))
+    ranked = cumulative(tally, "_v", ["_n", "_i"], bucket=octaves(F.col("_v"))).crossJoin(F.broadcast(totals))
     k, m, upto, hits = F.lit(cuts - 1), F.greatest(F.col("_all") - 1, F.lit(1)), F.col("_n_upto"), F.col("_i_upto")
     low, high = (upto - F.col("_n")) * k, (upto - 1) * k
     on, after = F.ceil(low / m), F.floor(high / m) + 1

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import ConfigError
 from .metrics import dice_of
-from .prefix import ranked_by
+from .prefix import octaves, ranked_by
 
 
 def absolute_mask(residual: Column, value: float) -> Column:
@@ -32,7 +32,7 @@ def percentile_mask(voxels: DataFrame, key: str, flat_index: str, percentile: fl
     if not 0 <= percentile <= 100:
         raise ConfigError(f"percentile must lie in [0, 100], not {percentile}")
     tally = voxels.groupBy(key, residual).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked_by(tally, [key], residual, descending=True, weight="_n").withColumn("_k", kept_count(F.col("_all"), percentile))
+    ranked = ranked_by(tally, [key], residual, descending=True, weight="_n", bucket=octaves(F.col(residual))).withColumn("_k", kept_count(F.col("_all"), percentile))
     cut = ranked.filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_n") >= F.col("_k")))
     cut = cut.select(key, F.col(residual).alias("_cut"), (F.col("_k") - F.col("_before")).alias("_ties"))
     marked = voxels.join(cut, key, "left")
@@ -100,7 +100,7 @@ def threshold_sweep(voxels: DataFrame, key: str, flat_index: str, percentiles: S
     Volumes are ranked once; every threshold is a conditional sum of one pass, so residuals are
     neither recomputed nor multiplied by the grid.
     """
-    ranked = ranked_by(voxels, [*by, key], residual, [F.col(flat_index)], descending=True)
+    ranked = ranked_by(voxels, [*by, key], residual, [F.col(flat_index)], descending=True, bucket=octaves(F.col(residual)))
     tests = [(F.col("_before") < kept_count(F.col("_all"), p)) for p in percentiles] + [absolute_mask(F.col(residual), a) for a in absolutes]
     hit = F.col(truth) > 0
     sums = []

@@ -14,6 +14,7 @@ from ..operators.prefix import ranked_by
 
 SIDE = 8
 MASK_CUT = 0.15
+BLOCK = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def slices(spark: SparkSession, folder: str) -> DataFrame:
     """subject, slice_index, vec_id, pixels."""
-    rows = ranked_by(table(spark, folder, "embeddings"), ["label"], "vec_id")
+    rows = ranked_by(table(spark, folder, "embeddings"), ["label"], "vec_id", bucket=F.floor(F.col("vec_id") / BLOCK))
     return rows.select(F.col("label").cast("bigint").alias("subject"), F.col("_before").cast("bigint").alias("slice_index"), "vec_id", F.col("embedding").cast("array<double>").alias("pixels"))
 
 

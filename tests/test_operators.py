@@ -660,3 +660,13 @@ def test_presence_and_paths(spark, tmp_path):
     order = [r["k"] for r in preprocess.loader_order(spark.range(50).withColumnRenamed("id", "k"), "k", "train", 1).collect()]
     assert sorted(order) == list(range(50)) != order
     assert [r["k"] for r in preprocess.loader_order(spark.range(50).withColumnRenamed("id", "k"), "k", "val", 1).collect()] == list(range(50))
+
+
+def test_octaves_rise_with_the_value(spark):
+    from residua.operators.prefix import octaves
+
+    rng = np.random.default_rng(8)
+    values = [float("-inf"), -1e300, -1.0, -5e-324, 0.0, 5e-324, 1.0, 1e300, float("inf"), *(rng.standard_normal(300) * 10.0 ** rng.integers(-9, 9, 300)).tolist()]
+    found = [r["b"] for r in spark.createDataFrame([(v,) for v in sorted(values)], "v double").select("v", octaves(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert found == sorted(found) and len(set(found)) > 200
+    assert [r[0] for r in spark.createDataFrame([(None,), (float("nan"),)], "v double").select(octaves(F.col("v"))).collect()] == [-(10**9), 10**9]
