@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, compression, packing, quality_rules as rules, url_filters, warc
-from .common import SPACE_REGEX, limit_batches, materialize, scratch_path, table as read_table
+from .common import SPACE_REGEX, WORD_REGEX, let, limit_batches, materialize, scratch_path, table as read_table, whole
+from .best_fit import pack_best_fit
 from .cross_entropy import cross_entropy_difference
 from .exact_dedup import content_sort_dedup
+from .periodic_runs import periodic_runs
 from .quality_rules import quality_rules
+from .ranked_search import BREAKS, ranked_search
 from .sharding import balanced_label_propagation
 from .simhash import simhash_components
 from .url_filters import filter_urls
@@ -84,6 +87,47 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).drop("candidates")
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def repeat_words(docs: DataFrame) -> DataFrame:
+    """The documents, with the words of those whose crc32(doc_id) ends in 0 repeated from a place on, as op12 asks."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def repeated(words):
+        n, g = F.size(words).cast("bigint"), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.concat_ws(" ", F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(words, place(i).cast("int"))))
+
+    words = F.regexp_extract_all("text", F.lit(WORD_REGEX), F.lit(0))
+    text = let(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.lit("")))
+    return docs.select("doc_id", F.when(h % 10 == 0, text).otherwise(whole()).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeat_words(table(spark, sf_dir, "documents")))
+    longest = F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], y["length"] - x["length"]).when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["period"] - y["period"]).cast("int"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    return found.withColumn("_most", F.get(longest, F.lit(0))).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "_most.start",
+        "_most.length",
+        "_most.period",
+        F.expr("1000 * _most.length div _most.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP5_SQL = """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -166,3 +210,53 @@ WITH cut AS (
 SELECT u.page_id, u.host, u.path, rule, coalesce(action, CASE WHEN ({_LISTED["block"]}) AND NOT ({_LISTED["allow"]}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM (SELECT *, translate(host || path, {_LETTERS}) AS low FROM u) AS u LEFT JOIN fits USING (page_id)
 """
+
+# The sum of bytes that crc32 makes, bit by bit; 3988292384 is its fixed polynomial.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda x, c: list_reduce(list_prepend(xor(x, c), [0::BIGINT for b in range(8)]), lambda y, b: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
+
+OP12_SQL = f"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), {_SPACES}), lambda x: x <> '') AS words, len(words) AS n, {_CRC32} AS h, h // 10 AS g,
+         CASE WHEN n > 0 THEN g % n END AS a, 1 + (n - a) // (3 + g % 8) AS p
+  FROM documents
+), repeated AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE words END AS words FROM w
+), placed AS (
+  SELECT doc_id, n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM repeated
+), equal AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM placed AS x JOIN placed AS y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT doc_id, q, min(i) AS s, min(i) + count(*) + q AS e
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM equal) GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT * FROM stretches AS r WHERE NOT EXISTS (SELECT 1 FROM stretches AS d WHERE d.doc_id = r.doc_id AND d.q < r.q AND r.q % d.q = 0 AND d.s <= r.s AND r.e <= d.e)
+), summed AS (
+  SELECT doc_id, count(*) AS n_runs, arg_max((s, e - s, q), (e - s, -s, -q)) AS most, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed
+  FROM placed AS x WHERE NOT EXISTS (SELECT 1 FROM runs AS r WHERE r.doc_id = x.doc_id AND r.s + r.q <= x.i AND x.i < r.e) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, most[1] AS start, most[2] AS length, most[3] AS period, 1000 * most[2] // most[3] AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM w LEFT JOIN summed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_TERM = _quoted("[^" + BREAKS[1:-2] + "]+")
+
+OP13_SQL = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), {_TERM}) AS terms, len(terms) AS n FROM documents
+), totals AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d WHERE n > 0
+), postings AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term, docs
+), wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_LETTERS}), {_TERM})) AS term FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + 90 * n * docs // totals.terms))))::BIGINT AS score
+  FROM wanted JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""

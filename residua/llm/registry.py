@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": q.op8_lm_scoring,
     "op9_warc": q.op9_warc,
     "op10_url_filters": q.op10_url_filters,
+    "op11_best_fit": q.op11_best_fit,
+    "op12_periodic_runs": q.op12_periodic_runs,
+    "op13_ranked_search": q.op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +29,6 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": q.OP5_SQL,
     "op9_warc": q.OP9_SQL,
     "op10_url_filters": q.OP10_SQL,
+    "op12_periodic_runs": q.OP12_SQL,
+    "op13_ranked_search": q.OP13_SQL,
 }
