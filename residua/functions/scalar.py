@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,3 +93,8 @@ def timesteps(t_noise: int, n_steps: int, n_train: int) -> list[int]:
     """Descending steps that begin at t_noise, then the strided grid below it."""
     stride = max(1, n_train // n_steps)
     return [t_noise, *(t for t in range((n_train - 1) // stride * stride, -1, -stride) if t < t_noise)]
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate value once and use it several times in body, also inside lambdas, where Catalyst would evaluate it per element."""
+    return F.transform(F.array(value), body)[0]

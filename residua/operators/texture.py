@@ -10,9 +10,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..contracts import DataError
+
 #: Row and column steps of the angles 0, 45, 90 and 135 degrees at distance 1.
 STEPS = ((0, 1), (1, 1), (1, 0), (1, -1))
 GLRLM = ("sre", "lre", "gln", "rln", "rp", "lgre", "hgre", "srlge", "srhge", "lrlge", "lrhge")
@@ -79,6 +82,65 @@ def glrlm(voxels: DataFrame, keys: Sequence[str], level: str = "q", directions:
     return union.groupBy(*keys).agg(*(F.avg(n).alias(n) for n in GLRLM)) if len(parts) > 1 else union
 
 
+def line_order(direction: int, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Voxels of a slice in order of the lines of a direction, and which of them begin a line.
+
+    Diagonals wrap round the slice's sides, so all lines are equally long; where one wraps, another begins.
+    """
+    place = np.arange(width * height)
+    if direction == 0:
+        return place, place % width == 0
+    line, at = np.divmod(place, height)
+    if direction == 2:
+        return at * width + line, at == 0
+    x = (line + at if direction == 3 else line - at) % width
+    return at * width + x, (at == 0) | (x == (0 if direction == 3 else width - 1))
+
+
+def run_descriptors(levels: np.ndarray, width: int, height: int, direction: int) -> np.ndarray:
+    """The eleven descriptors, a row per slice, of slices (n, height * width) of levels: all slices' runs at once."""
+    order, begins = line_order(direction, width, height)
+    lines = levels[:, order]
+    heads = np.concatenate([np.ones((len(lines), 1), bool), lines[:, 1:] != lines[:, :-1]], axis=1) | begins
+    at = np.flatnonzero(heads)
+    owner, size = at // lines.shape[1], len(lines)
+    r, g = np.diff(at, append=lines.size).astype(float), lines.ravel()[at] + 1.0
+    total = lambda weights: np.bincount(owner, weights, size)
+
+    def squared_counts(values: np.ndarray) -> np.ndarray:
+        top = int(values.max()) + 1
+        keys, counts = np.unique(owner * top + values.astype(np.int64), return_counts=True)
+        return np.bincount(keys // top, counts.astype(float) ** 2, size)
+
+    n, r2, g2 = np.bincount(owner, minlength=size).astype(float), r * r, g * g
+    found = {
+        "sre": total(1 / r2), "lre": total(r2), "gln": squared_counts(g), "rln": squared_counts(r), "rp": n * n / total(r), "lgre": total(1 / g2), "hgre": total(g2),
+        "srlge": total(1 / (g2 * r2)), "srhge": total(g2 / r2), "lrlge": total(r2 / g2), "lrhge": total(g2 * r2),
+    }
+    return np.stack([found[name] / n for name in GLRLM], axis=1)
+
+
+def glrlm_slices(slices: DataFrame, keys: Sequence[str], width: int, height: int, level: str = "q", directions: Sequence[int] = (0, 1, 2, 3)) -> DataFrame:
+    """glrlm of slice rows, whose `level` array holds all voxels by row: no voxel rows, no windows and no shuffle.
+
+    The runs of a batch of slices are found together, as places where a level differs from the one
+    before it in a line. A slice of another size raises.
+    """
+    kinds = [slices.schema[k].dataType.simpleString() for k in keys]
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(len(keys))
+            if (np.diff(held.offsets.to_numpy()) != width * height).any() or held.null_count:
+                raise DataError(f"a slice has no {height} by {width} levels")
+            levels = held.flatten().to_numpy(zero_copy_only=False).reshape(-1, width * height)
+            found = np.mean([run_descriptors(levels, width, height, d) for d in directions], axis=0) if len(levels) else np.zeros((0, len(GLRLM)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(c) for c in found.T)], [*keys, *GLRLM])
+
+    schema = ", ".join([*(f"{k} {kind}" for k, kind in zip(keys, kinds, strict=True)), *(f"{n} double" for n in GLRLM)])
+    return slices.select(*keys, level).mapInArrow(features, schema)
+
+
 def cooccurrence(slices: DataFrame, keys: Sequence[str], levels: int, width: int, height: int, quantized: str = "q", steps: Sequence[tuple[int, int]] = STEPS) -> DataFrame:
     """Symmetric counts (direction, i, j, c) per slice row; neighbours come from the same array."""
     def codes_of(d: int, dy: int, dx: int) -> Column:

@@ -36,10 +36,16 @@ def seg_of(v: Column) -> Column:
     return F.when(v > 0.20, 4).when(v > 0.15, 2).when(v > 0.10, 1).otherwise(0).cast("bigint")
 
 
+def healthy_means(spark: SparkSession, folder: str) -> DataFrame:
+    """(pos, recon) over the healthy subjects; a mean needs no slice numbers, so one scan does."""
+    rows = table(spark, folder, "embeddings").filter("label <= 6").select(F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "v"))
+    return reconstruct.healthy_mean(rows.withColumn("pos", F.col("pos").cast("bigint")), F.lit(True))
+
+
 def full(spark: SparkSession, folder: str) -> DataFrame:
     """VOX with recon, residual, seg, gt and the flat index of a volume."""
     rows = vox(spark, folder)
-    joined = reconstruct.with_residual(rows, reconstruct.healthy_mean(rows, F.col("subject") <= 6))
+    joined = reconstruct.with_residual(rows, healthy_means(spark, folder))
     return joined.withColumn("seg", seg_of(F.col("v"))).withColumn("gt", (F.col("seg") > 0).cast("bigint")).withColumn("flat", F.col("slice_index") * SIDE * SIDE + F.col("pos"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import gray_byte, overlay, r6
+from ..functions.scalar import bind, gray_byte, overlay, quantize, r6
 from ..operators import depth, metrics, preprocess, reconstruct, runs, slices, synth, texture, thresholds, validate
 from . import frames
 from .frames import MASK_CUT, VOX_SQL
@@ -216,24 +216,20 @@ def hist20(spark, d):
     return texture.histogram(unit_voxels(spark, d), ["subject"], "scaled", 20)
 
 
-def leveled(spark, d):
-    return preprocess.quantize_levels(frames.vox(spark, d), KEYS, 8)
-
-
 def glrlm_row(spark, d):
-    found = texture.glrlm(leveled(spark, d), KEYS, directions=(0,))
+    found = texture.glrlm_slices(level_rows(spark, d), KEYS, 8, 8, directions=(0,))
     return found.select(*KEYS, *(r6(F.col(c)).alias(c) for c in texture.GLRLM))
 
 
 def glrlm_all(spark, d):
-    found = texture.glrlm(leveled(spark, d), KEYS)
+    found = texture.glrlm_slices(level_rows(spark, d), KEYS, 8, 8)
     return found.select(*KEYS, *(r6(F.col(c)).alias(c) for c in texture.GLRLM))
 
 
 def level_rows(spark, d):
-    pixels = F.col("pixels")
-    lo, hi = F.array_min(pixels), F.array_max(pixels)
-    return frames.slices(spark, d).withColumn("_lo", lo).withColumn("_hi", hi).withColumn("q", F.transform("pixels", lambda v: F.coalesce(F.rint(F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo")) * 7), F.lit(0.0)).cast("int")))
+    extrema = F.struct(F.array_min("pixels").alias("lo"), F.array_max("pixels").alias("hi"))
+    levels = bind(extrema, lambda e: F.transform("pixels", lambda v: quantize(v, e.lo, e.hi, 8).cast("int")))
+    return frames.slices(spark, d).withColumn("q", levels)
 
 
 def props(spark, d):
@@ -318,7 +314,7 @@ def l2_delta(spark, d):
 
 
 def ssim(spark, d):
-    means = reconstruct.healthy_mean(frames.vox(spark, d), F.col("subject") <= 6)
+    means = frames.healthy_means(spark, d)
     recon = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "recon"))), lambda x: x["recon"]).alias("reconstruction"))  # the positions of one slice
     rows = frames.slices(spark, d).filter("subject >= 7").withColumnRenamed("pixels", "original").crossJoin(F.broadcast(recon))
     return metrics.ssim(rows, "subject", 8, 8, window=7)

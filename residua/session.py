@@ -8,6 +8,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Python sources of volumes prune files and slices by filters.
+    "spark.sql.python.filterPushdown.enabled": "true",
     # A slice row may hold tens of kilobytes per array.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }

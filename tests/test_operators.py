@@ -224,6 +224,18 @@ def test_run_lengths(spark):
     assert found["hgre"] == pytest.approx((grays**2).mean())
 
 
+@pytest.mark.parametrize("height,width", [(5, 7), (7, 5), (1, 6), (6, 1), (4, 4)])
+def test_run_lengths_in_the_row_equal_those_of_voxels(spark, height, width):
+    rng = np.random.default_rng(height * 10 + width)
+    slices = [(k, rng.integers(0, 1 + k % 3, height * width).tolist()) for k in range(6)]
+    voxels = [(k, p // width, p % width, v) for k, q in slices for p, v in enumerate(q)]
+    wanted = texture.glrlm(spark.createDataFrame(voxels, "k int, y int, x int, q int"), ["k"]).orderBy("k").collect()
+    found = texture.glrlm_slices(spark.createDataFrame(slices, "k int, q array<int>"), ["k"], width, height).orderBy("k").collect()
+    assert [tuple(r) for r in found] == [pytest.approx(tuple(r)) for r in wanted]
+    plan = texture.glrlm_slices(spark.createDataFrame(slices, "k int, q array<int>"), ["k"], width, height)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_entropy_edges(spark):
     frame = spark.createDataFrame([(0, 1.0), (0, 0.0), (0, -0.1), (1, 0.5), (1, 0.5)], "k int, v double")
     assert dict(rows(texture.entropy(frame, ["k"], "v"))) == {0: 1.0, 1: 0.0}
