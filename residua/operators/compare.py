@@ -66,9 +66,15 @@ def split_hash_agreement(runs: DataFrame, key: str, digest: Column) -> DataFrame
     return runs.groupBy(key).agg(F.count_distinct(digest).alias("n_hashes")).withColumn("agrees", F.col("n_hashes") <= 1)
 
 
-def label_override(rows: DataFrame, overrides: DataFrame, key: str, label: str, default: Column) -> DataFrame:
-    """The override's label where there is one, else the default."""
-    return rows.join(overrides.select(key, F.col(label).alias("_label")), key, "left").withColumn("label", F.coalesce("_label", default)).drop("_label")
+def label_override(rows: DataFrame, overrides: DataFrame, key: str, label: str, default: Column, required: bool = False) -> DataFrame:
+    """The override's label where there is one, else the default; where overrides are `required`, a key without one raises when it is read."""
+    held = overrides.select(key, F.col(label).alias("_label"), F.lit(True).alias("_held"))
+    joined = rows.join(held, key, "left")
+    chosen = F.coalesce("_label", default)
+    if required:
+        missing = F.raise_error(F.concat(F.lit("no label override for "), F.col(key).cast("string")))
+        chosen = F.when(F.col("_held").isNull(), missing.cast(joined.select(chosen).schema[0].dataType)).otherwise(chosen)
+    return joined.withColumn("label", chosen).drop("_label", "_held")
 
 
 def controlled_pairs(cells: DataFrame, side: str, before: str, after: str, keys: Sequence[str], controls: Sequence[str], value: str) -> DataFrame:

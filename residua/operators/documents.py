@@ -5,8 +5,8 @@ JSON keeps full precision and nulls; CSV and Markdown show rounded numbers, or n
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..contracts import ArtifactError, ConfigError
 from ..functions import scalar
 from . import compare, ranks
-from .report import markdown_table, save_csv, save_json
+from ..sources.committed import save_document, write_text
+from .report import markdown_table, save_csv, save_report
 
 #: Places shown of each metric, and the column heads of the stored tables.
 PLACES = {"dice": 4, "iou": 4, "psnr_db": 2, "ssim": 4, "roc_auc": 4, "pr_auc": 4, "f1_at_tuned_threshold": 4}
@@ -50,10 +51,10 @@ def matrix_document(cells: DataFrame, keys: Sequence[str], score: str, context:
 
 
 def save_matrix(cells: DataFrame, path: str, keys: Sequence[str], values: Sequence[str], score: str, context: str, carry: Sequence[str] = ()) -> None:
-    """matrix.csv and matrix.json as Spark writes them, matrix.md as a file (path is a local or mounted folder)."""
+    """matrix.csv, matrix.json and matrix.md, a file each; all in the file system of the path."""
     shown = shown_cells(cells, keys, values, carry)
-    save_csv(shown, f"{path}/matrix.csv", shown.columns)
-    save_json(matrix_document(cells, keys, score, context), f"{path}/matrix.json")
+    save_report(shown.orderBy(*keys), f"{path}/matrix.csv", shown.columns)
+    save_document(matrix_document(cells, keys, score, context), f"{path}/matrix.json")
     found = cell_stats(cells, keys, score, context).first()
     rho = "n/a (fewer than 3 pairs or a constant side)" if found["rho"] is None else f"{found['rho']:.4f}"
     notes = [f"Spearman's rho of {context} and {score}: {rho}, {found['n_pairs']} pairs.", f"{found['n_available']} of {found['n_cells']} cells have a value."]
@@ -61,8 +62,7 @@ def save_matrix(cells: DataFrame, path: str, keys: Sequence[str], values: Sequen
 
 
 def save_markdown(path: str, title: str, rows: DataFrame, notes: Sequence[str] = ()) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("\n\n".join([f"# {title}", markdown_table(rows), *notes]) + "\n")
+    write_text(path, "\n\n".join([f"# {title}", markdown_table(rows), *notes]) + "\n")
 
 
 def paradigm_rows(columns: DataFrame, names: Sequence[str], slice_metrics: Sequence[str], voxel_metrics: Sequence[str]) -> DataFrame:
@@ -93,12 +93,12 @@ def save_paradigms(columns: DataFrame, path: str, names: Sequence[str], slice_me
     metrics = [*slice_metrics, *voxel_metrics]
     texts = [scalar.render_na(F.col(m), F.coalesce("na_reason", F.lit("not recorded")), PLACES[m]).alias(m) for m in metrics]
     shown = columns.select("key", "localizes", *texts, F.coalesce("na_reason", F.lit("")).alias("na_reason"))
-    save_csv(shown, f"{path}/paradigms.csv", shown.columns)
+    save_report(shown.orderBy("key"), f"{path}/paradigms.csv", shown.columns)
     listed = columns.agg(F.sort_array(F.collect_list(F.struct("key", *(c for c in columns.columns if c != "key")))).alias("columns"))  # a row per paradigm
     stats = paradigm_stats(columns)
     document = listed.crossJoin(F.broadcast(stats.select(F.struct(*stats.columns).alias("stats"))))
     counts = F.struct(*(F.lit(v).alias(k) for k, v in sample.items()))
-    save_json(document.withColumn("sample", counts).withColumn("split_hash", F.lit(split_hash)), f"{path}/paradigms.json")
+    save_document(document.withColumn("sample", counts).withColumn("split_hash", F.lit(split_hash)), f"{path}/paradigms.json")
     counted = ", ".join(f"{k} {v}" for k, v in sample.items())
     save_markdown(f"{path}/paradigms.md", "Paradigms", paradigm_rows(columns, names, slice_metrics, voxel_metrics), [f"Split {split_hash}; {counted}.", "Slice and voxel metrics measure different things and are not compared with each other."])
 
@@ -120,7 +120,7 @@ def save_before_after(before: DataFrame, after: DataFrame, path: str, metrics: S
     signed = F.format_string("%+.4f", "delta")
     save_markdown(f"{path}/before_after.md", "Before and after", found.select("metric", *(F.format_string("%.4f", c).alias(c) for c in ("before", "after")), signed.alias("delta"), "flag"))
     both = before.withColumn("cell", F.lit("before")).unionByName(after.withColumn("cell", F.lit("after")))
-    save_csv(both, f"{path}/before_after.csv", BEFORE_AFTER)
+    save_report(both, f"{path}/before_after.csv", BEFORE_AFTER)
 
 
 def save_predictions(rows: DataFrame, path: str) -> None:
@@ -133,23 +133,47 @@ def save_importance(importance: DataFrame, path: str) -> None:
     save_csv(ranks.feature_rank(importance, "feature", "mean_gain").withColumn("granularity", F.lit(SLICE_LEVEL)), path, IMPORTANCE)
 
 
-def classical_document(folds: DataFrame, run_id: str, seed: int, complete: bool) -> DataFrame:
-    """One row from fold rows (fold, n_test, n_test_positive, positive_rate, roc_auc, pr_auc): balance, headline, baselines, folds."""
+#: The sections of the document of a classical run, and what they must tell.
+SECTIONS = {
+    "split": ("split", "split_hash"),
+    "features": ("feature_hash", "feature_names", "label_threshold_voxels", "drop_empty_slices"),
+    "counts": ("n_volumes", "n_slices_seen", "n_slices_dropped", "n_samples"),
+    "classifier": ("name", "params", "scale_pos_weight"),
+}
+
+
+def classical_document(folds: DataFrame, run_id: str, seed: int, complete: bool, sections: Mapping[str, Mapping[str, object]] | None = None, subject_limit: int | None = None) -> DataFrame:
+    """One row from fold rows (fold, n_test, n_test_positive, positive_rate, roc_auc, pr_auc): provenance, balance, headline, baselines, folds.
+
+    `sections`, which a stored document needs, must hold all of SECTIONS. A run over a limited number of subjects is never complete.
+    """
     needed = ["fold", "n_test", "n_test_positive", "positive_rate", "roc_auc", "pr_auc"]
-    missing = [c for c in needed if c not in folds.columns]
+    missing = [c for c in needed if c not in folds.columns] + [f"{name}.{c}" for name, fields in SECTIONS.items() for c in fields if sections is not None and c not in sections.get(name, {})]
     if missing:
-        raise ArtifactError(f"folds lack {missing}")
+        raise ArtifactError(f"the document lacks {missing}")
+    if complete and subject_limit is not None:
+        raise ArtifactError(f"a run limited to {subject_limit} subjects is not complete")
     positive, n = F.sum("n_test_positive"), F.sum("n_test")
-    balance = F.struct(positive.alias("n_positive"), (n - positive).alias("n_negative"), F.try_divide(positive, n).alias("positive_rate"))
+    rates = F.transform(F.sort_array(F.collect_list(F.struct("fold", "positive_rate"))), lambda x: x.positive_rate)  # a row per fold
+    balance = F.struct(positive.alias("n_positive"), (n - positive).alias("n_negative"), F.try_divide(positive, n).alias("positive_rate"), *([] if sections is None else [rates.alias("per_fold_positive_rate")]))
     spread = [f(F.col(c)).alias(f"{c}_{name}") for c in ("roc_auc", "pr_auc") for name, f in (("mean", F.avg), ("std", F.stddev_pop))]
     baselines = F.struct(F.lit(0.5).alias("roc_auc_majority"), F.avg("positive_rate").alias("pr_auc_prevalence_mean"))
-    listed = F.sort_array(F.collect_list(F.struct(*needed)))  # a row per fold
+    listed = F.sort_array(F.collect_list(F.struct(*needed)))
     found = folds.agg(balance.alias("class_balance"), F.struct(*spread).alias("headline"), baselines.alias("baselines"), listed.alias("folds"))
-    return found.select(F.lit(SLICE_LEVEL).alias("granularity"), F.lit(run_id).alias("run_id"), F.lit(seed).alias("seed"), F.lit(complete).alias("complete"), "*")
+    told = [F.lit(subject_limit).cast("bigint").alias("subject_limit")]
+    for name in SECTIONS if sections is not None else ():
+        text = F.lit(json.dumps(dict(sections[name]), sort_keys=True))
+        told.append(F.from_json(text, F.schema_of_json(text)).alias(name))
+    return found.select(F.lit(SLICE_LEVEL).alias("granularity"), F.lit(run_id).alias("run_id"), F.lit(seed).alias("seed"), F.lit(complete).alias("complete"), *told, "*")
+
+
+def save_classical(folds: DataFrame, path: str, run_id: str, seed: int, complete: bool, sections: Mapping[str, Mapping[str, object]], subject_limit: int | None = None) -> None:
+    """classical_metrics.json of a run."""
+    save_document(classical_document(folds, run_id, seed, complete, sections, subject_limit), f"{path}/classical_metrics.json")
 
 
 def save_slice_tuning(tuned: DataFrame, path: str, split: str) -> None:
     """Thresholds tried on validation slices, in a folder that no test result shares."""
     if split != "val":
         raise ConfigError(f"thresholds are chosen on val, not on {split}")
-    save_csv(tuned, f"{path}/val/slice_thresholds", ["threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1"])
+    save_report(tuned.withColumn("split", F.lit(split)).orderBy("threshold"), f"{path}/val/slice_thresholds.csv", ["threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "split"])

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import SPLIT, ArtifactError
+from .committed import load_version, save_version
+from .volumes import volume_files
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -33,11 +39,39 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     return frame
 
 
+def newest_run(spark: SparkSession, root: str, glob: str = "part-*", run_id: str | None = None) -> str:
+    """The named run, else the one below root whose newest file of the pattern is newest; of equal times the greater name.
+
+    Runs are folders of root, with or without `run_id=`. A run that holds no such file (no checkpoint, no
+    result) is no run: naming it, and having none, are errors. Files are listed, not read.
+    """
+    if run_id is not None:
+        root = next((p for p in (f"{root}/run_id={run_id}", f"{root}/{run_id}") if _has_files(spark, p, glob)), None)
+        if root is None:
+            raise ArtifactError(f"run {run_id} holds no {glob}")
+        return run_id
+    top = re.escape(root.rstrip("/").rsplit("/", 1)[-1])
+    try:
+        files = volume_files(spark, root, glob)
+    except AnalysisException as error:
+        raise ArtifactError(f"no runs at {root}") from error
+    runs = files.select(F.regexp_extract("path", f"/{top}/(?:run_id=)?([^/]+)/", 1).alias("run"), F.col("modificationTime").alias("at")).filter("run <> ''")
+    found = runs.agg(F.max_by("run", F.struct("at", "run"))).first()[0]
+    if found is None:
+        raise ArtifactError(f"no run at {root} holds a {glob}")
+    return found
+
+
+def _has_files(spark: SparkSession, path: str, glob: str) -> bool:
+    try:
+        return not volume_files(spark, path, glob).isEmpty()
+    except AnalysisException:
+        return False
+
+
 def read_results(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
     """Slice rows of one run, the newest where none is named; other runs' partitions are pruned."""
-    frame = spark.read.parquet(root)
-    chosen = run_id or frame.agg(F.max("run_id")).first()[0]
-    return frame.filter(F.col("run_id") == chosen)
+    return spark.read.parquet(root).filter(F.col("run_id") == newest_run(spark, root, run_id=run_id))
 
 
 def point_lookup(results: DataFrame, volume_id: str) -> DataFrame:
@@ -62,22 +96,27 @@ def require_manifest(manifest: DataFrame, **expected: str) -> DataFrame:
     return manifest
 
 
+def feature_key(granularity: str, split_hash: str, seed: int, feature_names: Sequence[str], **shaping: object) -> dict[str, str]:
+    """The key of a feature cache: where the rows come from and every parameter that shapes them.
+
+    `shaping` must name them all, such as the limit of subjects, the label threshold and whether empty
+    slices are left out: two runs that differ in one of them never share a cache.
+    """
+    missing = sorted({"subject_limit", "drop_empty_slices", "label_threshold_voxels"} - shaping.keys())
+    if missing:
+        raise ArtifactError(f"the key of a feature cache lacks {missing}")
+    fields = {"granularity": granularity, "split_hash": split_hash, "seed": seed, "feature_names": list(feature_names)} | shaping
+    return {name: json.dumps(value, sort_keys=True) for name, value in fields.items()}
+
+
 def feature_cache(spark: SparkSession, path: str, key: dict[str, str]) -> DataFrame | None:
     """Cached features if the stored key matches in every field; None when absent, an error when it differs."""
-    try:
-        stored = spark.read.json(f"{path}/key").first().asDict()
-    except AnalysisException:
-        return None
-    for name in sorted(stored.keys() | key.keys()):
-        if stored.get(name) != key.get(name):
-            raise ArtifactError(f"feature cache differs in {name}: {stored.get(name)!r}, wanted {key.get(name)!r}")
-    return spark.read.parquet(f"{path}/features")
+    return load_version(spark, path, key)
 
 
 def save_feature_cache(features: DataFrame, path: str, key: dict[str, str]) -> None:
-    """Features first, then the key: a cache without a key does not exist. The key must name all that shapes the features."""
-    features.write.mode("overwrite").parquet(f"{path}/features")
-    features.sparkSession.createDataFrame([key]).coalesce(1).write.mode("overwrite").json(f"{path}/key")
+    """A new version of the cache; the old one stays in force, features and key together, until the new one is whole."""
+    save_version(features, path, key)
 
 
 def load_split(spark: SparkSession, path: str) -> tuple[int, dict[str, dict[str, list[str]]]]:
