@@ -34,6 +34,8 @@ K = 10
 SHARD_TERMS = 2_000_000
 #: Rows (item, term) that one round of a search sends to the workers, some 20 MB.
 BLOCK_TERMS = 200_000
+#: Tasks of a search, which has no more than shards.
+MAX_TASKS = 10_000
 
 
 def pack_numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,19 +247,19 @@ def search(index: DataFrame, items: DataFrame, k: int = K, item_col: str = "item
     spark = index.sparkSession
     wanted = materialize(items.select(F.col(item_col).alias("_item"), F.explode(terms_of(whole(text_col))).alias("term")).distinct())
     blocks = max(1, -(-wanted.count() // block_terms))
-    totals = index.filter("term is null").agg(F.sum("n_docs"), F.sum("n_terms")).first()
-    documents, terms = (x or 0 for x in totals)
+    totals = index.filter("term is null").agg(F.sum("n_docs"), F.sum("n_terms"), F.count("*")).first()
+    documents, terms, shards = (x or 0 for x in totals)
     kind, doc_kind = items.schema[item_col].dataType.simpleString(), index.schema["ids"].dataType.elementType.simpleString()
     out = f"_item {kind}, _doc {doc_kind}, score bigint"
     found = spark.createDataFrame([], out)
     for block in range(blocks if documents else 0):
-        found = found.unionAll(_search_block(index, wanted.filter(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == block), documents, terms, k, out))
+        found = found.unionAll(_search_block(index, wanted.filter(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == block), documents, terms, min(shards, MAX_TASKS), k, out))
     by = Window.partitionBy("_item").orderBy(F.desc("score"), F.asc("_doc"))
     ranked = found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
     return ranked.select(F.col("_item").alias(item_col), "rank", F.col("_doc").alias(id_col), "score")
 
 
-def _search_block(index: DataFrame, wanted: DataFrame, documents: int, terms: int, k: int, out: str) -> DataFrame:
+def _search_block(index: DataFrame, wanted: DataFrame, documents: int, terms: int, tasks: int, k: int, out: str) -> DataFrame:
     distinct = small_side(materialize(wanted.select("term").distinct()))
     postings = index.filter("term is not null").join(distinct, "term", "left_semi")
     held = postings.groupBy("term").agg(F.sum("n_docs").alias("_df"))
@@ -276,7 +278,9 @@ def _search_block(index: DataFrame, wanted: DataFrame, documents: int, terms: in
         return pa.table({"_item": items.take(pa.array(item, pa.int64())), "_doc": pa.array(doc, shard.schema.field("ids").type.value_type), "score": pa.array(score, pa.int64())})
 
     columns = ["shard", "term", "docs", "times", "ids"]
-    return postings.select(columns).unionAll(index.filter("term is null").select(columns)).groupBy("shard").applyInArrow(find, out)
+    rows = postings.select(columns).unionAll(index.filter("term is null").select(columns))
+    # A shard's postings are few bytes and much work, so tasks are not joined by their bytes.
+    return rows.repartition(tasks, "shard").groupBy("shard").applyInArrow(find, out)
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = K, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
