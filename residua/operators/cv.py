@@ -5,14 +5,19 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 from itertools import accumulate
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import GBTClassifier
+import numpy as np
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import ConfigError, DataError, SplitError
+from .held import held, materialized
+from .prefix import ranked_by
 
 #: Train, val and test shares of the healthy and the tumour data set.
 HEALTHY_FRACTIONS = {"train": 0.85, "val": 0.15}
@@ -66,38 +71,54 @@ def hashed_split(rows: DataFrame, key: str, fractions: dict[str, float], seed: i
     return ranked.select(key, split.alias("split"))
 
 
+#: Groups of one profile that are placed one by one for each fold, before the rest is dealt evenly.
+GREEDY_ROUNDS = 8
+
+
+def fold_quotas(profiles: Sequence[tuple[int, int, int]], n_folds: int) -> list[list[int]]:
+    """How many of the groups of each profile (zeros, ones, number of groups) go to each fold.
+
+    Profiles come largest difference first. A group goes to the fold after which the classes' shares
+    vary least, of equal ones to the one with fewer rows, then the first. Only a few rounds of each
+    profile are placed so; an even deal of the rest changes no difference between folds. So the work
+    depends on the number of profiles, not of groups.
+    """
+    order = sorted(range(len(profiles)), key=lambda i: (-abs(profiles[i][0] - profiles[i][1]), -sum(profiles[i][:2]), profiles[i]))
+    totals = np.maximum(1, [sum(p[c] * p[2] for p in profiles) for c in (0, 1)])
+    held, quotas = np.zeros((n_folds, 2)), [[0] * n_folds for _ in profiles]
+    for i in order:
+        zeros, ones, groups = profiles[i]
+        even = max(0, groups // n_folds - GREEDY_ROUNDS)
+        for _ in range(groups - even * n_folds):
+            # after[f] are the shares of all folds when fold f gets the group
+            after = (held[None] + np.eye(n_folds)[:, :, None] * [zeros, ones]) / totals
+            spread = after.std(axis=1).sum(axis=1).round(12)
+            fold = min(range(n_folds), key=lambda f: (spread[f], held[f].sum(), f))
+            held[fold] += zeros, ones
+            quotas[i][fold] += 1
+        held += np.array([zeros, ones]) * even
+        quotas[i] = [q + even for q in quotas[i]]
+    return quotas
+
+
 def stratified_group_folds(groups: DataFrame, group: str, label: str, n_folds: int = 5, seed: int = 42) -> DataFrame:
     """(group, fold): groups whole in one fold, class shares even.
 
-    Class counts per group are a Spark aggregate; the greedy choice (largest spread first, the fold
-    whose class shares then vary least) runs on that summary, a row per subject.
+    Groups with equal class counts are interchangeable. So only the distinct counts come to the driver,
+    with how many groups have them (a row per profile, however many groups there are); it sets how many
+    of each go to each fold. The groups of a profile are dealt in order of a seeded hash of the group, in
+    ranks by buckets, so no task orders a profile that a third of all groups share.
     """
-    counts = groups.groupBy(group).agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")).collect()
-    if len(counts) < n_folds:
-        raise DataError(f"{n_folds} folds need as many groups, not {len(counts)}")
-    rows = sorted(counts, key=lambda r: str(r[0]))
-    random.Random(seed).shuffle(rows)
-    rows.sort(key=lambda r: -abs(r["n0"] - r["n1"]))
-    totals = [max(1, sum(r[c] for r in rows)) for c in ("n0", "n1")]
-    held = [[0, 0] for _ in range(n_folds)]
-
-    def spread(fold: int, row) -> tuple[float, int]:
-        after = [[h[0] + (i == fold) * row["n0"], h[1] + (i == fold) * row["n1"]] for i, h in enumerate(held)]
-        out = 0.0
-        for c in (0, 1):
-            shares = [a[c] / totals[c] for a in after]
-            mean = sum(shares) / n_folds
-            out += (sum((s - mean) ** 2 for s in shares) / n_folds) ** 0.5
-        return out, sum(held[fold])
-
-    chosen = []
-    for row in rows:
-        fold = min(range(n_folds), key=lambda f: (*spread(f, row), f))
-        held[fold][0] += row["n0"]
-        held[fold][1] += row["n1"]
-        chosen.append((row[0], fold))
-    kind = groups.schema[group].dataType.simpleString()
-    return groups.sparkSession.createDataFrame(chosen, f"{group} {kind}, fold bigint")
+    counts = groups.groupBy(group).agg(F.count_if(F.col(label) == 0).alias("_n0"), F.count_if(F.col(label) == 1).alias("_n1"))
+    profiles = sorted((r["_n0"], r["_n1"], r["m"]) for r in counts.groupBy("_n0", "_n1").agg(F.count(F.lit(1)).alias("m")).collect())
+    if (total := sum(m for *_, m in profiles)) < n_folds:
+        raise DataError(f"{n_folds} folds need as many groups, not {total}")
+    ends = [(n0, n1, list(accumulate(q))) for (n0, n1, _), q in zip(profiles, fold_quotas(profiles, n_folds), strict=True)]
+    plan = groups.sparkSession.createDataFrame(ends, "_n0 bigint, _n1 bigint, _ends array<bigint>")
+    hashed = counts.withColumn("_h", F.xxhash64(F.lit(seed), F.col(group).cast("string")))
+    ranked = ranked_by(hashed, ["_n0", "_n1"], "_h", [F.col(group)], bucket=F.shiftright("_h", 54))
+    fold = F.size(F.filter("_ends", lambda e: e <= F.col("_before"))).cast("bigint")
+    return ranked.join(plan, ["_n0", "_n1"]).select(group, fold.alias("fold"))
 
 
 def group_overlap(samples: DataFrame, group: str, fold: str) -> DataFrame:
@@ -127,18 +148,29 @@ def scale_pos_weight(samples: DataFrame, fold: str, label: str) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select(fold, weight.alias("scale_pos_weight"))
 
 
-def boosted_oof(samples: DataFrame, features: Sequence[str], label: str, fold: str, keep: Sequence[str], max_iter: int = 20, max_depth: int = 3, seed: int = 42) -> DataFrame:
-    """Out-of-fold scores of gradient-boosted trees, a fit per fold on the others, weighted by class."""
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(samples)
-    folds = [r[0] for r in samples.select(fold).distinct().orderBy(fold).collect()]
-    weights = {r[0]: r[1] for r in scale_pos_weight(samples, fold, label).collect()}
-    parts = []
-    for f in folds:
-        train = assembled.filter(F.col(fold) != f).withColumn("_w", F.when(F.col(label) == 1, float(weights[f])).otherwise(1.0)).withColumn("_label", F.col(label).cast("double"))
-        model = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_w", maxIter=max_iter, maxDepth=max_depth, seed=seed).fit(train)
-        scored = model.transform(assembled.filter(F.col(fold) == f))
-        parts.append(scored.select(*keep, fold, F.col(label).cast("bigint").alias("y_true"), vector_to_array("probability")[1].alias("y_score")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def boosted_oof(samples: DataFrame, features: Sequence[str], label: str, fold: str, keep: Sequence[str], max_iter: int = 20, max_depth: int = 3, seed: int = 42, parallel: int = 4, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+    """Out-of-fold scores of gradient-boosted trees, a fit per fold on the others, weighted by class.
+
+    Samples are read and assembled once, held at the storage level while folds are fitted `parallel` at a
+    time, and released; what is returned is the scores, checkpointed.
+    """
+    columns = list(dict.fromkeys([*keep, fold, label]))
+    assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(samples).select("_features", *columns)
+    with held(assembled, level) as rows:
+        weights = {r[0]: r[1] for r in scale_pos_weight(rows, fold, label).collect()}
+        folds = sorted(weights)
+
+        def fit(f: object) -> GBTClassificationModel:
+            train = rows.filter(F.col(fold) != f).withColumn("_w", F.when(F.col(label) == 1, float(weights[f])).otherwise(1.0)).withColumn("_label", F.col(label).cast("double"))
+            return GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_w", maxIter=max_iter, maxDepth=max_depth, seed=seed).fit(train)
+
+        with ThreadPool(max(1, min(parallel, len(folds)))) as pool:
+            models = pool.map(inheritable_thread_target(rows.sparkSession)(fit), folds)
+        parts = []
+        for f, model in zip(folds, models, strict=True):
+            scored = model.transform(rows.filter(F.col(fold) == f))
+            parts.append(scored.select(*keep, fold, F.col(label).cast("bigint").alias("y_true"), vector_to_array("probability")[1].alias("y_score")))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return materialized(out)
