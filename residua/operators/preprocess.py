@@ -121,11 +121,6 @@ def normalize_slices(voxels: DataFrame, keys: Sequence[str], value: str = "v") -
     return with_extrema(voxels, keys, value).withColumn("normed", scalar.normalize(F.col(value), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
-def loader_order(items: DataFrame, key: str, split: str, seed: int = 42) -> DataFrame:
-    """Items in the order they are read: training items by a seeded hash, others by key."""
-    return items.orderBy(F.xxhash64(F.lit(seed), key), key) if split == "train" else items.orderBy(key)
-
-
 def loader_order(items: DataFrame, key: str, split: str, seed: int) -> DataFrame:
     """Items as an epoch reads them: training items in order of a seeded hash of the key, others by the key."""
     if split not in ("train", "val", "test"):

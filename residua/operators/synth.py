@@ -43,13 +43,48 @@ def box_blend(voxels: DataFrame, boxes: Sequence[tuple], healthy: str = "v", don
     return voxels.withColumn("mask", alpha).withColumn("blended", blended)
 
 
-def blend_by_table(voxels: DataFrame, patches: DataFrame, key: str, healthy: str = "v", donor: str = "donor_v") -> DataFrame:
-    """The same with a patch table (key, no, z0 ... x1, alpha): patches of a volume join its voxels on the key."""
-    lists = patches.groupBy(key).agg(F.collect_list(F.struct("alpha", "no", "z0", "z1", "y0", "y1", "x0", "x1")).alias("_boxes"))  # a handful per volume
-    joined = voxels.join(lists, key, "left")
-    inside = F.filter("_boxes", lambda b: F.col("slice_index").between(b["z0"], b["z1"] - 1) & F.col("y").between(b["y0"], b["y1"] - 1) & F.col("x").between(b["x0"], b["x1"] - 1))
-    alpha = F.coalesce(F.array_max(F.transform(inside, lambda b: b["alpha"])), F.lit(0.0))
-    rows = joined.withColumn("mask", alpha).drop("_boxes")
+#: Depth, height and width of a cell of the grid that patches and voxels meet in.
+CELL = (4, 8, 8)
+AXES = (("slice_index", "z"), ("y", "y"), ("x", "x"))
+
+
+def patches_by_cell(patches: DataFrame, key: str, cell: Sequence[int] = CELL) -> DataFrame:
+    """(key, _cz, _cy, _cx, _boxes): the patches of each cell that they touch, cut to the cell.
+
+    Of patches that are equal inside a cell only the one that wins stays, so a cell holds a bounded number
+    (of distinct boxes inside it) however many patches a volume has.
+    """
+    rows = patches.filter((F.col("z0") < F.col("z1")) & (F.col("y0") < F.col("y1")) & (F.col("x0") < F.col("x1")))
+    for (_, axis), size in zip(AXES, cell, strict=True):
+        low, high = F.col(f"{axis}0"), F.col(f"{axis}1")
+        rows = rows.withColumn(f"_c{axis}", F.explode(F.sequence(F.floor(low / size), F.floor((high - 1) / size))))
+        start = F.col(f"_c{axis}") * size
+        rows = rows.withColumns({f"_{axis}0": F.greatest(low - start, F.lit(0)).cast("int"), f"_{axis}1": F.least(high - start, F.lit(size)).cast("int")})
+    place = [key, "_cz", "_cy", "_cx"]
+    edges = [f"_{axis}{side}" for _, axis in AXES for side in (0, 1)]
+    winners = rows.groupBy(*place, *edges).agg(F.max(F.struct(F.col("alpha").cast("double").alias("alpha"), "no")).alias("_best"))
+    return winners.groupBy(*place).agg(F.collect_list(F.struct("_best", *edges)).alias("_boxes"))
+
+
+def blend_by_table(voxels: DataFrame, patches: DataFrame, key: str, healthy: str = "v", donor: str = "donor_v", cell: Sequence[int] = CELL) -> DataFrame:
+    """The same with a patch table (key, no, z0 ... x1, alpha), which may hold any number of patches a volume.
+
+    Patches and voxels meet in the cells of a grid, so a voxel is held against the patches of its cell
+    alone, and the join's keys are cells, of which a hot volume has many. `patch_no` tells the patch that
+    won, null where there is none. Empty boxes touch nothing.
+    """
+    lists = patches_by_cell(patches, key, cell)
+    at = {f"_c{axis}": F.floor(F.col(name) / size) for (name, axis), size in zip(AXES, cell, strict=True)}
+    joined = voxels.withColumns(at).join(lists, [key, "_cz", "_cy", "_cx"], "left")
+    within = {axis: (F.col(name) - F.col(f"_c{axis}") * size).cast("int") for (name, axis), size in zip(AXES, cell, strict=True)}
+
+    def holds(b: Column) -> Column:
+        return (within["z"] >= b._z0) & (within["z"] < b._z1) & (within["y"] >= b._y0) & (within["y"] < b._y1) & (within["x"] >= b._x0) & (within["x"] < b._x1)
+
+    best = F.array_max(F.transform(F.filter("_boxes", holds), lambda b: b._best))
+    rows = joined.withColumn("_best", best)
+    alpha = F.coalesce(F.col("_best.alpha"), F.lit(0.0))
+    rows = rows.withColumn("mask", alpha).withColumn("patch_no", F.col("_best.no")).drop("_boxes", "_best", "_cz", "_cy", "_cx")
     return rows.withColumn("blended", F.when(F.col("mask") > 0, (1 - F.col("mask")) * F.col(healthy) + F.col("mask") * F.col(donor)).otherwise(F.col(healthy)))
 
 

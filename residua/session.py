@@ -10,6 +10,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Python sources of volumes prune files and slices by filters.
     "spark.sql.python.filterPushdown.enabled": "true",
+    # State of any shape, with timers, needs this store.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # A slice row may hold tens of kilobytes per array.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
