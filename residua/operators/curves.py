@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import DataError
+from .held import materialized
 from .prefix import bucketed, cumulative
 
 
@@ -22,9 +23,10 @@ def require_two_classes(samples: DataFrame, label: str) -> DataFrame:
 
 def _points(samples: DataFrame, label: str, score: str) -> DataFrame:
     """Per distinct score: counts of its group and of all groups from the highest score down to it."""
-    groups = samples.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
+    groups = materialized(samples.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n")))
     whole = groups.agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n"))
-    return cumulative(groups, "threshold", ["_p", "_n"], descending=True).crossJoin(F.broadcast(whole)).withColumnsRenamed({"_p_upto": "tp", "_n_upto": "fp"})
+    cut = bucketed(groups, "threshold")
+    return cumulative(cut, "threshold", ["_p", "_n"], descending=True, bucket=F.col("_bucket")).crossJoin(F.broadcast(whole)).withColumnsRenamed({"_p_upto": "tp", "_n_upto": "fp"})
 
 
 def _rate(part: Column, whole: str) -> Column:
@@ -66,7 +68,7 @@ def auc_by_key(samples: DataFrame, key: str, label: str, score: str) -> DataFram
     (64 a key) give each its start, and a window runs inside a key's bucket.
     """
     groups = samples.groupBy(key, F.col(score).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    cut = bucketed(groups, "_s")
+    cut = bucketed(materialized(groups), "_s")
     before = Window.partitionBy(key).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     of_key = Window.partitionBy(key)
     totals = cut.groupBy(key, "_bucket").agg(F.sum("_p").alias("_bp"), F.sum("_n").alias("_bn"))

@@ -15,6 +15,7 @@ from ..contracts import ArtifactError, ConfigError
 from ..functions import scalar
 from . import compare, ranks
 from ..sources.committed import save_document, write_text
+from .held import materialized
 from .report import markdown_table, save_csv, save_report
 
 #: Places shown of each metric, and the column heads of the stored tables.
@@ -36,8 +37,9 @@ def cell_stats(cells: DataFrame, keys: Sequence[str], score: str, context: str)
 
     Of equal scores the first by the keys is the best; without scores it is null, and rho with fewer than three pairs.
     """
+    cells = materialized(cells)
     counted = compare.availability(cells, score).select(F.col("n_total").alias("n_cells"), "n_available")
-    rho = ranks.spearman(cells, context, score).select(F.col("n").alias("n_pairs"), "rho")
+    rho = ranks.spearman(cells, context, score, declared=True).select(F.col("n").alias("n_pairs"), "rho")
     best = compare.best_cell(cells, score, [F.col(k) for k in keys]).select(F.concat_ws("__", *keys).alias("best_cell_id"), F.col(score).alias("best_score"))
     return counted.crossJoin(F.broadcast(rho)).join(F.broadcast(best), F.lit(True), "left")
 

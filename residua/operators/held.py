@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import ConfigError
@@ -38,12 +39,20 @@ def held_share(rows: DataFrame, key: str, rate: float, level: StorageLevel = Sto
         yield kept.unionByName(rows.filter(~chosen))
 
 
-def materialized(rows: DataFrame) -> DataFrame:
-    """The rows, checkpointed in the folder that spark.checkpoint.dir names; only a local master gets one made where nothing set it."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); only a local master gets one made where nothing set it."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="residua-checkpoints-"))
-    return rows.checkpoint(eager=True)
+        folder = tempfile.mkdtemp(prefix="residua-checkpoints-")
+        context.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(rows: DataFrame) -> DataFrame:
+    """The rows, evaluated once into a table of the shared folder and read from there, which survives lost executors."""
+    path = scratch_path(rows.sparkSession, "rows")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)

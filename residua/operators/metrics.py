@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import MSE_FLOOR, OVERLAP_EPS, DataError
+from ..contracts import ConfigError, MSE_FLOOR, OVERLAP_EPS, DataError
 
 
 def dice_of(both: Column, predicted: Column, truth: Column) -> Column:
@@ -133,9 +133,28 @@ def multiscale_mse(voxels: DataFrame, key: str, keys: Sequence[str], original: s
 
 
 def ssim_mse_loss(mse: Column, ssim_score: Column, alpha: float = 0.5) -> Column:
+    """alpha (1 - SSIM) + (1 - alpha) MSE; null where either is."""
+    if not 0 <= alpha <= 1:
+        raise ConfigError(f"alpha lies in [0, 1], not {alpha}")
     return alpha * (1 - ssim_score) + (1 - alpha) * mse
 
 
+def ssim_mse_by_slice(slices: DataFrame, keys: Sequence[str], height: int, width: int, original: str = "original", reconstruction: str = "reconstruction", window: int = 11, alpha: float = 0.5) -> DataFrame:
+    """keys, mse, ssim and loss of each slice row: the weighted loss of 2-D SSIM and MSE, without a shuffle."""
+    kinds = ", ".join(f"{k} {slices.schema[k].dataType.simpleString()}" for k in keys)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = [(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(batch["_a"], batch["_b"], strict=True)]
+            out = batch[list(keys)].copy()
+            out["mse"] = [float(((a - b) ** 2).mean()) for a, b in pairs]
+            out["ssim"] = [ssim_value(a.reshape(height, width), b.reshape(height, width), window) for a, b in pairs]
+            yield out
+
+    scored = slices.select(*keys, F.col(original).alias("_a"), F.col(reconstruction).alias("_b")).mapInPandas(score, f"{kinds}, mse double, ssim double")
+    return scored.withColumn("loss", ssim_mse_loss(F.col("mse"), F.col("ssim"), alpha))
+
+
 def ssim_arrow(batches: Iterator[pd.DataFrame], height: int, width: int, window: int) -> Iterator[pd.DataFrame]:
     """2-D SSIM per slice row, without a shuffle."""
     for batch in batches:

@@ -6,16 +6,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .held import materialized
 
 BUCKETS = 64
 
 
+def sortable(rows: DataFrame, order: str) -> Column:
+    """The order as a number that rises with it: times in microseconds, dates in days."""
+    kind = rows.schema[order].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(order)
+    return F.unix_date(order) if isinstance(kind, T.DateType) else F.col(order)
+
+
 def bucketed(rows: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add `_bucket`, which rises with `order`, a number or a time, and is the same for equal values; nulls come first."""
+    """Add `_bucket`, which rises with `order`, a number or a time, and is the same for equal values; nulls come first.
+
+    The cuts, fewer than `buckets` numbers, are found at once by a pass over the column and stand in the plan as literals.
+    """
+    value = sortable(rows, order)
     probabilities = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    cuts = rows.agg(F.array_distinct(F.percentile_approx(order, probabilities, 10_000)).alias("_cuts"))
-    found = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))
-    return rows.crossJoin(F.broadcast(cuts)).withColumn("_bucket", F.when(F.col(order).isNull(), 0).otherwise(found)).drop("_cuts")
+    cuts = sorted(set(rows.agg(F.percentile_approx(value, probabilities, 10_000)).first()[0] or []))
+    found = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
+    return rows.withColumn("_bucket", F.when(F.col(order).isNull(), 0).otherwise(found))
 
 
 def octaves(value: Column, parts: int = 32) -> Column:
@@ -43,9 +58,10 @@ def cumulative(rows: DataFrame, order: str, sums: Sequence[str], descending: boo
 
     Approximate quantiles cut the order into buckets, whose totals (a row per bucket, broadcast) give
     each bucket its start; inside a bucket a window runs. The quantiles shape the work, not the result.
-    `bucket`, which must rise with the order, takes their place and saves a pass.
+    `bucket`, which must rise with the order, takes their place and saves a pass. Without it the rows,
+    which should be narrow, are evaluated once into scratch.
     """
-    cut = bucketed(rows, order, buckets) if bucket is None else rows.withColumn("_bucket", bucket)
+    cut = bucketed(materialized(rows), order, buckets) if bucket is None else rows.withColumn("_bucket", bucket)
     direction = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     earlier = Window.orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
     totals = cut.groupBy("_bucket").agg(*(F.sum(c).alias(c) for c in sums))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .held import materialized
 from .prefix import bucketed, ranked_by
 
 
@@ -26,9 +27,9 @@ def best_so_far(epochs: DataFrame, key: str, order: Sequence[str], score: str) -
     """Running maximum, and whether a row improves on all before it. Rows without a score never count against it.
 
     The first of the order columns is a number or a time. It is cut into buckets, whose maxima (at most 64 a key)
-    give each the best before it, so no task orders all rows of a key.
+    give each the best before it, so no task orders all rows of a key. The rows are evaluated once into scratch.
     """
-    cut = bucketed(epochs, order[0])
+    cut = bucketed(materialized(epochs), order[0])
     ahead = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     tops = cut.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_at")).agg(F.max(score).alias("_top")).select("_key", "_at", F.max("_top").over(ahead).alias("_before"))
     rows = cut.join(tops, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_at")))
@@ -45,8 +46,8 @@ def stopped_at(epochs: DataFrame, key: str, order: Sequence[str], score: str, pa
     Rows are placed by buckets of the order; only improving rows, of which a key has few unless its score
     rises all the time, meet in one task.
     """
-    marked = best_so_far(epochs, key, order, score).filter(F.col(score).isNotNull())
-    placed = ranked_by(marked, [key], order[0], [F.col(c) for c in order[1:]])
+    marked = materialized(best_so_far(epochs.select(key, *order, score), key, order, score).filter(F.col(score).isNotNull()))
+    placed = materialized(ranked_by(marked, [key], order[0], [F.col(c) for c in order[1:]]))
     ahead = Window.partitionBy(key).orderBy("_before")
     records = placed.filter("improved").select(key, "_before", "_all", F.lead("_before").over(ahead).alias("_next"))
     stale = records.filter(F.coalesce("_next", "_all") > F.col("_before") + patience)

@@ -44,6 +44,11 @@ def confusion(rows: DataFrame, label: Column, predicted: Column, keys: Sequence[
         F.count_if(predicted & label).alias("tp"), F.count_if(predicted & ~label).alias("fp"),
         F.count_if(~predicted & label).alias("fn"), F.count_if(~predicted & ~label).alias("tn"),
     )
+    return with_ratios(counts)
+
+
+def with_ratios(counts: DataFrame) -> DataFrame:
+    """precision, recall and f1 of rows with tp, fp and fn; a ratio without denominator is 0."""
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return counts.withColumn("precision", ratio(tp, tp + fp)).withColumn("recall", ratio(tp, tp + fn)).withColumn("f1", ratio(2 * tp, 2 * tp + fp + fn))
@@ -53,6 +58,10 @@ def tune_slice_threshold(scores: DataFrame, grid: Sequence[float], split: str =
     """precision, recall and f1 at each threshold of the grid (flagged_fraction >= t). Validation data only."""
     if split != "val":
         raise ConfigError(f"thresholds are chosen on val, not on {split}")
-    table = scores.sparkSession.createDataFrame([(float(t),) for t in grid], "threshold double")
-    crossed = scores.crossJoin(F.broadcast(table))
-    return confusion(crossed, F.col("label") == 1, F.col("flagged_fraction") >= F.col("threshold"), ["threshold"])
+    label, fraction = F.col("label") == 1, F.col("flagged_fraction")
+    sums = []
+    for i, t in enumerate(grid):
+        hit = fraction >= float(t)
+        sums += [F.count_if(hit & label).alias(f"_tp{i}"), F.count_if(hit & ~label).alias(f"_fp{i}"), F.count_if(~hit & label).alias(f"_fn{i}"), F.count_if(~hit & ~label).alias(f"_tn{i}")]
+    points = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), *(F.col(f"_{n}{i}").alias(n) for n in ("tp", "fp", "fn", "tn"))) for i, t in enumerate(grid)))
+    return with_ratios(scores.agg(*sums).select(F.inline(points)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import ConfigError
 from .metrics import dice_of
+from .held import materialized
 from .prefix import octaves, ranked_by
 
 
@@ -19,6 +20,10 @@ def absolute_mask(residual: Column, value: float) -> Column:
     return (residual > value) & ~F.isnan(residual)
 
 
+#: Places of the flat index that are numbered together.
+BLOCK = 1 << 16
+
+
 def kept_count(n: Column, percentile: float | Column) -> Column:
     return F.rint(n * (F.lit(100.0) - percentile) / 100.0).cast("bigint")
 
@@ -26,21 +31,27 @@ def kept_count(n: Column, percentile: float | Column) -> Column:
 def percentile_mask(voxels: DataFrame, key: str, flat_index: str, percentile: float, residual: str = "residual") -> DataFrame:
     """`flagged`: exactly round-half-even(n (100 - p) / 100) highest residuals per volume, ties by flat index.
 
-    The cut value of each volume comes from counts per distinct residual, ranked by buckets of the residual,
-    so no volume is sorted in one task; only the voxels tied at the cut are numbered.
+    Counts per octave of the residual tell in which octave the cut of each volume lies. Only the voxels
+    of that octave are counted by value, which gives the cut, and only those tied at the cut are numbered,
+    by blocks of the flat index; a background of equal values is such a tie. So no task sorts a volume.
     """
     if not 0 <= percentile <= 100:
         raise ConfigError(f"percentile must lie in [0, 100], not {percentile}")
-    tally = voxels.groupBy(key, residual).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked_by(tally, [key], residual, descending=True, weight="_n", bucket=octaves(F.col(residual))).withColumn("_k", kept_count(F.col("_all"), percentile))
+    at = voxels.select(key, flat_index, residual).withColumn("_octave", octaves(F.col(residual)))
+    higher = Window.partitionBy(key).orderBy(F.desc("_octave")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = at.groupBy(key, "_octave").agg(F.count(F.lit(1)).alias("_n"))
+    placed = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(higher), F.lit(0)), "_k": kept_count(F.sum("_n").over(Window.partitionBy(key)), percentile)})
+    octave = placed.filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_n") >= F.col("_k"))).select(key, "_octave", (F.col("_k") - F.col("_before")).alias("_k"))
+    tally = at.join(octave, [key, "_octave"]).groupBy(key, residual, "_k").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ranked_by(materialized(tally), [key], residual, descending=True, weight="_n", bucket=octaves(F.col(residual), 1 << 14))
     cut = ranked.filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_n") >= F.col("_k")))
-    cut = cut.select(key, F.col(residual).alias("_cut"), (F.col("_k") - F.col("_before")).alias("_ties"))
-    marked = voxels.join(cut, key, "left")
-    tied = marked.filter(F.col(residual) == F.col("_cut"))
-    tied = tied.withColumn("flagged", F.row_number().over(Window.partitionBy(key).orderBy(flat_index)) <= F.col("_ties"))
-    rest = marked.filter((F.col(residual) != F.col("_cut")) | F.col("_cut").isNull() | F.col(residual).isNull())
-    rest = rest.withColumn("flagged", F.coalesce(F.col(residual) > F.col("_cut"), F.lit(False)))
-    return tied.unionByName(rest).drop("_cut", "_ties")
+    cut = materialized(cut.select(key, F.col(residual).alias("_cut"), (F.col("_k") - F.col("_before")).alias("_ties"), (F.col("_n") + F.col("_before") == F.col("_k")).alias("_all_tied")))
+    tied = at.join(cut.filter("not _all_tied"), key).filter(F.col(residual) == F.col("_cut"))
+    numbered = ranked_by(tied.select(key, flat_index, "_ties"), [key], flat_index, bucket=F.floor(F.col(flat_index) / BLOCK))
+    last = numbered.filter(F.col("_before") == F.col("_ties") - 1).select(key, F.col(flat_index).alias("_last"))
+    marked = voxels.join(cut.join(last, key, "left"), key, "left")
+    of_tie = (F.col(residual) == F.col("_cut")) & (F.col("_all_tied") | (F.col(flat_index) <= F.col("_last")))
+    return marked.withColumn("flagged", F.coalesce((F.col(residual) > F.col("_cut")) | of_tie, F.lit(False))).drop("_cut", "_ties", "_all_tied", "_last")
 
 
 def percentile_mask_rows(slices: DataFrame, key: str, percentile: float, residual: str = "residual") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import DataError, LeakageError
+from ..contracts import ConfigError, DataError, LeakageError
 
 
 def range_counts(rows: DataFrame, value: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -65,3 +66,28 @@ def require_equal_shapes(left: DataFrame, right: DataFrame, keys: Sequence[str],
     bad = joined.filter(~F.col("_l").eqNullSafe(F.col("_r")) | ~F.col("_l_n").eqNullSafe(F.col("_r_n"))).limit(1).collect()
     if bad:
         raise DataError(f"shapes differ at {tuple(bad[0][k] for k in keys)}: {bad[0]['_l']} and {bad[0]['_r']}")
+
+
+def require_renderable(slices: DataFrame, keys: Sequence[str], columns: Sequence[str], key: str, volume: object, depth: int) -> DataFrame:
+    """The slice (volume, depth), if it is there once and every one of the array columns is finite there.
+
+    A picture of NaN or of an infinite value looks plausible, so it is refused; a depth outside the
+    volume is told with the volume's depth.
+    """
+    own = slices.filter(F.col(key).eqNullSafe(F.lit(volume)))
+    found = own.filter(F.col("slice_index") == depth).select(*keys, *columns)
+    bad = lambda c: F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    rows = found.select(*(F.coalesce(bad(c), F.lit(True)).alias(c) for c in columns)).limit(2).collect()
+    if len(rows) != 1:
+        raise DataError(f"depth {depth} of volume {volume!r} occurs {len(rows)} times; it has {own.count()} slices")
+    broken = [c for c in columns if rows[0][c]]
+    if broken:
+        raise DataError(f"volume {volume!r} at depth {depth}: {broken} hold values that are not finite")
+    return found
+
+
+def require_stored(results: object, caller: str) -> str:
+    """The path of stored results; a model or a frame in its place is an error, as scoring never runs a model again."""
+    if not isinstance(results, str | os.PathLike):
+        raise ConfigError(f"{caller} reads stored results from a path, not from a {type(results).__name__}")
+    return os.fspath(results)

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.scalar import r6
-from ..operators import compare, curves, cv, documents, ranks, runs, slices, validate
+from ..operators import batches, compare, curves, cv, documents, preprocess, ranks, runs, slices, validate
+from ..operators.held import scratch_path
+from ..sources import volume_source, volumes
+from ..sources.committed import save_files
 from . import frames
-from .frames import CELL_SQL, RUN_SQL, SCR_SQL
+from .frames import CELL_SQL, RUN_SQL, SCR_SQL, VOX_SQL
 
 FRACTIONS = {"train": 0.7, "val": 0.1, "test": 0.2}
 
@@ -179,7 +182,7 @@ def fold_auc(spark, d):
 
 def mean_importance(spark, d):
     items = frames.table(spark, d, "lineitem")
-    gains = items.filter("l_quantity > 45").groupBy(F.col("l_suppkey").alias("feature"), F.col("l_linenumber").alias("fold")).agg(F.round(F.avg("l_discount"), 6).alias("gain"))
+    gains = items.groupBy(F.col("l_partkey").alias("feature"), F.col("l_linenumber").alias("fold")).agg(F.round(F.avg("l_discount"), 6).alias("gain"))
     return rounded(ranks.mean_importance(gains), "mean_gain")
 
 
@@ -319,11 +322,43 @@ def filter_metric_range(spark, d):
     return rounded(frames.run(spark, d).filter("metric between 50 and 120").select("run", "model", "metric"), "metric")
 
 
+def chunk_files(spark, d):
+    """The embeddings' subjects in volumes of 16 slices, as .npy files in the shared folder: its path."""
+    rows = frames.slices(spark, d)
+    chunk, _ = preprocess.chunk_columns(F.col("slice_index"))
+    named = rows.select(F.format_string("s%d_c%d", "subject", chunk).alias("volume_id"), F.pmod("slice_index", F.lit(16)).alias("slice_index"), "pixels")
+    path = scratch_path(spark, "volumes")
+    save_files(volumes.volumes_as_npy(named, "volume_id", 8, 8), path)
+    return path
+
+
 def binary_scan(spark, d):
-    """File name and length of the tables' files: a scan that reads no contents."""
-    from ..sources.volumes import volume_files
+    """File name and length of volumes made from the embeddings: a scan that reads no contents."""
+    return volumes.volume_files(spark, chunk_files(spark, d), "*.npy").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+
 
-    return volume_files(spark, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+def volume_headers(spark, d):
+    """Depth and shape of those volumes, from headers alone."""
+    return volume_source.scan_headers(spark, chunk_files(spark, d))
+
+
+def volume_slices(spark, d):
+    """Their slices 2 to 5, by byte ranges, and the mean of each."""
+    rows = volume_source.scan_slices(spark, chunk_files(spark, d)).filter("slice_index between 2 and 5")
+    total = F.aggregate("pixels", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return rows.select("volume_id", "slice_index", "height", "width", scalar.r6(total / 64).alias("mean"))
+
+
+def group_folds(spark, d):
+    """The sources of labelled documents in five folds with even shares of both classes, and what each holds."""
+    samples = frames.scr(spark, d)
+    folds = cv.stratified_group_folds(samples.select("grp", "y"), "grp", "y")
+    return folds.join(samples.groupBy("grp").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")), "grp").select("grp", "fold", "n0", "n1")
+
+
+def epoch_batches(spark, d):
+    """Embeddings in batches of 8 as validation reads them."""
+    return batches.epoch_batches(frames.table(spark, d, "embeddings").select("vec_id"), "vec_id", "val", 8)
 
 
 _CONFUSION = "sum(CASE WHEN score >= 500 AND y = 1 THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN score >= 500 AND y = 0 THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN score < 500 AND y = 1 THEN 1 ELSE 0 END)::BIGINT AS fn, sum(CASE WHEN score < 500 AND y = 0 THEN 1 ELSE 0 END)::BIGINT AS tn"
@@ -382,7 +417,7 @@ UNION ALL SELECT 'synthetic', NULL, 'source is missing'""",
     "fold_auc": SCR_SQL + """, g AS (SELECT fold, score_t AS s, sum(y)::BIGINT AS p, sum(1 - y)::BIGINT AS n FROM scr GROUP BY 1, 2),
 c AS (SELECT fold, p, n, sum(p) OVER k AS tp, sum(n) OVER k AS fp, sum(p) OVER (PARTITION BY fold) AS np, sum(n) OVER (PARTITION BY fold) AS nn FROM g WINDOW k AS (PARTITION BY fold ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
 SELECT fold, CASE WHEN any_value(np) > 0 AND any_value(nn) > 0 THEN round(sum((n::DOUBLE / nn) * (tp + tp - p) / np / 2), 6) END AS roc_auc, CASE WHEN any_value(np) > 0 AND any_value(nn) > 0 THEN round(sum(p::DOUBLE / np * tp / (tp + fp)), 6) END AS pr_auc FROM c GROUP BY 1""",
-    "mean_importance": "WITH g AS (SELECT l_suppkey AS feature, l_linenumber AS fold, round(avg(l_discount), 6) AS gain FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2) SELECT feature, round(sum(gain) / (SELECT count(DISTINCT fold) FROM g), 6) AS mean_gain FROM g GROUP BY 1",
+    "mean_importance": "WITH g AS (SELECT l_partkey AS feature, l_linenumber AS fold, round(avg(l_discount), 6) AS gain FROM lineitem GROUP BY 1, 2) SELECT feature, round(sum(gain) / (SELECT count(DISTINCT fold) FROM g), 6) AS mean_gain FROM g GROUP BY 1",
     "run_meta_join": RUN_SQL + "SELECT model, run, config, round(metric, 6) AS metric FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY stamp DESC, run DESC) AS rk FROM run) AS x WHERE rk = 1",
     "stopped_at": RUN_SQL + """, b AS (SELECT *, coalesce(metric > max(metric) OVER (PARTITION BY model ORDER BY stamp, run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM run WHERE metric IS NOT NULL),
 i AS (SELECT *, count(*) FILTER (WHERE improved) OVER (PARTITION BY model ORDER BY stamp, run ROWS UNBOUNDED PRECEDING) AS island FROM b),
@@ -414,5 +449,12 @@ UNION ALL SELECT 'pr_auc', printf('%.4f', a.pr), printf('%.4f', b.pr), 'n/a (no
     "view_union_pipelines": SCR_SQL + "SELECT 'deep' AS pipeline, grp, round(avg(score), 6) AS value FROM scr GROUP BY 2 UNION ALL SELECT 'classical', grp, round(avg(y), 6) FROM scr GROUP BY 2",
     "filter_metric_range": RUN_SQL + "SELECT run, model, round(metric, 6) AS metric FROM run WHERE metric BETWEEN 50 AND 120",
 }
-ROWS_ONLY = ("gbt_oof", "item_seed", "binary_scan")
+_CHUNKS = VOX_SQL + ", c AS (SELECT 's' || subject || '_c' || slice_index // 16 AS volume_id, slice_index % 16 AS z, embedding FROM sl)"
+ORACLES |= {
+    "binary_scan": _CHUNKS + " SELECT volume_id || '.npy' AS file, 128 + 4 * 64 * count(*) AS length FROM c GROUP BY volume_id",
+    "volume_headers": _CHUNKS + " SELECT volume_id, count(*) AS depth, 8::INTEGER AS height, 8::INTEGER AS width, 1::BIGINT AS n_chunks, 'float32' AS dtype, 128::BIGINT AS bytes_read FROM c GROUP BY volume_id",
+    "volume_slices": _CHUNKS + " SELECT volume_id, z AS slice_index, 8::INTEGER AS height, 8::INTEGER AS width, round(list_sum(list_transform(embedding, lambda v: v::FLOAT::DOUBLE)) / 64, 6) + 0.0 AS mean FROM c WHERE z BETWEEN 2 AND 5",
+    "epoch_batches": "SELECT vec_id, n // 8 AS batch, n % 8 AS place FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings) AS x",
+}
+ROWS_ONLY = ("gbt_oof", "item_seed", "group_folds")
 QUERIES = {name: globals()[name] for name in (*ORACLES, *ROWS_ONLY)}

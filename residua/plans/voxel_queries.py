@@ -338,6 +338,26 @@ def synthetic_boxes(spark, d):
     return synth.synthetic_boxes(flat, "vec_id", (1, 8, 8), depths=(1, 1))
 
 
+def patch_blend(spark, d):
+    """A patch per part, blended into the test subjects by grid cells."""
+    part = frames.table(spark, d, "part")
+    k, n = F.col("p_partkey"), F.col("p_size")
+    low = {"z": k % 47, "y": k % 7, "x": n % 7}
+    high = {"z": low["z"] + 1 + n % 3, "y": F.least(F.lit(8), low["y"] + 1 + n % 4), "x": F.least(F.lit(8), low["x"] + 1 + k % 5)}
+    edges = [c.cast("bigint").alias(f"{a}{i}") for a in "zyx" for i, c in enumerate((low[a], high[a]))]
+    patches = part.select((7 + k % 3).alias("subject"), k.alias("no"), *edges, ((k % 90 + 1) / 100).alias("alpha"))
+    found = synth.blend_by_table(test_voxels(spark, d), patches, "subject", donor="recon")
+    return found.select("subject", "slice_index", "pos", "mask", "patch_no", r6(F.col("blended")).alias("blended"))
+
+
+def ssim_mse(spark, d):
+    """Weighted loss of SSIM and MSE of each test slice and its reconstruction."""
+    means = frames.healthy_means(spark, d)
+    recon = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "recon"))), lambda x: x["recon"]).alias("reconstruction"))  # the positions of one slice
+    rows = frames.slices(spark, d).filter("subject >= 7").withColumnRenamed("pixels", "original").crossJoin(F.broadcast(recon))
+    return metrics.ssim_mse_by_slice(rows, KEYS, 8, 8, window=7)
+
+
 _OVERLAP_SQL = VOX_SQL + """, o AS (
   SELECT subject, sum(CASE WHEN residual > 0.15 AND gt = 1 THEN 1 ELSE 0 END) AS i, sum(CASE WHEN residual > 0.15 THEN 1 ELSE 0 END) AS p, sum(gt) AS g FROM f WHERE subject >= 7 GROUP BY subject
 ), m AS (
@@ -523,7 +543,10 @@ w AS (SELECT subject, centre, depth, least(depth, greatest(centre - 8, 0) + 16)
     "stride_subsample": VOX_SQL + ", n AS (SELECT subject AS s0, count(*) AS n FROM sl GROUP BY 1), k AS (SELECT DISTINCT s0, CASE WHEN n <= 10 THEN NULL ELSE floor(i * (n / 10.0::DOUBLE)) END AS pick FROM n, (SELECT unnest(range(10)) AS i) AS r) SELECT subject, slice_index FROM sl JOIN k ON subject = s0 AND (pick IS NULL OR slice_index = pick)",
     "total_variation": VOX_SQL + ", s AS (SELECT subject, abs(lead(v) OVER (PARTITION BY subject, slice_index, y ORDER BY x) - v) AS r, abs(lead(v) OVER (PARTITION BY subject, slice_index, x ORDER BY y) - v) AS b FROM vox) SELECT subject, round(avg(r) + avg(b), 6) AS total_variation FROM s GROUP BY 1",
     "multiscale_mse": _multiscale_sql(),
+    "patch_blend": VOX_SQL + """, p AS (SELECT 7 + p_partkey % 3 AS s0, p_partkey AS no, p_partkey % 47 AS z0, z0 + 1 + p_size % 3 AS z1, p_partkey % 7 AS y0, least(8, y0 + 1 + p_size % 4) AS y1, p_size % 7 AS x0, least(8, x0 + 1 + p_partkey % 5) AS x1, (p_partkey % 90 + 1) / 100 AS alpha FROM part),
+h AS (SELECT subject, slice_index, pos, any_value(v) AS v, any_value(recon) AS recon, coalesce(max(alpha), 0)::DOUBLE AS mask, arg_max(no, (alpha, no)) AS patch_no FROM f LEFT JOIN p ON subject = s0 AND slice_index >= z0 AND slice_index < z1 AND y >= y0 AND y < y1 AND x >= x0 AND x < x1 WHERE subject >= 7 GROUP BY 1, 2, 3)
+SELECT subject, slice_index, pos, mask, patch_no, round(CASE WHEN mask > 0 THEN (1 - mask) * v + mask * recon ELSE v END, 6) + 0.0 AS blended FROM h""",
     "l2_delta": VOX_SQL + "SELECT subject, round(sqrt(sum((recon - v) * (recon - v))), 6) AS l2_delta FROM f WHERE subject >= 7 GROUP BY 1",
 }
-ROWS_ONLY = ("ssim", "sobel_full", "pca_reconstruction", "synthetic_boxes")
+ROWS_ONLY = ("ssim", "ssim_mse", "sobel_full", "pca_reconstruction", "synthetic_boxes")
 QUERIES = {name: globals()[name] for name in (*ORACLES, *ROWS_ONLY)}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import SPLIT, ArtifactError
+from ..operators.validate import require_stored
 from .committed import load_version, save_version
 from .volumes import volume_files
 
@@ -71,6 +72,7 @@ def _has_files(spark: SparkSession, path: str, glob: str) -> bool:
 
 def read_results(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
     """Slice rows of one run, the newest where none is named; other runs' partitions are pruned."""
+    root = require_stored(root, "read_results")
     return spark.read.parquet(root).filter(F.col("run_id") == newest_run(spark, root, run_id=run_id))
 
 

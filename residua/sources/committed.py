@@ -155,6 +155,78 @@ class DocumentSource(DataSource):
         return DocumentWriter(self.options["path"], self.options.get("kind", "json"), schema.names)
 
 
+class FilesWriter(DataSourceWriter):
+    """Writes a file per row (name, content) below a folder; all of them appear at the commit, or none."""
+
+    def __init__(self, path: str, overwrite: bool) -> None:
+        self.path, self.overwrite, self.staging = path, overwrite, f"{path}/.writing-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[Row]) -> Staged:
+        store, own = located(self.staging)
+        folder, names = f"{own}/{uuid.uuid4().hex}", []
+        for name, content in iterator:
+            if not name or name.startswith((".", "/")) or ".." in name.split("/"):
+                raise ArtifactError(f"{name!r} is no name of a file below {self.path}")
+            target = f"{folder}/{name}"
+            store.create_dir(target.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(target) as out:
+                out.write(content or b"")
+            names.append(name)
+        return Staged(folder, names)
+
+    def commit(self, messages: list[Staged | None]) -> None:
+        store, own = located(self.path)
+        staged = [(m.folder, name) for m in messages if m for name in m.names]
+        names = [name for _, name in staged]
+        twice = sorted({n for n in names if names.count(n) > 1}) if len(set(names)) < len(names) else []
+        there = [] if self.overwrite else [x.path for x in store.get_file_info([f"{own}/{n}" for n in names]) if x.type != fs.FileType.NotFound]
+        if twice or there:
+            self.abort(messages)
+            raise ArtifactError(f"files are written twice: {twice or there}"[:300])
+        store.create_dir(own, recursive=True)
+        for folder, name in staged:
+            if "/" in name:
+                store.create_dir(f"{own}/{name}".rpartition("/")[0], recursive=True)
+            store.move(f"{folder}/{name}", f"{own}/{name}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Staged | None]) -> None:
+        store, staging = located(self.staging)
+        if store.get_file_info(staging).type == fs.FileType.Directory:
+            store.delete_dir(staging)
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    folder: str
+    names: list[str]
+
+
+class FilesSource(DataSource):
+    """`files`: a write-only source of rows (name string, content binary). Option: path."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "files"
+
+    def schema(self) -> T.StructType:
+        raise ArtifactError("files are read as what they are")
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+        if [f.dataType.simpleString() for f in schema] != ["string", "binary"]:
+            raise ArtifactError(f"files need (name string, content binary), not {schema.simpleString()}")
+        return FilesWriter(self.options["path"], overwrite)
+
+
+def save_files(rows: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A file per row (name, content) below path, written by the tasks and moved into place at the commit.
+
+    A name that comes twice, or is there already unless overwritten, is an error and nothing appears.
+    """
+    rows.sparkSession.dataSource.register(FilesSource)
+    rows.write.format("files").mode("overwrite" if overwrite else "append").save(path)
+
+
 def save_document(rows: DataFrame, path: str, kind: str = "json") -> None:
     """The rows of a report, few by nature, as one file that replaces an older one whole.
 

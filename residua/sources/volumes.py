@@ -58,6 +58,25 @@ def parse_nifti(content: bytes) -> np.ndarray:
     return np.transpose(array, (2, 0, 1))
 
 
+def volumes_as_npy(slices: DataFrame, key: str, height: int, width: int, pixels: str = "pixels") -> DataFrame:
+    """(name, content) of a .npy file per volume from its slice rows, to be written by `save_files`. A volume is one task's group.
+
+    Slices stand in order of slice_index; one of another size raises.
+    """
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by("slice_index")
+        rows = group["_pixels"].to_pylist()
+        if any(len(r) != height * width for r in rows):
+            raise DataError(f"a slice of {group['_key'][0]} has no {height} by {width} pixels")
+        out = io.BytesIO()
+        np.save(out, np.array(rows, np.float32).reshape(len(rows), height, width))
+        return pa.table({"name": [f"{group['_key'][0].as_py()}.npy"], "content": pa.array([out.getvalue()], pa.binary())})
+
+    named = slices.select(F.col(key).cast("string").alias("_key"), F.col("slice_index").cast("bigint").alias("slice_index"), F.col(pixels).cast("array<float>").alias("_pixels"))
+    return named.groupBy("_key").applyInArrow(pack, "name string, content binary")
+
+
 def volume_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """path, modificationTime and length of matching files, recursively; contents are not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root).drop("content")
