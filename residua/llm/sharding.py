@@ -1,10 +1,12 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked. Texts start in shards that hold all their copies, the texts
-with most copies first; a text that fits in no shard starts in those with most room. Then pieces of
-texts move, round by round until nothing gets better, to the shard where most of their neighbours
-are or fit; documents without links fill what is left, so the row counts of the shards differ by one
-at most (law `rows`).
+Documents with equal texts are linked. Each document starts with the label of a hash of its row, so
+the copies of a text lie all over the shards and the counts are about even. Then labels propagate in
+rounds of Spark joins: the copies of a text move together to one shard, where most of them are or,
+where the quota there is used up, where there is room; the largest texts, which are hardest to place,
+move first. A text beyond a shard's quota moves in parts, and what fits nowhere whole is split over the
+largest rooms. Each round lowers the cut; the last one leaves nothing that could move. Documents
+without links then fill what is left, so the row counts of the shards differ by one at most (law `rows`).
 
 Neighbours of one text are alike, so the state of the propagation is the number of a text's copies in
 each shard: a row per (text, shard), never a row per pair of copies.
@@ -12,6 +14,8 @@ each shard: a row per (text, shard), never a row per pair of copies.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,54 +25,92 @@ SHARDS = 40
 #: Bytes a document costs beside its text.
 OVERHEAD = 16
 
+log = logging.getLogger(__name__)
+
+
+def _rooms(quotas: DataFrame, placed: DataFrame) -> DataFrame:
+    """(_to, _room): what the quotas leave free, a row per shard."""
+    load = placed.groupBy("_shard").agg(F.sum("_n").alias("_load"))
+    return F.broadcast(quotas.join(load, "_shard", "left").select(F.col("_shard").alias("_to"), (F.col("_quota") - F.coalesce("_load", F.lit(0))).alias("_room")))
+
 
-def _propagate(pieces: DataFrame, quotas: DataFrame, buckets: int) -> DataFrame:
-    """One round over (_group, _shard, _n): each piece asks for the shard that can unite most of its text.
+def _ask_neighbours(parts: DataFrame, rooms: DataFrame, buckets: int) -> DataFrame:
+    """Each text asks for the shard where most of its copies are; a shard accepts while its quota lasts. Adds _to and _moved."""
+    asked = running_sum(parts.withColumn("_to", F.col("_label")), ["_to"], ["_group", "_part"], "_ahead", buckets, "_n")
+    fits = F.col("_ahead") + F.col("_n") <= F.col("_room")
+    return asked.join(rooms, "_to").withColumn("_moved", F.when(fits, F.col("_n")).otherwise(0)).drop("_ahead", "_room")
 
-    A shard can unite what it holds of a text and what it has room for. A text has a piece per shard
-    at most, so the windows below are small however many copies it has.
+
+def _ask_rooms(parts: DataFrame, rooms: DataFrame, buckets: int) -> DataFrame:
+    """Parts in order of size, largest first, are laid along the rooms, largest first; a part that lies inside one moves there.
+
+    What lies across the end of a room stays: fewer parts than there are shards.
     """
-    load = pieces.groupBy("_shard").agg(F.sum("_n").alias("_load"))
-    room = quotas.join(load, "_shard", "left").select("_shard", (F.col("_quota") - F.coalesce("_load", F.lit(0))).alias("_room"))
-    room = F.broadcast(room)  # one row per shard
-    own = Window.partitionBy("_group")
-    rated = pieces.join(room, "_shard").withColumn("_unites", F.least(F.sum("_n").over(own), F.col("_n") + F.col("_room")))
-    rated = rated.withColumn("_rate", F.struct("_unites", "_n", (-F.col("_shard")).alias("_to")))
-    best = F.max(F.when(F.col("_room") > 0, F.col("_rate"))).over(own)
-    asked = rated.withColumn("_best", best).filter(F.col("_rate") < F.col("_best"))
-    asked = asked.select("_group", "_shard", "_n", (-F.col("_best._to")).alias("_to"))
-    ahead = running_sum(asked, ["_to"], ["_group", "_shard"], "_ahead", buckets, "_n")
-    rooms = room.withColumnRenamed("_shard", "_to")
-    moved = ahead.join(rooms, "_to").withColumn("_moved", F.least("_n", F.greatest(F.col("_room") - F.col("_ahead"), F.lit(0)))).filter("_moved > 0")
-    moved = moved.select("_group", F.inline(F.array(F.struct("_shard", (-F.col("_moved")).alias("_n")), F.struct(F.col("_to").alias("_shard"), F.col("_moved").alias("_n")))))
-    return pieces.select("_group", "_shard", "_n").unionByName(moved.select("_group", "_shard", "_n")).groupBy("_group", "_shard").agg(F.sum("_n").alias("_n")).filter("_n > 0")
-
-
-def first_fit(sizes: list[tuple[int, int]], room: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(size, from, to, shard, rows): where the texts of a size, by rank from `from` up to `to`, have `rows` copies.
-
-    sizes: (copies of a text, texts of that size). Larger texts come first and go whole to the first
-    shards with room; one that fits in none fills those with most room, and its rest goes where
-    least room is left over.
+    sizes = parts.groupBy("_n").agg(F.count(F.lit(1)).alias("_m"))  # fewer rows than the square root of twice the documents
+    larger = Window.orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_n", F.coalesce(F.sum(F.col("_n") * F.col("_m")).over(larger), F.lit(0)).alias("_start"))
+    along = Window.orderBy(F.desc("_room"), "_to").rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.broadcast(rooms.withColumn("_end", F.sum("_room").over(along)))
+    ranked = running_sum(parts, ["_n"], ["_group", "_part"], "_rank", buckets).join(starts, "_n").withColumn("_at", F.col("_start") + F.col("_rank") * F.col("_n"))
+    inside = (F.col("_at") >= F.col("_end") - F.col("_room")) & (F.col("_at") + F.col("_n") <= F.col("_end"))
+    found = ranked.join(ends, inside, "left")
+    return found.withColumn("_moved", F.when(F.col("_to").isNull(), 0).otherwise(F.col("_n"))).drop("_start", "_rank", "_at", "_room", "_end")
+
+
+def _ask_in_turn(parts: DataFrame, rooms: DataFrame) -> DataFrame:
+    """The largest part asks for the largest room, the next for the next, and moves if it fits; where none fits, each takes what its room holds."""
+    turn = Window.orderBy(F.desc("_n"), "_group", "_part")  # fewer parts than shards
+    ranked = parts.withColumn("_turn", F.row_number().over(turn))
+    free = F.broadcast(rooms.filter("_room > 0").withColumn("_turn", F.row_number().over(Window.orderBy(F.desc("_room"), "_to"))))
+    asked = ranked.join(free, "_turn", "left")
+    fits = F.coalesce(F.col("_n") <= F.col("_room"), F.lit(False))
+    any_fits = F.max(fits).over(Window.partitionBy(F.lit(0)))
+    return asked.withColumn("_moved", F.when(fits, F.col("_n")).when(~any_fits, F.least("_n", F.coalesce("_room", F.lit(0)))).otherwise(0)).drop("_turn", "_room")
+
+
+def propagate(start: DataFrame, quotas: DataFrame, singles: int, shards: int, buckets: int) -> tuple[DataFrame, list[int]]:
+    """Pieces (_group, _shard, _n) after the rounds, and the cut (pieces beyond one per text) before and after each round.
+
+    start: (_group, _shard, _n), where the copies are at first. Texts with no more copies than the
+    documents without links leave free in a shard on average go to their neighbours and are never cut,
+    as some shard always has room for one; larger ones, which such texts could block, are placed before.
     """
-    room, out = list(room), []
-    for size, count in sorted(sizes, reverse=True):
-        rank = 0
-        for shard, free in enumerate(room):
-            fit = min(count - rank, free // size)
-            if fit:
-                out.append((size, rank, rank + fit, shard, size))
-                room[shard] -= fit * size
-                rank += fit
-        for one in range(rank, count):
-            left = size
-            while left:
-                shard = min(range(len(room)), key=lambda k: (room[k] < left, room[k] if room[k] >= left else -room[k]))
-                rows = min(left, room[shard])
-                out.append((size, one, one + 1, shard, rows))
-                room[shard] -= rows
-                left -= rows
-    return out
+    own = start.groupBy("_group").agg(F.sum("_n").alias("_members"), F.max_by("_shard", F.struct("_n", (-F.col("_shard")).alias("_s"))).alias("_label"), F.count(F.lit(1)).alias("_spread"))
+    least = quotas.agg(F.min("_quota")).first()[0] or 1
+    full = F.floor(F.col("_members") / max(least, 1))
+    sizes = F.transform(F.sequence(F.lit(0).cast("bigint"), full), lambda i: F.when(i < full, F.lit(max(least, 1)).cast("bigint")).otherwise(F.col("_members") % max(least, 1)))
+    parts = materialize(own.select("_group", "_label", "_spread", "_members", F.posexplode(sizes).alias("_part", "_n")).filter("_n > 0"))
+    placed = parts.select("_group", F.col("_label").alias("_shard"), "_n").filter("false")
+    texts = own.count()
+    history = [start.count() - texts]
+    share = singles // shards
+
+    def go(asked: DataFrame) -> DataFrame:
+        """Carry one round out; what is left to move."""
+        nonlocal placed
+        asked = materialize(asked)
+        placed = materialize(placed.unionByName(asked.filter("_moved > 0").select("_group", F.col("_to").cast("int").alias("_shard"), F.col("_moved").alias("_n"))))
+        rest = materialize(asked.withColumn("_n", F.col("_n") - F.col("_moved")).filter("_n > 0").select(parts.columns))
+        return rest
+
+    def cut(waiting: list[DataFrame]) -> int:
+        still = waiting[0].select("_group", "_spread")
+        for w in waiting[1:]:
+            still = still.unionByName(w.select("_group", "_spread"))
+        still = still.distinct()
+        done = placed.join(still, "_group", "left_anti").agg(F.count_distinct("_group", "_shard") - F.count_distinct("_group")).first()[0]
+        return done + (still.agg(F.sum(F.col("_spread") - 1)).first()[0] or 0)
+
+    large, small = parts.filter(F.col("_members") > share), parts.filter(F.col("_members") <= share)
+    for stage, others in ((large, [small]), (small, [])):
+        left, ask = stage, "neighbours" if stage is small else "rooms"
+        while count := left.count():
+            rooms = _rooms(quotas, placed)
+            left = go(_ask_neighbours(left, rooms, buckets) if ask == "neighbours" else _ask_rooms(left, rooms, buckets) if ask == "rooms" else _ask_in_turn(left, rooms))
+            history.append(cut([left, *others]))
+            log.info("asked %s: %d parts, cut %d to %d", ask, count, history[-2], history[-1])
+            ask = "rooms" if ask == "neighbours" else "turn"
+    return placed.groupBy("_group", "_shard").agg(F.sum("_n").alias("_n")), history
 
 
 def balanced_label_propagation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -76,7 +118,7 @@ def balanced_label_propagation(docs: DataFrame, id_col: str = "doc_id", text_col
 
     Size is the text's UTF-8 bytes plus 16; a null text counts as empty and is linked with empty
     texts. Shards differ by one row at most, whatever the groups; a text with more copies than a
-    shard has room for is spread over those with most room. Repeated rows and null
+    shard has room for is spread over as few as the rounds find. Repeated rows and null
     identifiers are rows like any other. An empty table gives an empty result. grown_shard is null,
     as the law is not `key`.
     """
@@ -100,20 +142,10 @@ def balanced_label_propagation(docs: DataFrame, id_col: str = "doc_id", text_col
     dealt = base.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int"))
     per_bucket = materialize(dealt.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n")))
     linked = materialize(per_bucket.groupBy("_group").agg(F.sum("_n").alias("_members")).filter("_members > 1"))
-    # A row per number of copies: fewer than the square root of twice the rows.
-    sizes = [tuple(r) for r in linked.groupBy("_members").agg(F.count(F.lit(1))).collect()]
-    plan = first_fit(sizes, [rows // shards + (k < rows % shards) for k in range(shards)])
-    plan = spark.createDataFrame(plan, "_size bigint, _from bigint, _to bigint, _shard int, _n bigint")
-    ranked = running_sum(linked, ["_members"], ["_group"], "_rank", buckets)
-    fits = (F.col("_members") == F.col("_size")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    pieces = materialize(ranked.join(F.broadcast(plan), fits).select("_group", "_shard", "_n"))
-    left = pieces.count()
-    while True:
-        moved = materialize(_propagate(pieces, quotas, buckets))
-        before, left = left, moved.count()
-        if left >= before:
-            break
-        pieces = moved
+    spread = per_bucket.join(linked, "_group", "left_semi").groupBy("_group", F.pmod("_bucket", F.lit(shards)).cast("int").alias("_shard")).agg(F.sum("_n").alias("_n"))
+    members = linked.agg(F.sum("_members")).first()[0] or 0
+    pieces, _ = propagate(materialize(spread), quotas, rows - members, shards, buckets)
+    pieces = materialize(pieces)
 
     # Copies are interchangeable: the n-th copy of a text goes to the piece that holds n.
     running = Window.partitionBy("_group").orderBy("_shard").rowsBetween(Window.unboundedPreceding, 0)
