@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     class train the dictionaries, of the other `calibration_rows` of all classes, in their natural
     shares, calibrate. Of these, documents with more than `max_chars` characters are left out, so a
     class may learn from fewer. Documents labelled more than once count once, with the highest label;
-    null labels and identifiers are left out. With a class or all labels missing the score is a constant.
+    of rows that repeat an identifier one text counts, the first by a hash; null labels and identifiers are left out. With a class or all labels missing the score is a constant.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
@@ -127,7 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = [(r["_id"], r["_label"], role) for role, most, wanted in roles for r in known.filter(wanted).orderBy("_order", "_id").limit(most).collect()]
     chosen = F.broadcast(spark.createDataFrame(picked, f"_id {kind}, _label int, _role string"))
     texts = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).filter(F.length("_text") <= max_chars)
-    sample = materialize(texts.join(chosen, "_id").select(F.col("_label").cast("bigint").alias("_label"), "_role", "_text"))
+    # One text per identifier, however often it repeats: of several the first by a hash.
+    single = texts.join(chosen, "_id").groupBy("_id", "_label", "_role").agg(F.min(F.struct(F.xxhash64("_text").alias("_h"), "_text"))["_text"].alias("_text"))
+    sample = materialize(single.select(F.col("_label").cast("bigint").alias("_label"), "_role", "_text"))
 
     trained = sample.filter("_role <> 'calibrate'").select("_role", "_text").collect()
     by_role = {role: sorted(r["_text"].encode("utf-8", "surrogatepass") for r in trained if r["_role"] == role) for role in ("bad", "good")}

@@ -715,3 +715,12 @@ def test_cross_entropy_edges(spark, edges):
 
 def test_duckdb_is_there():
     assert duckdb.sql("SELECT 1").fetchall() == [(1,)]
+
+
+def test_classifier_collects_one_text_per_identifier(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i} {c}") for i in range(60) for c in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen, train = [], compression.train_dictionary
+    monkeypatch.setattr(compression, "train_dictionary", lambda texts: seen.append(len(texts)) or train(texts))
+    model = compression.fit(docs, labels, train_rows=5)
+    assert seen == [5, 5] and model == compression.fit(docs.repartition(7), labels, train_rows=5)
