@@ -47,6 +47,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, evaluated once into a compressed table of the shared folder and read from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A narrow, materialized side of a join: for broadcast if it has at most so many rows, else to be shuffled."""
     return F.broadcast(df) if df.count() <= rows else df

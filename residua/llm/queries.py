@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, compression, packing, quality_rules as rules, url_filters, warc
-from .common import SPACE_REGEX, WORD_REGEX, let, limit_batches, materialize, scratch_path, table as read_table, whole
+from .common import SPACE_REGEX, WORD_REGEX, let, limit_batches, scratch_path, stored, table as read_table, whole
 from .best_fit import pack_best_fit
 from .cross_entropy import cross_entropy_difference
 from .exact_dedup import content_sort_dedup
@@ -67,10 +67,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "archives")
-    warc.write_archives(table(spark, sf_dir, "pages"), path)
-    # Read once: what is kept are digests and the few records that lie in segments.
-    read = materialize(warc.reassemble(materialize(warc.read_records(spark, path, payloads=False)), payloads=False))
+    path, pages = scratch_path(spark, "archives"), table(spark, sf_dir, "pages")
+    warc.write_archives(pages, path)
+    # Read once: what is kept are digests, and the blocks of records that lie in segments.
+    records = stored(warc.read_records(spark, path, payloads=False, ids=warc.id_kind(pages)), "records")
+    read = stored(warc.reassemble(records, payloads=False), "reassembled")
     sizes = read.filter("kind = 'response'").groupBy(F.col("page").alias("_page"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
     joined = read.join(sizes, (F.col("kind") == "revisit") & (F.col("refers_to") == F.col("_page")) & (F.col("stated") == F.col("_digest")), "left")
     return joined.select(
@@ -194,7 +195,7 @@ FROM p
 """
 
 _HOST_RULES = ", ".join(f"({_quoted(action)}, {_quoted(host)}, {_quoted(path)})" for action, host, path in url_filters.HOST_RULES)
-_LISTED = {action: " OR ".join(f"regexp_matches(low, {_quoted(x.pattern)})" for x in url_filters.default_rules() if not x.ranked and x.action == action) for action in ("block", "allow")}
+_LISTED = {action: " OR ".join(f"regexp_matches(low, {_quoted(x.pattern.replace(url_filters.END, chr(92) + 'z'))})" for x in url_filters.default_rules() if not x.ranked and x.action == action) for action in ("block", "allow")}
 
 OP10_SQL = f"""
 WITH cut AS (

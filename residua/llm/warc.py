@@ -16,15 +16,17 @@ import io
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, slices, small_side
 
-SEGMENT_BYTES = 32_768
+SEGMENT_BYTES = 4096
 FILE_RECORDS = 4096
 CHUNK_BYTES = 4096
 #: Payloads below this size are never revisits.
@@ -64,18 +66,28 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return VERSION + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
+def quoted(page_id: int | str | None) -> str | None:
+    """An identifier as a header and a record's identifier hold it: without colons, spaces and line ends."""
+    return None if page_id is None else quote(str(page_id), safe="")
+
+
+def record_id(page_id: int | str | None, digest: str) -> str:
     """The same for each record of a page's payload, so that a revisit can name its response."""
-    return f"<urn:page:{page_id}:{digest}>"
+    return f"<urn:page:{quoted(page_id)}:{digest}>"
+
 
+def id_kind(pages: DataFrame, id_col: str = "page_id") -> str:
+    """How archives hold the identifiers: whole numbers as bigint, all others as their text."""
+    return "bigint" if isinstance(pages.schema[id_col].dataType, T.IntegralType) else "string"
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, copy: str, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
+
+def page_records(page_id: int | str | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | str | None, copy: str, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
     """The records of one page: a revisit, or a response in as many segments as it needs.
 
     `copy` tells apart the segments of rows that repeat a page, whose records have the same identifier.
     """
     own = record_id(page_id, digest)
-    about = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", "".join(c for c in url or "" if c >= " ")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Page-Id", page_id)]
+    about = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", "".join(c for c in url or "" if c >= " ")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Page-Id", quoted(page_id))]
     if kind == "revisit":
         more = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("Content-Type", "application/http;msgtype=response")]
         yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:revisit:{copy}>"), *about, *more], b"HTTP/1.1 200 OK\r\n\r\n")
@@ -103,9 +115,9 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     where these are many the pages are shuffled, and a payload that very many share is a hot key that
     AQE splits.
     """
-    payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("bigint").alias("_page"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload"))
-    alone = lambda df: df.select("_page", "_url", "_payload", F.sha1("_payload").alias("_digest"), F.lit("response").alias("_kind"), F.lit(None).cast("bigint").alias("_refers_to"))
+    payload, kind = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary"), id_kind(pages, id_col)
+    rows = pages.select(F.col(id_col).cast(kind).alias("_page"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload"))
+    alone = lambda df: df.select("_page", "_url", "_payload", F.sha1("_payload").alias("_digest"), F.lit("response").alias("_kind"), F.lit(None).cast(kind).alias("_refers_to"))
     large = rows.filter(F.octet_length("_payload") >= REVISIT_BYTES).withColumn("_key", F.sha2("_payload", 256))
     first = large.groupBy("_key").agg(F.max("_page").alias("_first"), F.count(F.lit(1)).alias("_copies")).filter("_copies > 1").drop("_copies")
     revisit = F.col("_first").isNotNull() & ~F.col("_page").eqNullSafe(F.col("_first"))
@@ -119,8 +131,9 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment: int = SEGMENT_BYTES) -> None:
     """Write a record (or segments) per row of pages under `path`.
 
-    A null html is an empty payload; null ids and urls leave their fields out or empty. Repeated rows
-    are written each. An empty table writes no record.
+    A null html is an empty payload; null ids and urls leave their fields out or empty. Identifiers may
+    be of any type (see id_kind); the largest of those that are no numbers is the last as text. Repeated
+    rows are written each. An empty table writes no record.
     """
 
     run = uuid.uuid4().hex
@@ -190,6 +203,11 @@ SEGMENT = "origin string, copy string, number int, total bigint, block binary"
 _TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
+def record_schema(ids: str) -> str:
+    """RECORD with identifiers of that type."""
+    return RECORD.replace("page bigint, refers_to bigint", f"page {ids}, refers_to {ids}")
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
     columns = zip(*rows, strict=True) if rows else [()] * len(names)
@@ -207,8 +225,13 @@ def _decoded(kind: str, page: int | None, refers_to: int | None, stated: str | N
     return kind, page, refers_to, stated, payload if payloads else None, len(payload), digest, problem
 
 
-def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row per response, revisit and segment of the archives under `path`: RECORD, then SEGMENT.
+def _page(text: str | None, ids: str) -> int | str | None:
+    """An identifier from a header; `ids` is bigint or string. One that is no number is null among numbers."""
+    return _number(text) if ids == "bigint" else unquote(text) if text is not None else None
+
+
+def read_records(spark: SparkSession, path: str, payloads: bool = True, ids: str = "bigint") -> DataFrame:
+    """A row per response, revisit and segment of the archives under `path`: RECORD (with identifiers as `ids`), then SEGMENT.
 
     Records in one piece are decoded here and have no `number`; of segments the block is handed on.
     Records of other types are left out. An archive that is broken gives the records before the
@@ -223,7 +246,7 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 if not segment and kind not in ("response", "revisit"):
                     continue
                 refers = f.get("warc-refers-to", "").removeprefix("<urn:page:").partition(":")[0]
-                about = kind, _number(f.get("page-id")), _number(refers), f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                about = kind, _page(f.get("page-id"), ids), _page(refers if "warc-refers-to" in f else None, ids), f.get("warc-payload-digest", "").removeprefix("sha1:") or None
                 total = _number(f.get("warc-segment-total-length"))
                 if segment:
                     origin = f.get("warc-segment-origin-id") or f.get("warc-record-id") or ""
@@ -240,12 +263,13 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 for row in rows(name, content.as_py()):
                     held.append(row)
                     if len(held) == 64:
-                        yield _batch(held, f"{RECORD}, {SEGMENT}")
+                        yield _batch(held, schema)
                         held = []
-                yield _batch(held, f"{RECORD}, {SEGMENT}")
+                yield _batch(held, schema)
 
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
-    return files.mapInArrow(read, f"{RECORD}, {SEGMENT}")
+    schema = f"{record_schema(ids)}, {SEGMENT}"
+    return files.mapInArrow(read, schema)
 
 
 def reassemble(records: DataFrame, payloads: bool = True) -> DataFrame:
@@ -259,6 +283,8 @@ def reassemble(records: DataFrame, payloads: bool = True) -> DataFrame:
     part = F.struct("number", "total", "kind", "page", "refers_to", "stated", "block")
     grouped = records.filter("number is not null").groupBy("origin", "copy").agg(F.sort_array(F.collect_list(part)).alias("parts"))  # the segments of one record
 
+    schema = record_schema(records.schema["page"].dataType.simpleString())
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -266,11 +292,11 @@ def reassemble(records: DataFrame, payloads: bool = True) -> DataFrame:
                 first = parts[0]
                 if first["kind"] in ("response", "continuation"):
                     about = "response", first["page"], first["refers_to"], first["stated"]
-                    yield _batch([_decoded(*about, [p["number"] for p in parts], parts[-1]["total"], [p["block"] for p in parts], payloads)], RECORD)
+                    yield _batch([_decoded(*about, [p["number"] for p in parts], parts[-1]["total"], [p["block"] for p in parts], payloads)], schema)
 
-    return whole.unionByName(grouped.select("parts").mapInArrow(join, RECORD))
+    return whole.unionByName(grouped.select("parts").mapInArrow(join, schema))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, ids: str = "bigint") -> DataFrame:
     """Every response and revisit under `path`, reassembled."""
-    return reassemble(read_records(spark, path))
+    return reassemble(read_records(spark, path, ids=ids))

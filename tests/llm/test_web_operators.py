@@ -64,6 +64,28 @@ def test_warc_edges(spark, pages, tmp_path):
     warc.write_archives(pages.filter("false"), str(tmp_path / "none"))
 
 
+def test_the_query_reassembles_segments(spark, monkeypatch):
+    from residua.llm import queries
+
+    seen, reassemble = [], warc.reassemble
+    monkeypatch.setattr(warc, "reassemble", lambda records, **more: seen.append(records) or reassemble(records, **more))
+    found = queries.op9_warc(spark, oracle.DATA).collect()
+    segments = seen[0].filter("number is not null")
+    assert segments.select("origin", "copy").distinct().count() > 40 and segments.count() > 100
+    assert all(r["problem"] is None for r in found) and len(found) == 250
+
+
+def test_identifiers_of_any_type(spark, tmp_path):
+    ids = ["a:b", " x\r\ny ", "", "é%41", None, "7", "7"]
+    text = ["<p>" + "z" * n for n in (5000, 5000, 10, 9000, 20, 1200, 1200)]
+    pages = spark.createDataFrame(list(zip(ids, text, strict=True)), "page_id string, html string").withColumn("url", F.lit("http://x"))
+    warc.write_archives(pages, str(tmp_path / "a"), segment=1000)
+    found = warc.read_archives(spark, str(tmp_path / "a"), ids=warc.id_kind(pages)).collect()
+    assert sorted((r["page"], r["kind"], r["refers_to"]) for r in found if r["page"] is not None) == [("", "response", None), (" x\r\ny ", "revisit", "a:b"), ("7", "response", None), ("7", "response", None), ("a:b", "response", None), ("é%41", "response", None)]
+    assert sum(r["page"] is None for r in found) == 1 and all(r["problem"] is None for r in found)
+    assert warc.id_kind(pages) == "string" and warc.id_kind(spark.range(1).withColumnRenamed("id", "page_id")) == "bigint"
+
+
 def test_revisits_name_a_record_that_is_there(spark, pages, tmp_path):
     path = str(tmp_path / "archives")
     warc.write_archives(pages, path)
@@ -210,6 +232,13 @@ def test_ten_thousand_rules_through_the_index_equal_all_of_them(spark, tmp_path)
     assert sum(r["candidates"] - always for r in found.values()) < 0.05 * len(urls) * len(rules)
 
 
+def test_line_feeds_in_urls(spark):
+    rules = url_filters.list_rules(["*a*b|", "||end.org^", "||other.org|"])
+    pages = spark.createDataFrame([(1, "http://xa\nb"), (2, "http://xab\n"), (3, "http://xab"), (3, "http://xab"), (4, "http://end.org\n"), (5, "http://other.org\n"), (6, "http://other.org")], "page_id long, url string")
+    found = sorted((r["page_id"], r["verdict"]) for r in url_filters.filter_urls(pages, rules).collect())
+    assert found == [(1, "block"), (2, "allow"), (3, "block"), (3, "block"), (4, "block"), (5, "allow"), (6, "block")]
+
+
 def test_only_ascii_letters_are_folded(spark):
     rules = url_filters.list_rules(["^casino^", "@@^CASINO^ok^", "^Kelvin^"])
     urls = ["http://x.org/CaSiNo/", "http://x.org/caſino/", "http://x.org/casino/OK/", "http://x.org/\u212aelvin/", "http://x.org/KELVIN"]
