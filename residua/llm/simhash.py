@@ -329,7 +329,10 @@ def _settle(blocks: DataFrame, columns: Sequence[str], similarity: float) -> Dat
 
 
 def _paired(first: DataFrame, second: DataFrame) -> DataFrame:
-    return first.select("component", F.col("_nodes").alias("_na")).join(second.select("component", F.col("_nodes").alias("_nb")), "component")
+    """Each block of `first` with each block of `second` of its group, joined by group and block: a giant group's pairs lie in as many tasks as it has blocks."""
+    pairs = first.select("component", F.col("_block").alias("_a")).join(second.select("component", F.col("_block").alias("_b")), "component")
+    left, right = first.select("component", F.col("_block").alias("_a"), F.col("_nodes").alias("_na")), second.select("component", F.col("_block").alias("_b"), F.col("_nodes").alias("_nb"))
+    return pairs.join(left, ["component", "_a"]).join(right, ["component", "_b"]).select("component", "_na", "_nb")
 
 
 def verified_components(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, words: int, similarity: float, block: int = BLOCK_SHINGLES) -> DataFrame:
