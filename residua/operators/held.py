@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import ConfigError
+from ..sources.committed import located
 
 
 @contextmanager
@@ -56,3 +59,21 @@ def materialized(rows: DataFrame) -> DataFrame:
     path = scratch_path(rows.sparkSession, "rows")
     rows.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
+
+
+def drop_scratch(spark: SparkSession, older_than: float = 86_400.0) -> list[str]:
+    """Remove what scratch paths left in the shared folder more than `older_than` seconds ago; the names.
+
+    Frames that were made from it can then no longer be read, so it must be older than any job that runs.
+    Other files of the folder stay.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return []
+    store, own = located(folder)
+    limit = time.time() - older_than
+    found = [x for x in store.get_file_info(fs.FileSelector(own, allow_not_found=True)) if x.type == fs.FileType.Directory and re.fullmatch(r".+-[0-9a-f]{32}", x.base_name)]
+    gone = sorted(x.base_name for x in found if x.mtime and x.mtime.timestamp() < limit)
+    for name in gone:
+        store.delete_dir(f"{own}/{name}")
+    return gone

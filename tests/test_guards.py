@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from residua import contracts
 from residua.functions import scalar
-from residua.operators import depth, metrics, preprocess, runs, thresholds, validate
+from residua.operators import choose, depth, held, metrics, preprocess, runs, thresholds, validate
 from residua.sources import artifacts, committed, volume_source, volumes
 
 
@@ -104,3 +104,26 @@ def test_axes_scales_and_chunks(spark):
     assert sorted(r[0] for r in depth.explicit_depths(slices, 3, 6).collect()) == [3, 4, 5, 6]
     epochs = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None), ("b", None)], "k string, loss double")
     assert {r["k"]: r["mean_loss"] for r in runs.mean_loss(epochs, "k", "loss").collect()} == {"a": 1.5, "b": None}
+
+
+def test_thresholds_by_configuration(spark):
+    rows = spark.createDataFrame([("a", i, float(i)) for i in range(10)] + [("a", 10, float("nan"))], "k string, flat long, residual double").filter("not isnan(residual)")
+    flagged = lambda node: sorted(r["flat"] for r in choose.from_config(node)(rows, "k", "flat").filter("flagged").collect())
+    assert flagged({"target": "percentile", "params": {"percentile": 80.0}}) == [8, 9]
+    assert flagged({"target": "absolute", "params": {"value": 6.5}}) == [7, 8, 9]
+    assert flagged({"target": "otsu"}) == sorted(r["flat"] for r in thresholds.otsu_mask(rows, "k").filter("flagged").collect())
+    for bad in ({"target": "os.system"}, {"target": "percentile"}, {"target": "absolute", "params": {"value": 1, "voxels": 2}}, {"target": "otsu", "then": 1}, {}):
+        with pytest.raises(contracts.ConfigError):
+            choose.from_config(bad)
+
+
+def test_scratch_is_dropped_when_old(spark):
+    path = held.scratch_path(spark, "rows")
+    spark.range(3).write.parquet(path)
+    own = path.removeprefix("file:")
+    kept = os.path.join(os.path.dirname(own), "kept-by-hand")
+    os.makedirs(kept, exist_ok=True)
+    assert os.path.basename(path) not in held.drop_scratch(spark)
+    os.utime(own, (1, 1))
+    assert os.path.basename(path) in held.drop_scratch(spark)
+    assert not os.path.exists(own) and os.path.exists(kept)

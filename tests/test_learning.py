@@ -89,7 +89,7 @@ def test_cross_validation_reads_its_input_once(spark, samples, tmp_path):
     scored = cv.boosted_oof(counted, ["a", "b", "c"], "y", "fold", ["id"], max_iter=3)
     found = {r["id"]: r["y_score"] for r in scored.collect()}
     assert read.value == 240 and len(found) == 240
-    assert not counted.storageLevel.useMemory and "InMemory" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert not counted.storageLevel.useMemory and "InMemoryTableScan" not in scored._jdf.queryExecution().executedPlan().toString()
     assembled = VectorAssembler(inputCols=["a", "b", "c"], outputCol="_f").transform(samples)
     weights = {r[0]: r[1] for r in cv.scale_pos_weight(samples, "fold", "y").collect()}
     for f in range(4):
