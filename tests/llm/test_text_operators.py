@@ -724,3 +724,30 @@ def test_classifier_collects_one_text_per_identifier(spark, monkeypatch):
     monkeypatch.setattr(compression, "train_dictionary", lambda texts: seen.append(len(texts)) or train(texts))
     model = compression.fit(docs, labels, train_rows=5)
     assert seen == [5, 5] and model == compression.fit(docs.repartition(7), labels, train_rows=5)
+
+
+def test_near_components_of_a_whole_table_equal_brute_force(spark, docs, all_texts):
+    """All links at 0.8 or more, found by the rarest shingles of each text, which miss none."""
+    sets = {d: frozenset(simhash.shingles(t, 5)) for d, t in all_texts.items()}
+    often = Counter(s for own in sets.values() for s in own)
+    filed, parent, long_links = {}, {d: d for d in sets}, 0
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for d in sorted(sets, key=lambda d: len(sets[d])):
+        own = sets[d]
+        first = sorted(own, key=lambda s: (often[s], s))[: len(own) - -(-4 * len(own) // 5) + 1]
+        for other in {o for s in first for o in filed.get(s, ())}:
+            common = len(own & sets[other])
+            if own and 5 * common >= 4 * (len(own) + len(sets[other]) - common):
+                a, b = root(d), root(other)
+                parent[max(a, b)] = min(a, b)
+                long_links += min(len(own), len(sets[other])) > simhash.SHORT_SHINGLES
+        for s in first:
+            filed.setdefault(s, []).append(d)
+    found = {r["node"]: r["component"] for r in simhash.near_components(docs).collect()}
+    assert {d: found.get(d, d) for d in sets} == {d: root(d) for d in sets}
+    assert long_links > 50
