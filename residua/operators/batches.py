@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..contracts import ConfigError, DataError
-from .prefix import ranked_by
+from .prefix import key_number, ranked_by
 from .validate import require_range, require_shape
 
 SPLITS = ("train", "val", "test")
 
 
-def key_number(items: DataFrame, key: str) -> Column:
-    """A number that never falls as the key rises: the key itself, or the first seven bytes in which string keys differ."""
-    if not isinstance(items.schema[key].dataType, T.StringType):
-        return F.col(key)
-    low, high = items.agg(F.min(key), F.max(key)).first()
-    shared = len(os.path.commonprefix([low or "", high or ""]))
-    part = F.hex(F.encode(F.substring(key, shared + 1, 7), "UTF-8"))
-    return F.conv(F.rpad(F.substring(part, 1, 14), 14, "0"), 16, 10).cast("bigint")
-
-
 def epoch_batches(items: DataFrame, key: str, split: str, size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
     """Items with their `batch` and `place` in it, from 0: training items in order of a hash of seed, epoch and key, others by the key.
 

@@ -11,10 +11,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import ArtifactError, ConfigError
+from ..contracts import SLICE_SCORE, ArtifactError, ConfigError
 from ..functions import scalar
 from . import compare, ranks
-from ..sources.committed import save_document, write_text
+from ..sources.committed import read_file, save_document, write_text
 from .held import materialized
 from .report import markdown_table, save_csv, save_report
 
@@ -179,3 +179,71 @@ def save_slice_tuning(tuned: DataFrame, path: str, split: str) -> None:
     if split != "val":
         raise ConfigError(f"thresholds are chosen on val, not on {split}")
     save_report(tuned.withColumn("split", F.lit(split)).orderBy("threshold"), f"{path}/val/slice_thresholds.csv", ["threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "split"])
+
+
+def save_slice_scores(rows: DataFrame, path: str) -> None:
+    """slice_scores.csv with the stored columns of slice scores, a row per slice, as Spark writes it."""
+    save_csv(rows, f"{path}/slice_scores.csv", rows.sparkSession.createDataFrame([], SLICE_SCORE).columns)
+
+
+def save_legacy(found: DataFrame, path: str, run_id: str, model: str, loss: str) -> None:
+    """legacy_compat.json: the one row of the old protocol's result, with the run, model and loss that it is of."""
+    named = found.select("*", *(F.lit(v).alias(k) for k, v in (("run_id", run_id), ("model", model), ("loss", loss))))
+    if named.count() != 1:
+        raise ArtifactError("the result of the old protocol is one row")
+    save_document(named, f"{path}/legacy_compat.json")
+
+
+def _stored(path: str, name: str) -> dict:
+    """A stored document; absent and malformed ones are errors."""
+    content = read_file(f"{path}/{name}")
+    if content is None:
+        raise ArtifactError(f"no {name} at {path}")
+    try:
+        return json.loads(content)
+    except ValueError as error:
+        raise ArtifactError(f"malformed {name} at {path}: {error}") from error
+
+
+def _table(head: Sequence[str], rows: Sequence[Sequence[str]]) -> str:
+    return "\n".join("| " + " | ".join(r) + " |" for r in [head, ["---"] * len(head), *rows])
+
+
+def _number(value: float | None, places: int, signed: bool = False) -> str:
+    return "n/a" if value is None else f"{value:{'+' if signed else ''}.{places}f}"
+
+
+def save_aggregate_summary(path: str) -> None:
+    """summary.md beside a stored aggregate.json, from that document alone: headline and context apart, the change signed."""
+    held = _stored(path, "aggregate.json")
+    spread = lambda part: _table(["metric", "mean", "deviation"], [[m, *(_number(held[part][m][s], PLACES[m]) for s in ("mean", "std"))] for m in sorted(PLACES) if m in held[part]])
+    try:
+        delta = held["baseline_delta"]
+        told = ", ".join(f"{name} {held[name]}" for name in ("mode", "split", "n_volumes", "split_hash", "run_id", "results_run_id"))
+        change = f"Dice {_number(delta['corrected'], 4)}, published {_number(delta['published'], 4)}: {_number(delta['delta'], 4, signed=True)}."
+        parts = [f"# {held['cell_id']}", told, "## Headline", spread("headline"), change, "## Context only", spread("context_only"), held["context_only"]["note"]]
+    except KeyError as missing:
+        raise ArtifactError(f"aggregate.json at {path} lacks {missing}") from missing
+    write_text(f"{path}/summary.md", "\n\n".join(parts) + "\n")
+
+
+def save_classical_summary(path: str) -> None:
+    """summary.md beside a stored classical_metrics.json, from that document alone."""
+    held = _stored(path, "classical_metrics.json")
+    try:
+        balance, headline, floor = held["class_balance"], held["headline"], held["baselines"]
+        rows = [[m, _number(headline[f"{m}_mean"], 4), _number(headline[f"{m}_std"], 4), _number(f, 4)] for m, f in (("roc_auc", floor["roc_auc_majority"]), ("pr_auc", floor["pr_auc_prevalence_mean"]))]
+        counts = f"{held['counts']['n_samples']} samples, {balance['n_positive']} positive ({_number(balance['positive_rate'], 4)}); run {held['run_id']}, split {held['split']['split_hash']}" + ("." if held["complete"] else "; not complete.")
+        parts = [f"# Classical baseline, {held['granularity']}", counts, _table(["metric", "mean of folds", "deviation", "without skill"], rows)]
+    except KeyError as missing:
+        raise ArtifactError(f"classical_metrics.json at {path} lacks {missing}") from missing
+    write_text(f"{path}/summary.md", "\n\n".join(parts) + "\n")
+
+
+def scorecard_block(card: DataFrame, split_hash: str | None) -> str:
+    """The Markdown of a scorecard (metric, value, source, na_reason), to be put between the markers of a page; rows are metrics, thus few."""
+    rows = card.orderBy("metric").collect()
+    shown = [[r["metric"], _number(r["value"], 4) if r["value"] is not None else f"n/a ({r['na_reason'] or 'not recorded'})"] for r in rows]
+    sources = sorted({r["source"] for r in rows if r["value"] is not None and r["source"]})
+    counted = f"{sum(r['value'] is not None for r in rows)} of {len(rows)} metrics have a value; split {split_hash or 'n/a'}; from {', '.join(sources) or 'no file'}."
+    return f"{_table(['metric', 'value'], shown)}\n\n{counted}"

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import CHUNK_DEPTH, RANGE_EPS, ConfigError, DataError
 from ..functions import scalar
+from .held import materialized
+from .prefix import key_number, ranked_by
 
 
 def permute_axes(voxels: DataFrame, order: Sequence[str], names: Sequence[str] = ("z", "y", "x")) -> DataFrame:
@@ -90,10 +92,10 @@ def require_whole_chunks(slices: DataFrame, key: str = "subject", depth: int = C
 
 
 def chunk_offsets(slices: DataFrame, key: str = "subject", depth: int = CHUNK_DEPTH) -> DataFrame:
-    """Chunks of each volume and the number of chunks before it in key order: a row per volume."""
-    counts = slices.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / depth).cast("bigint").alias("n_chunks"))
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first_chunk", F.coalesce(F.sum("n_chunks").over(before), F.lit(0)).cast("bigint"))
+    """Chunks of each volume and the number of chunks before it in key order: a row per volume, summed by buckets of the key."""
+    counts = materialized(slices.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / depth).cast("bigint").alias("n_chunks")))
+    ranked = ranked_by(counts.withColumn("_order", key_number(counts, key)), [], "_order", [F.col(key)], weight="n_chunks")
+    return ranked.select(key, "n_chunks", F.col("_before").cast("bigint").alias("first_chunk"))
 
 
 def locate_chunk(offsets: DataFrame, index: int, key: str = "subject") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .held import materialized
-from .prefix import cumulative
+from .prefix import cumulative, ranked_by
 
 
 def average_ranks(rows: DataFrame, value: str, out: str, declared: bool = False) -> DataFrame:
@@ -37,9 +37,9 @@ def top_k_per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Column
 
 
 def feature_rank(features: DataFrame, name: str, gain: str) -> DataFrame:
-    """Features by mean gain, highest first, ties by name: one row per feature, of which there are few."""
-    order = Window.orderBy(F.col(gain).desc(), F.col(name))
-    return features.withColumn("rank", F.row_number().over(order))
+    """Features by mean gain, highest first, ties by name; a rank of all features, placed by buckets of the gain."""
+    placed = ranked_by(materialized(features), [], gain, [F.col(name)], descending=True)
+    return placed.withColumn("rank", (F.col("_before") + 1).cast("int")).drop("_before", "_all")
 
 
 def mean_importance(gains: DataFrame, name: str = "feature", fold: str = "fold", gain: str = "gain") -> DataFrame:

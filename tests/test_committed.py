@@ -200,3 +200,58 @@ def test_newest_run_holds_a_file(spark, tmp_path):
             artifacts.newest_run(spark, root, **bad)
     with pytest.raises(contracts.ArtifactError):
         artifacts.newest_run(spark, str(tmp_path / "nowhere"))
+
+
+def test_summaries_come_from_stored_documents(spark, tmp_path):
+    with pytest.raises(contracts.ArtifactError, match="no aggregate.json"):
+        documents.save_aggregate_summary(str(tmp_path))
+    frame = spark.createDataFrame([(0.6, 0.5, 20.0, 0.9)], "dice double, iou double, psnr_db double, ssim double")
+    identity = {"mode": "recon", "model": "unetr", "loss": "mse", "split": "test", "split_hash": "h", "run_id": "r", "results_run_id": "s"}
+    report.save_aggregate(metrics.aggregate_metrics(frame, ["dice", "iou", "psnr_db", "ssim"]), 0.65, identity, str(tmp_path))
+    documents.save_aggregate_summary(str(tmp_path))
+    text = (tmp_path / "summary.md").read_text()
+    assert text.startswith("# unetr__mse\n") and "| dice | 0.6000 | 0.0000 |" in text and "published 0.6500: -0.0500." in text
+    assert text.index("| dice |") < text.index("## Context only") < text.index("| psnr_db | 20.00 |")
+    (tmp_path / "aggregate.json").write_text("{}")
+    with pytest.raises(contracts.ArtifactError, match="lacks"):
+        documents.save_aggregate_summary(str(tmp_path))
+    (tmp_path / "classical_metrics.json").write_text("[")
+    with pytest.raises(contracts.ArtifactError, match="malformed"):
+        documents.save_classical_summary(str(tmp_path))
+    folds = spark.createDataFrame([(0, 4, 1, 0.25, 0.5, 0.5)], "fold int, n_test long, n_test_positive long, positive_rate double, roc_auc double, pr_auc double")
+    sections = {name: dict.fromkeys(fields, 8) for name, fields in documents.SECTIONS.items()}
+    documents.save_classical(folds, str(tmp_path), "r", 42, False, sections, subject_limit=3)
+    documents.save_classical_summary(str(tmp_path))
+    text = (tmp_path / "summary.md").read_text()
+    assert "8 samples, 1 positive (0.2500)" in text and "not complete" in text and "| pr_auc | 0.5000 | 0.0000 | 0.2500 |" in text
+
+
+def test_scorecard_block_and_small_documents(spark, tmp_path):
+    card = spark.createDataFrame([("b", None, None, "not measured"), ("a", 0.5, "a.json", None), ("c", None, "c.json", None)], "metric string, value double, source string, na_reason string")
+    block = documents.scorecard_block(card, None)
+    assert "| a | 0.5000 |\n| b | n/a (not measured) |\n| c | n/a (not recorded) |" in block and block.endswith("1 of 3 metrics have a value; split n/a; from a.json.")
+    assert documents.scorecard_block(card, "h") in report.splice("x <!-- b --> <!-- e --> y", documents.scorecard_block(card, "h"), "<!-- b -->", "<!-- e -->")
+    scores = spark.createDataFrame([("v", 1, 3, 16, 0.1875, 0.5, 1, "more")], f"{contracts.SLICE_SCORE}, extra string")
+    documents.save_slice_scores(scores, str(tmp_path))
+    assert artifacts.read_csv(spark, f"{tmp_path}/slice_scores.csv", contracts.SLICE_SCORE).first()["flagged_voxels"] == 3
+    documents.save_legacy(spark.createDataFrame([(0.5, 3)], "dice double, n int"), str(tmp_path), "r", "m", "l")
+    assert json.loads((tmp_path / "legacy_compat.json").read_text()) == {"dice": 0.5, "n": 3, "run_id": "r", "model": "m", "loss": "l"}
+    with pytest.raises(contracts.ArtifactError, match="one row"):
+        documents.save_legacy(card, str(tmp_path), "r", "m", "l")
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_offsets_and_ranks_of_many_keys(spark, parts):
+    from residua.operators import preprocess, ranks
+
+    depths = {f"sub-{i:04d}": 1 + i * 7 % 40 for i in range(300)}
+    slices = spark.createDataFrame([(k, z) for k, d in depths.items() for z in range(d)], "subject string, slice_index long").repartition(parts)
+    at, wanted = 0, {}
+    for k in sorted(depths):
+        n = -(-depths[k] // 16)
+        wanted[k] = (n, at)
+        at += n
+    assert {r["subject"]: (r["n_chunks"], r["first_chunk"]) for r in preprocess.chunk_offsets(slices).collect()} == wanted
+    gains = [(f"f{i}", None if i == 7 else (i * 13 % 50) / 10) for i in range(200)]
+    found = [r["name"] for r in ranks.feature_rank(spark.createDataFrame(gains, "name string, gain double").repartition(parts), "name", "gain").orderBy("rank").collect()]
+    assert found == [n for n, g in sorted(gains, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))]
