@@ -100,6 +100,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt over all cores where fewer tasks than cores hold any.
+
+    A file's row group is one task's however the file is split. Where the scan has several tasks a core
+    it is left as it is, unseen; else a job over the footers counts the tasks that have rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores:
+        return df
+    busy = df.select(F.spark_partition_id().alias("_task")).distinct().count()
+    return df.repartition(cores) if 0 < busy < cores else df
+
+
 def limit_batches(spark: SparkSession, rows: int = 512) -> None:
     """For the queries and the pipeline, whose texts may be long: Arrow batches of so many rows at most.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, compression, packing, quality_rules as rules, url_filters, warc
-from .common import SPACE_REGEX, WORD_REGEX, let, limit_batches, scratch_path, stored, table as read_table, whole
+from .common import SPACE_REGEX, WORD_REGEX, let, limit_batches, scratch_path, spread, stored, table as read_table, whole
 from .best_fit import pack_best_fit
 from .cross_entropy import cross_entropy_difference
 from .exact_dedup import content_sort_dedup
@@ -29,7 +29,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules(table(spark, sf_dir, "documents"))
+    judged = quality_rules(spread(table(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
 
 
@@ -47,7 +47,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    coded = bpe.round_trip(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
@@ -89,7 +89,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    packed = pack_best_fit(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
@@ -110,7 +110,7 @@ def repeat_words(docs: DataFrame) -> DataFrame:
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = periodic_runs(repeat_words(table(spark, sf_dir, "documents")))
+    found = periodic_runs(repeat_words(spread(table(spark, sf_dir, "documents"))))
     longest = F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], y["length"] - x["length"]).when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["period"] - y["period"]).cast("int"))
     lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
     return found.withColumn("_most", F.get(longest, F.lit(0))).select(
@@ -126,7 +126,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked_search(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 OP5_SQL = """

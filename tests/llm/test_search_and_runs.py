@@ -293,3 +293,19 @@ def test_search_takes_other_identifiers(spark):
     items = spark.createDataFrame([("q", "red")], "name string, body string")
     found = ranked_search.ranked_search(docs, items, k=2, id_col="key", item_col="name", text_col="body").collect()
     assert [(r["rank"], r["key"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, None), (2, "a")]
+
+
+def test_spread_deals_rows_only_where_cores_are_idle(spark, tmp_path):
+    from residua.llm.common import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spread(spark.read.parquet(str(tmp_path / "one")))
+    assert one.rdd.getNumPartitions() == cores and sorted(r["id"] for r in one.collect()) == list(range(100))
+    many = spark.range(100).repartition(4 * cores)
+    assert spread(many) is many
+    spark.range(100).repartition(2 * cores).write.parquet(str(tmp_path / "some"))
+    some = spark.read.option("maxPartitionBytes", 1).parquet(str(tmp_path / "some"))
+    assert spread(some).count() == 100
+    none = spark.range(100).filter("false")
+    assert spread(none).count() == 0
