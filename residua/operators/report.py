@@ -66,6 +66,20 @@ def aggregate_document(metrics: DataFrame, published: float, identity: Mapping[s
     return metrics.select(*fields, F.col("n").alias("n_volumes"), F.struct(*part(["dice", "iou"])).alias("headline"), F.struct(*part(["psnr_db", "ssim"]), F.lit(CONTEXT_NOTE).alias("note")).alias("context_only"), delta)
 
 
+#: The columns of per_volume.csv, in which metrics that rank nothing say so.
+PER_VOLUME = ("volume_id", "dice", "iou", "psnr_db_context_only", "ssim_context_only")
+
+
+def context_only(rows: DataFrame) -> DataFrame:
+    """The rows of volume metrics with the names under which they are stored."""
+    return rows.withColumnsRenamed({name: f"{name}_context_only" for name in ("psnr_db", "ssim")})
+
+
+def save_per_volume(rows: DataFrame, path: str) -> None:
+    """per_volume.csv: a row per volume, as Spark writes it."""
+    save_csv(context_only(rows), f"{path}/per_volume.csv", PER_VOLUME)
+
+
 def save_aggregate(metrics: DataFrame, published: float, identity: Mapping[str, str | None], path: str) -> None:
     """aggregate.json of a run."""
     save_document(aggregate_document(metrics, published, identity), f"{path}/aggregate.json")

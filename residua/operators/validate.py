@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,3 +91,47 @@ def require_stored(results: object, caller: str) -> str:
     if not isinstance(results, str | os.PathLike):
         raise ConfigError(f"{caller} reads stored results from a path, not from a {type(results).__name__}")
     return os.fspath(results)
+
+
+#: The settings that a study's configuration may take.
+CHOICES = {
+    "donor_alignment": ("same", "random"),
+    "donor_chunk": ("same", "random"),
+    "selection_mode": ("min", "max"),
+    "selection_key": ("val_loss", "val_dice"),
+    "residual_scale": ("per_volume", "per_slice"),
+}
+#: Settings of which a configuration may name one at most, and settings that another one needs.
+EXCLUSIVE = (("warm_start_from", "init_from"),)
+NEEDS = ((("selection_key", "val_dice"), "validate_fn"),)
+
+
+def require_settings(settings: Mapping[str, object]) -> Mapping[str, object]:
+    """The settings, if each known one takes an allowed value, exclusive ones do not meet, and what one needs is there.
+
+    All faults are told at once. Settings that no rule names are left alone.
+    """
+    faults = [f"{name} is one of {allowed}, not {settings[name]!r}" for name, allowed in CHOICES.items() if name in settings and settings[name] not in allowed]
+    faults += [f"{' and '.join(names)} exclude each other" for names in EXCLUSIVE if sum(bool(settings.get(n)) for n in names) > 1]
+    faults += [f"{name}={value!r} needs {other}" for (name, value), other in NEEDS if settings.get(name) == value and settings.get(other) is None]
+    if faults:
+        raise ConfigError("; ".join(faults))
+    return settings
+
+
+def frame_size(width: float, height: float, dpi: int) -> tuple[int, int]:
+    """Pixels of a figure in inches; both must be whole and even, as a video's frames are."""
+    pixels = width * dpi, height * dpi
+    if any(abs(p - round(p)) > 1e-6 or round(p) % 2 or round(p) <= 0 for p in pixels):
+        raise ConfigError(f"a frame of {width} by {height} inches at {dpi} dpi has {pixels} pixels, not even whole numbers")
+    return round(pixels[0]), round(pixels[1])
+
+
+def require_size(slices: DataFrame, key: str, height: int, width: int) -> DataFrame:
+    """The slices, if there are any and all have that height and width; the first volume that differs is told."""
+    seen = slices.agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(key, "height", "width"), F.when((F.col("height") != height) | (F.col("width") != width), F.col(key).cast("string"))).alias("other")).first()
+    if not seen["n"]:
+        raise DataError("no slices: every one was left out, or none was read")
+    if seen["other"] is not None:
+        raise DataError(f"volume {seen['other'][0]!r} has slices of {seen['other']['height']} by {seen['other']['width']}, wanted {height} by {width}")
+    return slices

@@ -23,8 +23,8 @@ class EarlyStopping(StatefulProcessor):
     keeps its state, so that it stops once.
     """
 
-    def __init__(self, patience: int) -> None:
-        self.patience = patience
+    def __init__(self, patience: int, sign: int) -> None:
+        self.patience, self.sign = patience, sign
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -49,7 +49,7 @@ class EarlyStopping(StatefulProcessor):
         out = []
         for (stamp, epoch), (score, scored) in due:
             if not stopped and scored:
-                if best_epoch < 0 or score > best:
+                if best_epoch < 0 or self.sign * score > self.sign * best:
                     best, best_epoch, stale = score, epoch, 0
                 else:
                     stale += 1
@@ -67,17 +67,19 @@ class EarlyStopping(StatefulProcessor):
         pass
 
 
-def stream_stops(epochs: DataFrame, key: str, stamp: str, epoch: str, score: str, patience: int, delay: str = "10 minutes") -> DataFrame:
+def stream_stops(epochs: DataFrame, key: str, stamp: str, epoch: str, score: str, patience: int, delay: str = "10 minutes", mode: str = "max") -> DataFrame:
     """key, stamp, epoch, best, best_epoch of each run at the epoch where `patience` scored epochs in a row have not improved.
 
     `epochs` is a stream; `epoch` counts from 0 within a run. Epochs may arrive in any order within
-    `delay` of the newest one; later ones are not judged. Null and NaN scores never count, a repeated
+    `delay` of the newest one; later ones are not judged. A score improves when it is greater (mode max) or less (min). Null and NaN scores never count, a repeated
     (stamp, epoch) counts once, and a run is reported once. Open runs hold their unjudged epochs in the
     state store, which must be that of RocksDB.
     """
     spark = epochs.sparkSession
     if patience < 1:
         raise ConfigError(f"patience is 1 or more, not {patience}")
+    if mode not in ("min", "max"):
+        raise ConfigError(f"mode is min or max, not {mode!r}")
     if spark.conf.get(PROVIDER) != ROCKS:
         raise ConfigError(f"set {PROVIDER} to {ROCKS}")
     kind = epochs.schema[key].dataType.simpleString()
@@ -85,5 +87,5 @@ def stream_stops(epochs: DataFrame, key: str, stamp: str, epoch: str, score: str
     rows = epochs.withWatermark(stamp, delay).filter(F.col(stamp).isNotNull() & F.col(epoch).isNotNull())
     rows = rows.select(F.col(key).alias("run_key"), F.unix_micros(stamp).alias("stamp_us"), F.col(epoch).cast("bigint").alias("epoch_no"), F.when(scored, F.col(score)).otherwise(0.0).cast("double").alias("score_or_zero"), scored.alias("is_scored"), F.col(stamp).alias("event_time"))
     schema = f"run_key {kind}, stamp timestamp, epoch bigint, best double, best_epoch bigint"
-    stopped = rows.groupBy("run_key").transformWithStateInPandas(EarlyStopping(patience), schema, "append", "eventTime")
+    stopped = rows.groupBy("run_key").transformWithStateInPandas(EarlyStopping(patience, 1 if mode == "max" else -1), schema, "append", "eventTime")
     return stopped.withColumnRenamed("run_key", key)

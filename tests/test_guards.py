@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from residua import contracts
 from residua.functions import scalar
-from residua.operators import choose, depth, held, metrics, preprocess, runs, thresholds, validate
+from residua.operators import choose, depth, held, metrics, preprocess, report, runs, thresholds, validate
 from residua.sources import artifacts, committed, volume_source, volumes
 
 
@@ -127,3 +127,30 @@ def test_scratch_is_dropped_when_old(spark):
     os.utime(own, (1, 1))
     assert os.path.basename(path) in held.drop_scratch(spark)
     assert not os.path.exists(own) and os.path.exists(kept)
+
+
+def test_settings_are_told_all_at_once():
+    good = {"donor_alignment": "same", "selection_mode": "min", "selection_key": "val_loss", "init_from": "x", "other": object()}
+    assert validate.require_settings(good) is good
+    assert validate.require_settings({"selection_key": "val_dice", "validate_fn": print})
+    with pytest.raises(contracts.ConfigError, match="donor_chunk .*'near'; warm_start_from and init_from .*; selection_key='val_dice' needs validate_fn"):
+        validate.require_settings({"donor_chunk": "near", "warm_start_from": "a", "init_from": "b", "selection_key": "val_dice"})
+    assert validate.frame_size(12.8, 7.2, 100) == (1280, 720)
+    for bad in ((1.5, 1.0, 50), (1.01, 1.0, 10), (0.0, 1.0, 10)):
+        with pytest.raises(contracts.ConfigError, match="not even"):
+            validate.frame_size(*bad)
+
+
+def test_slices_of_one_size(spark):
+    frame = spark.createDataFrame([("a", 8, 8), ("b", 8, 8)], "k string, height int, width int")
+    assert validate.require_size(frame, "k", 8, 8) is frame
+    with pytest.raises(contracts.DataError, match="'c' has slices of 8 by 9"):
+        validate.require_size(frame.union(spark.createDataFrame([("c", 8, 9), ("d", 1, 1)], frame.schema)), "k", 8, 8)
+    with pytest.raises(contracts.DataError, match="no slices"):
+        validate.require_size(frame.filter("false"), "k", 8, 8)
+
+
+def test_stored_volume_metrics_mark_context(spark, tmp_path):
+    report.save_per_volume(spark.createDataFrame([("v", 0.5, 0.4, 20.0, 0.9)], contracts.VOLUME_METRICS), str(tmp_path))
+    back = spark.read.option("header", True).csv(f"{tmp_path}/per_volume.csv")
+    assert back.columns == ["volume_id", "dice", "iou", "psnr_db_context_only", "ssim_context_only"] and back.first()["ssim_context_only"] == "0.9"

@@ -27,8 +27,8 @@ def epochs_of(rng):
     return rows
 
 
-@pytest.mark.parametrize("patience,seed", [(2, 1), (4, 2)])
-def test_stream_of_shuffled_epochs_stops_as_the_batch(spark, tmp_path, patience, seed):
+@pytest.mark.parametrize("patience,seed,mode", [(2, 1, "max"), (4, 2, "max"), (3, 3, "min")])
+def test_stream_of_shuffled_epochs_stops_as_the_batch(spark, tmp_path, patience, seed, mode):
     rng = random.Random(seed)
     rows = epochs_of(rng)
     frame = lambda own: spark.createDataFrame(own, "run string, s long, epoch long, score double").select("run", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("at"), "epoch", "score")
@@ -41,11 +41,12 @@ def test_stream_of_shuffled_epochs_stops_as_the_batch(spark, tmp_path, patience,
     frame([("last", 10**6, 0, None)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(EPOCHS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     name = f"stops_{patience}"
-    query = early_stopping.stream_stops(stream, "run", "at", "epoch", "score", patience).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = early_stopping.stream_stops(stream, "run", "at", "epoch", "score", patience, mode=mode).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(180)
     assert query.exception() is None
     found = {(r["run"], r["epoch"]) for r in spark.table(name).collect()}
-    wanted = {(r["run"], r["epoch"]) for r in runs.stopped_at(frame(rows), "run", ["at", "epoch"], "score", patience).collect()}
+    judged = frame(rows).withColumn("score", F.col("score") * (1 if mode == "max" else -1))
+    wanted = {(r["run"], r["epoch"]) for r in runs.stopped_at(judged, "run", ["at", "epoch"], "score", patience).collect()}
     assert found == wanted and len(found) > 0
     assert spark.table(name).count() == len(found)
 
