@@ -6,7 +6,8 @@ rounds of Spark joins: the copies of a text move together to one shard, where mo
 where the quota there is used up, where there is room; the largest texts, which are hardest to place,
 move first. A text beyond a shard's quota moves in parts, and what fits nowhere whole is split over the
 largest rooms. Each round lowers the cut; the last one leaves nothing that could move. Documents
-without links then fill what is left, so the row counts of the shards differ by one at most (law `rows`).
+without links then fill what is left, those of like sizes all over the shards, so the row counts of the
+shards differ by one at most (law `rows`) and their bytes by little.
 
 Neighbours of one text are alike, so the state of the propagation is the number of a text's copies in
 each shard: a row per (text, shard), never a row per pair of copies.
@@ -15,6 +16,7 @@ each shard: a row per (text, shard), never a row per pair of copies.
 from __future__ import annotations
 
 import logging
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,6 +115,14 @@ def propagate(start: DataFrame, quotas: DataFrame, singles: int, shards: int, bu
     return placed.groupBy("_group", "_shard").agg(F.sum("_n").alias("_n")), history
 
 
+def stride_of(places: int) -> int:
+    """A stride near the golden section of so many places, without a common divisor with their number."""
+    stride = max(1, round(places * 0.6180339887498949))
+    while math.gcd(stride, max(places, 1)) > 1:
+        stride += 1
+    return stride
+
+
 def balanced_label_propagation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard, group_rows, group_shards.
 
@@ -164,9 +174,15 @@ def balanced_label_propagation(docs: DataFrame, id_col: str = "doc_id", text_col
     for r in free:
         total += r["_free"]
         limits.append(F.struct(F.lit(total).cast("bigint").alias("_end"), F.lit(r["_shard"]).cast("int").alias("_shard")))
-    single = judged.filter("_pieces is null").select("_id", "_row", "size", "text_crc32", F.lit(0).alias("_all"))
-    filled = running_sum(single, ["_all"], ["_row"], "_nth", buckets).select(
-        "_id", "_row", "size", "text_crc32", F.filter(F.array(*limits), lambda p: p["_end"] > F.col("_nth"))[0]["_shard"].alias("shard"), F.lit(1).cast("bigint").alias("group_rows"), F.lit(1).alias("group_shards")
+    # Documents of a size class (eight to a doubling) follow each other and are dealt by a stride near
+    # the golden section of the places, which meets each place once: so each shard gets its share of each class.
+    single = judged.filter("_pieces is null").select("_id", "_row", "size", "text_crc32", F.floor(F.log2("size") * 8).cast("int").alias("_class"))
+    smaller = Window.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)  # some hundred classes
+    classes = single.groupBy("_class").agg(F.count(F.lit(1)).alias("_n")).select("_class", F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_first"))
+    place = (F.col("_nth") + F.col("_first")).cast("decimal(18,0)") * F.lit(stride_of(total)).cast("decimal(18,0)") % F.lit(max(total, 1)).cast("decimal(18,0)")
+    ranked = running_sum(single, ["_class"], ["_row"], "_nth", buckets).join(F.broadcast(classes), "_class").withColumn("_place", place.cast("bigint"))
+    filled = ranked.select(
+        "_id", "_row", "size", "text_crc32", F.filter(F.array(*limits), lambda p: p["_end"] > F.col("_place"))[0]["_shard"].alias("shard"), F.lit(1).cast("bigint").alias("group_rows"), F.lit(1).alias("group_shards")
     )
     sharded = materialize(placed.unionByName(filled))
     slotted = running_sum(sharded, ["shard"], ["_row"], "slot", buckets)

@@ -80,3 +80,19 @@ def test_the_query_is_decided_by_rounds_that_move_rows(spark, monkeypatch):
     (history, moved), linked = seen[0], sum(r["group_rows"] > 1 for r in rows)
     assert moved > linked / 4 and history[0] > 0 and history[-1] == 0
     assert len({(r["text_crc32"], r["size"], r["shard"]) for r in rows if r["group_rows"] > 1}) == len({(r["text_crc32"], r["size"]) for r in rows if r["group_rows"] > 1})
+
+
+@pytest.mark.parametrize("places", [0, 1, 2, 3, 10, 97, 1000, 12_345])
+def test_strides_meet_each_place_once(places):
+    stride = sharding.stride_of(places)
+    assert len({p * stride % places for p in range(places)}) == places
+
+
+def test_bytes_are_about_even(spark):
+    rng = random.Random(8)
+    rows = [(i, f"{i} " + "x" * int(10 * 2 ** rng.uniform(0, 9))) for i in range(4000)] + [(5000 + i, f"pair {i // 2}") for i in range(24)]
+    found = sharding.balanced_label_propagation(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shards=8).collect()
+    held = [sum(r["size"] for r in found if r["shard"] == k) for k in range(8)]
+    counts = [sum(r["shard"] == k for r in found) for k in range(8)]
+    assert counts == [503] * 8 and max(held) < 1.05 * min(held), (counts, held)
+    assert len({(r["shard"], r["slot"]) for r in found}) == 4024
