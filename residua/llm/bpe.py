@@ -80,7 +80,12 @@ class RankArrayBPE:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks.setdefault(vocab[left] << ID_BITS | vocab[right], rank << ID_BITS | vocab[left + right])
+        for token in spec["added_tokens"]:
+            if odd := [k for k in ("lstrip", "rstrip", "single_word", "normalized") if token.get(k)]:
+                raise ValueError(f"added token {token['content']!r} has {odd}, which are not supported")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # A text without any of their beginnings holds none of them.
+        self.special_starts = sorted({t[:2] for t in self.special})
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         letters = byte_letters()
@@ -166,7 +171,7 @@ class RankArrayBPE:
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text. Strings of special tokens become their ids, as in the library."""
-        if self.special_pattern and "<|" in text:
+        if any(start in text for start in self.special_starts):
             parts = self.special_pattern.split(text)
             return b"".join([packed([self.special[p]]) if i % 2 else self._segment(p) for i, p in enumerate(parts) if p])
         return self._segment(text)

@@ -751,3 +751,20 @@ def test_near_components_of_a_whole_table_equal_brute_force(spark, docs, all_tex
     found = {r["node"]: r["component"] for r in simhash.near_components(docs).collect()}
     assert {d: found.get(d, d) for d in sets} == {d: root(d) for d in sets}
     assert long_links > 50
+
+
+def test_added_tokens_of_any_look(tmp_path):
+    import json
+
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    plain = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    spec["added_tokens"] += [{"id": 50257, "content": "[CLS]", **plain}, {"id": 50258, "content": "</s>", **plain}, {"id": 50259, "content": "§", **plain}]
+    path = tmp_path / "more.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    own, library = bpe.RankArrayBPE(str(path)), Tokenizer.from_file(str(path))
+    for text in ("a [CLS]b</s>", "[CLS][CLS]", "x § y§", "<|endoftext|>[cls] </s", "none of them"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    spec["added_tokens"][1]["lstrip"] = True
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="lstrip"):
+        bpe.RankArrayBPE(str(path))
