@@ -83,7 +83,8 @@ class RankArrayBPE:
         for token in spec["added_tokens"]:
             if odd := [k for k in ("lstrip", "rstrip", "single_word", "normalized") if token.get(k)]:
                 raise ValueError(f"added token {token['content']!r} has {odd}, which are not supported")
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # One that the vocabulary holds too has its number there.
+        self.special = {t["content"]: vocab.get(t["content"], t["id"]) for t in spec["added_tokens"]}
         # A text without any of their beginnings holds none of them.
         self.special_starts = sorted({t[:2] for t in self.special})
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
