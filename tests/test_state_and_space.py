@@ -60,7 +60,7 @@ def test_stream_needs_patience_and_its_store(spark, tmp_path):
 @pytest.mark.parametrize("split", ["train", "val"])
 def test_batches_do_not_depend_on_partitions(spark, split):
     rng = random.Random(4)
-    keys = rng.sample([f"BraTS20_Training_{i:03d}" for i in range(400)], 103)
+    keys = rng.sample([f"case_training_{i:03d}" for i in range(400)], 103)
     frame = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, n int")
     found = [{r["k"]: (r["batch"], r["place"]) for r in batches.epoch_batches(frame.repartition(p), "k", split, 4).collect()} for p in (1, 16)]
     assert found[0] == found[1]
