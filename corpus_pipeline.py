@@ -14,37 +14,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from residua.llm import compression, exact_dedup, packing, quality_rules, simhash
-from residua.llm.common import limit_batches, scratch_path
+from residua.llm.common import limit_batches, limit_reads, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that fail; n_chars follows the text."""
+    limit_reads(spark)
     return quality_rules.clean_documents(docs, length_col="n_chars")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.5 or more; the model learns from the documents and labels of sf_dir."""
     limit_batches(spark)
+    limit_reads(spark)
     model = compression.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return compression.keep_good(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts: that with the smallest doc_id."""
+    limit_reads(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id."""
     limit_batches(spark)
+    limit_reads(spark)
     return simhash.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their token ids."""
     limit_batches(spark)
+    limit_reads(spark)
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 

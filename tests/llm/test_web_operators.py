@@ -4,13 +4,19 @@ import hashlib
 import io
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import oracle
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from residua.llm import registry, url_filters, warc
 
+ROOT = str(Path(__file__).resolve().parents[2])
 PAGES = "page_id long, url string, html string, _url string, content string"
 
 
@@ -310,3 +316,38 @@ def test_pipeline(spark):
     packed = corpus_pipeline.pack(spark, after, oracle.DATA)
     assert packed.filter("start = 0").count() == len(kept)
     assert corpus_pipeline.run(spark, oracle.DATA).agg(F.sum("length")).first()[0] == packed.agg(F.sum("length")).first()[0]
+
+
+LONG_TEXTS = """
+import sys
+from pyspark.sql import SparkSession
+import corpus_pipeline
+folder = sys.argv[1]
+spark = SparkSession.builder.master("local[1]").config("spark.driver.memory", "512m").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", folder + "/checkpoints").config("spark.local.dir", folder + "/local").getOrCreate()
+print("kept", corpus_pipeline.drop_copies(spark, spark.read.parquet(folder + "/documents.parquet"), folder).count())
+"""
+
+
+def test_pipeline_long_texts(tmp_path):
+    """A row group of 200 MB of texts of 100 KB, on a heap of 512 MB: no stage may gather thousands of them."""
+    texts = [f"{i // 2} " + "many words in a long text " * 4000 for i in range(2000)]
+    docs = pa.table({"doc_id": range(2000), "text": texts, "lang": ["en"] * 2000, "source": ["s"] * 2000, "n_chars": [len(t) for t in texts]})
+    pq.write_table(docs, tmp_path / "documents.parquet", use_dictionary=False, write_batch_size=16)
+    ended = subprocess.run([sys.executable, "-c", LONG_TEXTS, str(tmp_path)], cwd=ROOT, timeout=300, capture_output=True, text=True, check=False)
+    assert "kept 1000" in ended.stdout, ended.stderr[-2000:]
+
+
+def test_pipeline_reads_by_row(spark):
+    """Every stage reads its files row by row, whatever the session's setting was before."""
+    import corpus_pipeline
+
+    key = "spark.sql.parquet.enableVectorizedReader"
+    before = spark.conf.get(key)
+    docs = spark.read.parquet(f"{oracle.DATA}/documents.parquet")
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(key, "true")
+            plan = stage(spark, docs.limit(50) if name == "simhash_near_dedup" else docs, oracle.DATA)._jdf.queryExecution().executedPlan().toString()
+            assert "Batched: false" in plan and "Batched: true" not in plan, name
+    finally:
+        spark.conf.set(key, before)
